@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, arrow_map, written
+from .common import WS, arrow_map, small_or_shuffled, written
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 16_384
@@ -67,21 +67,21 @@ def chunks_of(text: bytes | None) -> tuple[bytes, list[bytes]]:
 
 
 def recipes(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
-    """doc_id, points (code points of the original text), text_sha256, recipe (ordered 16-byte chunk identifiers)."""
+    """doc_id, text_key, points (code points of the original text), text_sha256, recipe (ordered 16-byte chunk identifiers)."""
 
     def make():
         def f(b: pa.RecordBatch):
             points, sha, ids = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 data, parts = chunks_of(t)
                 points.append(len(t.decode("utf-8", "replace")) if t else 0)
                 sha.append(hashlib.sha256(data).hexdigest())
                 ids.append([hashlib.blake2b(p, digest_size=16, key=key).digest() for p in parts])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(points, pa.int64()), pa.array(sha, pa.string()), pa.array(ids, pa.list_(pa.binary()))], ["doc_id", "points", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(points, pa.int64()), pa.array(sha, pa.string()), pa.array(ids, pa.list_(pa.binary()))], ["doc_id", "text_key", "points", "text_sha256", "recipe"])
 
         return f
 
-    return arrow_map(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), "doc_id long, points long, text_sha256 string, recipe array<binary>", make)
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary")), "doc_id long, text_key long, points long, text_sha256 string, recipe array<binary>", make)
 
 
 def chunk_store(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
@@ -108,23 +108,30 @@ def verify(documents: DataFrame, key: bytes = b"dotfield") -> None:
         raise ValueError("a chunk identifier names two chunks; choose another key")
 
 
-def exact_groups(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def decided(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
+    """One row per document: doc_id, text_key, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest doc_id.
     """
     verify(documents, key)
     rows = written(recipes(documents, key), "recipes")
-    # As a string of bytes the ordered list is one value that Spark compares, hashes and sorts at once.
+    # As a string the ordered list is one value that Spark compares, hashes and sorts at once.
     rows = rows.withColumn("recipe", F.concat_ws("", F.transform("recipe", lambda x: F.hex(x))))
     most = rows.groupBy("recipe").agg(F.max("points").alias("points"), F.count(F.lit(1)).alias("group_size"))
     best = rows.groupBy("recipe", "points").agg(F.min("doc_id").alias("keep_id"))
-    groups = best.join(most, ["recipe", "points"]).select("recipe", "keep_id", "group_size")
+    groups = best.join(most, ["recipe", "points"]).select("recipe", "keep_id", "group_size", F.col("points").alias("__most"))
     out = rows.join(groups, "recipe")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("__most"))
+    return out.select("doc_id", "text_key", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
+
+
+def exact_groups(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return decided(documents, key).drop("text_key")
 
 
 def deduplicated(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
-    """The rows of documents that stay, with all their columns."""
-    kept = exact_groups(documents, key).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """The rows of documents that stay, with all their columns. Rows alike in id and text stay or go together."""
+    gone = written(decided(documents, key).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped-copies")
+    gone = small_or_shuffled(gone, gone.count())
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left_anti")

@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of 4 to 6 letters. A bounded labelled sample says which terms tell the labels apart
+Terms are words, word beginnings of 3 to 6 letters, and marks that a text has one of these at least 2, 3 or 4 times (as
+one use may be harmless where several are not, and a cosine keeps no amounts). A bounded labelled sample says which terms tell the labels apart
 (support, chi-square and lift); only these are kept. Inverse document frequencies are over all documents. The sample's
 vectors form an inverted index whose postings are cut into blocks of 64 examples, with the largest weight of each term in
 each block. For a document the bound of each block is the product of its vector with these maxima; blocks are scored
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_fold, written
+from .common import arrow_map, crc_fold, small_or_shuffled, written
 from .labelled import sample
 
 #: ASCII signs at a word's ends are not part of it.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6)
+#: Uses of a word or beginning in one text from which a term of its own stands for them.
+LEVELS = (2, 3, 4)
 CACHE = 400_000
 BLOCK = 64
 
@@ -39,52 +42,61 @@ def terms_of(word: str) -> list[str]:
     return [w, *(w[:k] + "*" for k in BEGINNINGS if len(w) > k)] if w else []
 
 
+def leveled(counts: Counter) -> list[str]:
+    """The terms of a text from the counts of its words and beginnings."""
+    return [*counts, *(f"{t}#{k}" for t, n in counts.items() if n >= LEVELS[0] for k in LEVELS if n >= k)]
+
+
 class Terms:
-    """Counts of kept terms in a text; words are remembered with their terms."""
+    """Finds kept terms in a text; words are remembered with their terms."""
 
     def __init__(self, kept: dict[str, int]):
-        self.kept, self.cache = kept, {}
+        self.base = sorted({t.partition("#")[0] for t in kept})
+        self.at = {t: k for k, t in enumerate(self.base)}
+        self.levels = [[(k, kept[name]) for k in (1, *LEVELS) if (name := t if k == 1 else f"{t}#{k}") in kept] for t in self.base]
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, word: str) -> tuple[int, ...]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        got = tuple(self.kept[t] for t in terms_of(word) if t in self.kept)
+        got = tuple(self.at[t] for t in terms_of(word) if t in self.at)
         self.cache[word] = got
         return got
 
-    def count(self, text: str | None) -> dict[int, int]:
+    def found(self, text: str | None) -> list[int]:
         words = (text or "").lower().split()
-        found = list(map(self.cache.get, words))
-        if None in found:
-            found = [self._learn(w) if f is None else f for w, f in zip(words, found, strict=True)]
-        return Counter(t for f in found if f for t in f)
+        got = list(map(self.cache.get, words))
+        if None in got:
+            got = [self._learn(w) if f is None else f for w, f in zip(words, got, strict=True)]
+        counts = Counter(t for f in got if f for t in f)
+        return sorted(i for t, n in counts.items() for k, i in self.levels[t] if n >= k)
 
 
 class Index:
     """Block-max inverted index of the labelled examples."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[list[int], list[int]]], idf: np.ndarray):
+    def __init__(self, ids: list[int], labels: list[int], vectors: list[list[int]], idf: np.ndarray):
         self.ids, self.labels, self.idf = np.array(ids, np.int64), np.array(labels, np.float64), idf
         self.blocks = -(-len(ids) // BLOCK)
         self.prior = float(self.labels.mean()) if len(ids) else 0.0
         self.most = np.zeros((len(idf), self.blocks))
         post: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
-        for k, (terms, counts) in enumerate(vectors):
+        for k, terms in enumerate(vectors):
             if terms:
                 t = np.array(terms)
-                w = self.weights(t, np.array(counts, float))
+                w = self.weights(t)
                 for a, x in zip(terms, w.tolist(), strict=True):
                     post[k // BLOCK].setdefault(a, []).append((k % BLOCK, x))
                 self.most[t, k // BLOCK] = np.maximum(self.most[t, k // BLOCK], w)
         self.post = [{t: (np.array([x[0] for x in p]), np.array([x[1] for x in p])) for t, p in b.items()} for b in post]
 
-    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+    def weights(self, terms: np.ndarray) -> np.ndarray:
+        w = self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k best examples with a cosine over 0, best first; ties by place."""
-        q = self.weights(terms, counts)
+        q = self.weights(terms)
         bound = q @ self.most[terms]
         where, cos, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
@@ -104,10 +116,10 @@ class Index:
         best = np.lexsort((where, -np.round(cos, 12)))
         return where[best], cos[best]
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, k: int, prior_weight: float) -> tuple[float, list[int]]:
+    def vote(self, terms: np.ndarray, k: int, prior_weight: float) -> tuple[float, list[int]]:
         if not len(terms) or not self.blocks:
             return self.prior, []
-        where, cos = self.nearest(terms, counts, k)
+        where, cos = self.nearest(terms, k)
         w = cos * cos
         return float((w @ self.labels[where] + prior_weight * self.prior) / (w.sum() + prior_weight)), self.ids[where].tolist()
 
@@ -123,7 +135,7 @@ def choose_terms(examples: DataFrame, terms: int = 4096, support: int = 3, chi:
         def f(b: pa.RecordBatch):
             found, labels = [], []
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                has = {t for w in set((text or "").lower().split()) for t in terms_of(w)}
+                has = leveled(Counter(t for w in (text or "").lower().split() for t in terms_of(w)))
                 found += has
                 labels += [label] * len(has)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels, pa.int32())], ["term", "label"])
@@ -144,20 +156,19 @@ def choose_terms(examples: DataFrame, terms: int = 4096, support: int = 3, chi:
 
 
 def _counted(documents: DataFrame, kept: dict[str, int]) -> DataFrame:
-    """doc_id, held_out, terms, counts of every whole text."""
+    """doc_id, held_out, terms of every whole text."""
 
     def make():
         counter = Terms(kept)
 
         def f(b: pa.RecordBatch):
-            got = [counter.count(t) for t in b.column(1).to_pylist()]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(g) for g in got], ints), pa.array([list(g.values()) for g in got], ints)], ["doc_id", "held_out", "terms", "counts"])
+            got = [counter.found(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "held_out", "terms"])
 
         return f
 
     docs = crc_fold(documents.sparkSession, documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id")
-    return arrow_map(docs, "doc_id long, held_out boolean, terms array<int>, counts array<int>", make)
+    return arrow_map(docs, "doc_id long, held_out boolean, terms array<int>", make)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[int, int] = (1024, 3072), **how) -> tuple[DataFrame, Index]:
@@ -169,7 +180,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: tup
     df = dict(counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect())  # at most `terms` rows
     idf = np.log((n + 1) / (np.array([df.get(k, 0) for k in range(len(kept))], float) + 1)) + 1
     rows = _counted(examples, kept).join(examples.select("doc_id", "label"), "doc_id").orderBy("doc_id").collect()  # at most sum(most) rows
-    return counted, Index([r.doc_id for r in rows], [r.label for r in rows], [(r.terms, r.counts) for r in rows], idf)
+    return counted, Index([r.doc_id for r in rows], [r.label for r in rows], [r.terms for r in rows], idf)
 
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, nearest: int = 11, prior_weight: float = 0.02, **how) -> DataFrame:
@@ -182,8 +193,8 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, neare
 
         def f(b: pa.RecordBatch):
             scores, near = [], []
-            for terms, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, ids = index.vote(np.array(terms, np.int64), np.array(counts, float), nearest, prior_weight)
+            for terms in b.column(2).to_pylist():
+                s, ids = index.vote(np.array(terms, np.int64), nearest, prior_weight)
                 scores.append(s)
                 near.append(ids)
             said = [int(s >= threshold) for s in scores]
@@ -196,5 +207,6 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, neare
 
 def kept(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of documents that are not predicted toxic; rows of a null id stay only if none of them is."""
-    gone = score(documents, labels, **how).filter("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(score(documents, labels, **how).filter("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct(), "toxic-ids")
+    gone = small_or_shuffled(gone, gone.count())
     return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
