@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, sharding, token_files, toxicity, url_filter
+from . import exact_dedup, media, mixing, ngram_join, packing, quality, sharding, token_files, toxicity, url_filter
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -39,6 +39,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image drawn from embeddings is searched for edited copies of the images whose id is divisible by 100."""
+    images = media.from_vectors(read(spark, sf_dir, "embeddings"))
+    return media.find_copies(images, media.edited(images.filter("id % 100 = 0")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages")).drop("because")
 
@@ -51,4 +57,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_quality, op4_packing, op5_source_mix, op7_url_filter, op8_token_files, op9_toxicity, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_quality, op4_packing, op5_source_mix, op6_media, op7_url_filter, op8_token_files, op9_toxicity, op10_ngram_join)}
