@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import hull_area
+from ..functions.geometry import hull_area, hull_corners, inside_convex
 from .graph import components
 from .spatial import knn_join, radius_pairs
 from .storage import written
@@ -197,3 +197,26 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     ari = F.try_divide(F.col("t") - expected, (F.col("su") + F.col("sv")) / 2 - expected)
     hu, hv, huv = [F.col(c) / F.col("n") + F.log("n") for c in ("hu", "hv", "huv")]
     return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), F.coalesce(F.try_divide(F.col("t"), F.sqrt(F.col("su") * F.col("sv"))), F.lit(0.0)).alias("fm"), F.coalesce(F.try_divide(2 * (hu + hv - huv), hu + hv), F.lit(1.0)).alias("nmi"), "clusters_u", "clusters_v", "noise_u", "noise_v")
+
+
+def hull_pixels(labelled: DataFrame, box: tuple[float, float, float, float], pixels: int) -> DataFrame:
+    """Distinct (px, py) of a pixels * pixels raster over box (x0, x1, y0, y1) whose centre is in a cluster's hull."""
+    x0, x1, y0, y1 = box
+    dx, dy = (x1 - x0) / pixels, (y1 - y0) / pixels
+    hulls = hull_corners(labelled.filter("cluster <> -1"), ["cluster"])
+    edge = lambda f, c: f(F.transform("hull", lambda p: p[c]))
+    at = lambda v, lo, d: F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(d)), F.lit(0)), F.lit(pixels - 1)).cast("int")
+    span = lambda c, lo, d: F.explode(F.sequence(at(edge(F.array_min, c), lo, d), at(edge(F.array_max, c), lo, d)))
+    cells = hulls.withColumn("px", span("x", x0, dx)).withColumn("py", span("y", y0, dy))
+    inside = inside_convex(F.lit(x0) + (F.col("px") + 0.5) * F.lit(dx), F.lit(y0) + (F.col("py") + 0.5) * F.lit(dy), F.col("hull"))
+    return cells.filter(inside).select("px", "py").distinct()
+
+
+def hull_iou(a: DataFrame, b: DataFrame, pixels: int = 2400) -> DataFrame:
+    """One row: pixels in the hulls of both labellings (x, y, cluster), in those of either, and their ratio."""
+    box = a.select("x", "y").unionByName(b.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if box[0] is None or box[1] <= box[0] or box[3] <= box[2]:
+        return a.sparkSession.createDataFrame([(0, 0, None)], "both long, either long, iou double")
+    pa, pb = hull_pixels(a, tuple(box), pixels).withColumn("a", F.lit(1)), hull_pixels(b, tuple(box), pixels).withColumn("b", F.lit(1))
+    out = pa.join(pb, ["px", "py"], "full").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count(F.lit(1)).alias("either"))
+    return out.withColumn("iou", F.try_divide(F.col("both"), F.col("either")))

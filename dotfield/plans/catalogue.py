@@ -269,6 +269,13 @@ def partition_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.agreement(cluster.dbscan(v, 25, 5), cluster.dbscan(v, 30, 5)).select(r4("ari", "ari"), r4("fm", "fm"), "clusters_u", "clusters_v")
 
 
+@query()
+def hull_mask_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    a, b = [v.join(cluster.dbscan(v, eps, 5), "loc_id") for eps in (25, 30)]
+    return cluster.hull_iou(a, b, 400).withColumn("iou", r4("iou"))
+
+
 _SHIFT = "k AS (SELECT channel, frame >= 360 AS late, CAST(round_even(x / 20, 0) AS BIGINT) AS xu, CAST(round_even(y / 20, 0) AS BIGINT) AS yu, count(*) AS n FROM le GROUP BY ALL), sc AS (SELECT t.channel, CAST(i AS BIGINT) AS dx, CAST(j AS BIGINT) AS dy, CAST(sum(least(t.n, r.n)) AS BIGINT) AS score FROM k t, range(-3, 4) a(i), range(-3, 4) b(j), k r WHERE t.late AND NOT r.late AND t.channel = r.channel AND r.xu = t.xu + i AND r.yu = t.yu + j GROUP BY ALL)"
 
 

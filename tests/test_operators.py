@@ -120,6 +120,13 @@ def test_hull(spark):
     assert inside.a and not inside.b
 
 
+def test_hull_overlap(spark):
+    square = lambda x0: points(spark, [(x0, 0), (x0 + 4, 0), (x0 + 4, 4), (x0, 4)]).withColumn("cluster", F.lit(0))
+    r = cluster.hull_iou(square(0), square(2), 60).first()
+    assert math.isclose(r.iou, 1 / 3, abs_tol=0.02)
+    assert cluster.hull_iou(square(0), square(0), 40).first().iou == 1
+
+
 def test_voronoi_lattice(spark):
     got = {r.loc_id: r for r in cells.voronoi(points(spark, [(i * 2, j * 2) for i in range(7) for j in range(7)])).collect()}
     inner = [i * 7 + j for i in range(1, 6) for j in range(1, 6)]
@@ -137,9 +144,14 @@ def test_voronoi_counts_are_nearest_sites(spark):
 
 def test_cbc_range(spark):
     rng = np.random.default_rng(4)
-    a = points(spark, rng.normal(0, 10, (40, 2)))
-    got = [r.cbc for r in coloc.cbc(a, a, 30, 6).collect() if r.cbc is not None]
-    assert got and min(got) > 0.9 and all(-1 <= v <= 1 for v in got)
+    p = rng.normal(0, 10, (60, 2))
+    a, near, far = points(spark, p), points(spark, p + 0.01), points(spark, rng.normal(25, 3, (60, 2)))
+    mean = []
+    for b in (near, far):
+        got = [r.cbc for r in coloc.cbc(a, b, 30, 6).collect() if r.cbc is not None]
+        assert got and all(-1 <= v <= 1 for v in got)
+        mean.append(sum(got) / len(got))
+    assert mean[0] > 0.3 > mean[1]
     assert all(r.cbc is None for r in coloc.cbc(a, points(spark, []), 30, 6).collect())
 
 
