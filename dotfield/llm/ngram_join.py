@@ -10,9 +10,11 @@ segments. Two uses are made of that:
   sets of a pair lack segments, both are filed so. No pair is lost.
 * Overlaps. A candidate pair's overlap is counted in each fragment separately and summed per pair.
 
-Equal sets are one node. In a group with one segment, members are compared with one of them, not all with all; members
-that it already reaches through links need no further comparison for the components. Groups that stay apart get further
-pivots, then the pairs that are still apart are all compared. So components are those of all links.
+Equal sets are one node. Only links between what is not yet one component matter for the components. So a group of sets with
+one segment, cut into bounded blocks, gives a spanning forest of its possible links: a sketch of parity bits bounds from
+below how many n-grams are in only one of two sets, and pairs within the bound join trees, the nearest first. These few
+pairs are counted exactly. Groups in which a pair failed give another forest without it; after some rounds they give all
+pairs within the bound that are still apart. No group's pairs are ever rows, and components are those of all links.
 
 Sets are compared by 64-bit hashes of n-grams, and sets of equal size and equal 64-bit sum of mixed hashes count as equal.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_or_shuffled, written
+from .common import arrow_map, dropped, small_or_shuffled, written
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -208,42 +210,58 @@ def grain(size: int, per: int = 4096) -> int:
     return (size // per).bit_length()
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of n-grams in 512 buckets: two sets' sketches differ in no more bits than the sets in n-grams."""
+    odd = np.bincount((mix64(grams) >> _U(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def fragments_of(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, n (set size), grain, part, grams: each set cut at fixed places of the global order, into about 4096 n-grams.
+    """node, n (set size), grain, part, grams, sketch: each set cut at fixed places of the global order, into about 4096 n-grams.
 
-    A set whose larger partner may be cut finer is also cut so. documents: the wanted node, and text.
+    A set whose larger partner may be cut finer is also cut so. documents: the wanted node, and text. The sketch of the
+    whole set is in its first part only.
     """
 
     def make():
         shingler, seen = Shingler(n), set()
 
         def f(b: pa.RecordBatch):
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             sets = shingler.sets(b.column(1).to_pylist())
             for node, own, s in zip(b.column(0).to_pylist(), _signed(node_ids(sets)).tolist(), sets, strict=True):
                 if node != own or node in seen:
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(node)
+                bits: list | None = sketch(s).tolist()
                 for g in sorted({grain(len(s)), grain(100 * len(s) // percent)}):
                     part = s >> _U(64 - g) if g else np.zeros(len(s), _U)
                     first = np.flatnonzero(np.diff(part, prepend=_U(2**64 - 1)))
                     for a, e in zip(first.tolist(), [*first[1:].tolist(), len(s)], strict=True):
-                        for c, v in zip(cols, (node, len(s), g, int(part[a]), s[a:e]), strict=True):
+                        for c, v in zip(cols, (node, len(s), g, int(part[a]), s[a:e], bits), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), _lists(cols[4])], ["node", "n", "grain", "part", "grams"])
+                        bits = None
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), _lists(cols[4]), pa.array(cols[5], pa.list_(pa.int64()))], ["node", "n", "grain", "part", "grams", "sketch"])
 
         return f
 
-    return arrow_map(documents, "node long, n long, grain long, part long, grams array<bigint>", make)
+    return arrow_map(documents, "node long, n long, grain long, part long, grams array<bigint>, sketch array<bigint>", make)
+
+
+def _apart(a: str, b: str):
+    """In how many bits two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
-def overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: overlaps are counted in each fragment and summed per pair."""
-    sizes = parts.groupBy("node").agg(F.max("n").alias("n"), F.min("grain").alias("g"))
-    of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("g").alias("g" + x))
+def overlaps(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes with linked: overlaps are counted in each fragment and summed per pair.
+
+    Pairs whose sizes or sketches rule a link out are told so without counting. sizes: node, n, grain, sketch.
+    """
+    of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("grain").alias("g" + x), F.col("sketch").alias("s" + x))
     near = pairs.join(of("a"), "a").join(of("b"), "b")
-    near = near.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    near = near.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
     near = near.withColumn("grain", F.greatest("ga", "gb")).select("a", "b", "na", "nb", "grain")
     left = parts.select(F.col("node").alias("a"), "grain", "part", F.col("grams").alias("xa"))
     right = parts.select(F.col("node").alias("b"), "grain", "part", F.col("grams").alias("xb"))
@@ -253,6 +271,99 @@ def overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+#: Sets of one group that are compared in one piece of memory.
+SIDE = 1024
+
+
+def _forest(node, label, n, bits, side, gone: list[list[int] | None], percent: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of one block pair that may link, join different labels, and did not fail: a forest of near ones, or every one.
+
+    side: 0 and 1 for a pair of blocks, all 0 for a block with itself. gone: for a node the partners with which it failed.
+    """
+    two = bool(side.any())
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(node)),) * 2
+    tree = np.unique(label, return_inverse=True)[1]  # grows together as trees are joined
+    out: list[tuple[int, int]] = []
+    for k, a in enumerate(left.tolist()):
+        others = right if two else right[k + 1 :]
+        others = others[tree[others] != tree[a]] if not every else others[label[others] != label[a]]
+        if len(others):
+            far = np.bitwise_count(bits[others] ^ bits[a]).sum(axis=1, dtype=np.int64)
+            ok = (far * (100 + percent) <= (n[others] + n[a]) * (100 - percent)) & (n[others] * 100 >= n[a] * percent) & (n[a] * 100 >= n[others] * percent)
+            if gone[a]:
+                ok &= ~np.isin(node[others], gone[a])
+            hit = others[ok]
+            if not every and len(hit):
+                hit = hit[np.argsort(far[ok], kind="stable")]
+                hit = hit[np.sort(np.unique(tree[hit], return_index=True)[1])]  # the nearest of each tree
+                tree[np.isin(tree, tree[hit])] = tree[a]
+            out += [(int(node[a]), x) for x in node[hit].tolist()]
+    return [(min(p), max(p)) for p in out]
+
+
+def candidate_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, failed: DataFrame | None, percent: int, every: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, to count next, from groups (sig, node) that hold more than one label.
+
+    failed: pairs (a, b) that were counted and do not link; with it, only groups that hold such a pair are looked at.
+    """
+    same = W.partitionBy("sig")
+    told = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    told = told.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same), "size": F.count(F.lit(1)).over(same)}).filter("low <> high")
+    if failed is None:
+        told = written(told.select("sig", "node", "label", "size"), "apart")
+        two = told.filter("size = 2").groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+        many = told.filter("size > 2").withColumn("gone", F.lit(None).cast("array<bigint>"))
+    else:
+        # A group of two that is apart has failed.
+        told = written(told.filter("size > 2").select("sig", "node", "label", "size"), "apart")
+        partners = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("gone"))
+        many, two = told.join(partners, "node", "left"), None
+        held = told.select("sig", F.col("node").alias("__b"))
+        hurt = many.filter("gone is not null").select("sig", F.explode("gone").alias("__b")).distinct().join(held, ["sig", "__b"], "left_semi")
+        many = many.join(hurt.select("sig").distinct(), "sig", "left_semi")
+        # Either end of a failed pair may be looked at first.
+        back = failed.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("__back"))
+        many = many.join(back, "node", "left").withColumn("gone", F.concat(F.coalesce("gone", F.array().cast("array<bigint>")), F.coalesce("__back", F.array().cast("array<bigint>"))))
+    many = many.join(sizes.select("node", "n", "sketch"), "node")
+    blocks = F.ceil(F.col("size") / SIDE).cast("int")
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "sketch", "gone")
+
+    def run(batches):
+        def solve(rows: pa.Table):
+            node, label, n, side = (rows.column(c).to_numpy() for c in ("node", "label", "n", "side"))
+            bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(len(node), -1)
+            return _forest(node, label, n, bits, side, rows.column("gone").to_pylist(), percent, every)
+
+        def table(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            keys = np.column_stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            if not len(keys):
+                continue
+            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            out: list[tuple[int, int]] = []
+            for s, e in zip(cut, cut[1:], strict=False):
+                now = tuple(keys[s].tolist())
+                if held and now != key:
+                    out += solve(pa.Table.from_batches(held))
+                    held = []
+                key = now
+                held.append(b.slice(s, e - s))
+            if out:
+                yield table(list(dict.fromkeys(out)))
+        if held:
+            out = solve(pa.Table.from_batches(held))
+            if out:
+                yield table(out)
+
+    found = many.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long")
+    return (found if two is None else two.unionByName(found)).distinct()
+
+
 def min_labels(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of its component, for the nodes of links (a, b).
 
@@ -277,50 +388,43 @@ def min_labels(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked_nodes(documents: DataFrame, sets: DataFrame, n: int, percent: int, pivots: int = 3) -> DataFrame:
-    """node, label for nodes that have links."""
+def linked_nodes(documents: DataFrame, filed: DataFrame, firsts: DataFrame, n: int, percent: int, rounds: int = 2) -> DataFrame:
+    """node, label for nodes that have links. filed: node, signatures; firsts: doc_id, text_key, node of all documents."""
     same = W.partitionBy("sig")
-    filed = sets.select("node", F.explode("signatures").alias("sig"))
-    groups = filed.withColumns({"pivot": F.min("node").over(same), "__high": F.max("node").over(same)}).filter("pivot <> __high").select("sig", "node", "pivot")
+    groups = filed.select("node", F.explode("signatures").alias("sig"))
+    groups = groups.withColumns({"__low": F.min("node").over(same), "__high": F.max("node").over(same)}).filter("__low <> __high").select("sig", "node").distinct()
     groups = written(groups, "segment-groups")
+    dropped(filed)
     wanted = written(groups.select("node").distinct(), "candidates")
-    first = sets.join(small_or_shuffled(wanted, wanted.count()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    first = firsts.join(small_or_shuffled(wanted, wanted.count()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     first = written(first.select("node", F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")), "representatives")
     texts = _keyed(documents).join(small_or_shuffled(first, first.count()), (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
     parts = written(fragments_of(texts, n, percent), "fragments")
-    pairs = groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tried = links = None
+    sizes = written(parts.filter("sketch is not null").dropDuplicates(["node"]).select("node", "n", "grain", "sketch"), "sketches")
+    links = failed = None
     labels = wanted.select("node", F.col("node").alias("label"))
-    for k in range(pivots + 1):
-        pairs = written(pairs, f"pairs{k}")
-        if not pairs.limit(1).count():
+    for k in range(rounds + 1):
+        pairs = written(candidate_pairs(groups, labels, sizes, failed, percent, every=k == rounds), f"pairs{k}")
+        if pairs.isEmpty():
             break
-        found = written(overlaps(pairs, parts, percent), f"links{k}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.limit(1).count():
+        found = written(overlaps(pairs, parts, sizes, percent), f"links{k}")
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = min_labels(links)
-        if k == pivots:
+        lost = pairs.join(found, ["a", "b"], "left_anti")
+        failed = written(lost if failed is None else failed.unionByName(lost), f"failed{k}")
+        if k == rounds or lost.isEmpty():
             break
-        told = groups.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        apart = told.withColumns({"__low": F.min("label").over(same), "__high": F.max("label").over(same)}).filter("__low <> __high").select("sig", "node", "label").distinct()
-        apart = written(apart, f"apart{k}")
-        if k < pivots - 1:  # another pivot for each group that is still apart
-            turn = apart.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "label")).alias("p"))
-            left = turn.select("sig", F.col("p.node").alias("n2"), F.col("p.label").alias("l2"))
-        else:  # all pairs that are still apart
-            left = apart.select("sig", F.col("node").alias("n2"), F.col("label").alias("l2")).filter("n2 is not null")
-        cross = apart.join(left, "sig").filter("label <> l2")
-        pairs = cross.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
-        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    dropped(parts)
     return labels
 
 
 def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
     sets = written(signed_sets(documents, n, percent), "signed-sets")
-    labels = linked_nodes(documents, sets, n, percent)
-    rows = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label"))
+    firsts = written(sets.drop("signatures"), "sets")
+    labels = linked_nodes(documents, sets, firsts, n, percent)
+    rows = firsts.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label"))
     rows = written(rows, "labelled")
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     out = rows.join(least.select("label", "component_id"), "label", "left")
@@ -331,5 +435,6 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """The rows of documents without those that link, directly or not, with a document of smaller id."""
     found = components(documents, n, percent)
     # Rows of a null id are told from nothing by it, so they stay.
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    gone = small_or_shuffled(gone, gone.count())
     return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
