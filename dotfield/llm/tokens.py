@@ -15,8 +15,13 @@ import re
 import numpy as np
 
 #: Letters of Latin-1, which no normalisation changes but for case, and ASCII signs without the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-MOST = 400_000
+_LETTERS, _SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]*", r"[!-&(-/:-@\[-`{-~]*"
+#: Letters, signs, and what else is in a piece; pieces are parted by NUL.
+_PARTS = re.compile(rf"({_LETTERS})({_SIGNS})([^\0]*)(?:\0|$)")
+#: A piece that is empty or begins with a blank: the text is not cut at its spaces.
+_UNCUT = re.compile(r"(?:^|\0)(?:\s|\0|$)")
+#: Pieces, and letter runs, that are remembered.
+MOST = 800_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,56 +51,67 @@ class Encoder:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
         self.newline = self.letters[10]
+        self.shown = {**self.letters, 10: f" {self.newline} "}
         self.stop = self.model.encode(self.newline, add_special_tokens=False).ids[0]
         self.pieces: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.line = self._whole(["\n"])[0] if self.byte_level else b""
+        self.tails[""] = b""
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn_cores(self, cores: list[str]) -> None:
-        for k in range(0, len(cores), 2000):
-            some = cores[k : k + 2000]
-            shown = [(c if self.byte_level else c.lower()).encode().decode("latin-1").translate(self.letters) for c in some]
-            ids = np.array(self.model.encode_batch_fast([f" {self.newline} ".join([*shown, ""])], add_special_tokens=False)[0].ids, self.dtype)
-            last = 0
-            for c, e in zip(some, np.flatnonzero(ids == self.stop).tolist(), strict=True):
-                self.cores[c] = ids[last:e].tobytes()
-                last = e + 1
-
-    def _learn(self, new: list[str], first: bool) -> None:
-        into, lead = (self.firsts, "") if first else (self.pieces, " " if self.byte_level else "")
-        if len(into) > MOST:
-            into.clear()
         if len(self.cores) > MOST:
             self.cores.clear()
+        width = self.dtype().itemsize
+        for k in range(0, len(cores), 4000):
+            some = cores[k : k + 4000]
+            shown = "\n".join([*some, ""])
+            shown = (shown if self.byte_level else shown.lower()).encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.stop) * width
+            raw = ids.tobytes()
+            self.cores.update(zip(some, [raw[a:e] for a, e in zip([0, *(ends[:-1] + width).tolist()], ends.tolist(), strict=True)], strict=True))
+
+    def _simple(self, lead: str, parts: list[tuple[str, str, str]]) -> list[bytes]:
+        """Ids of pieces of letters and signs alone, after lead."""
+        heads = [lead + c if c else "" for c, _, _ in parts]
+        tails = [t if c else lead + t for c, t, _ in parts]
+        fresh = set(heads).difference(self.cores)
+        fresh.discard("")
+        if len(self.cores) + len(fresh) > MOST:
+            self.cores.clear()
+            fresh = set(heads) - {""}
+        self._learn_cores(list(fresh))
         if len(self.tails) > MOST:
-            self.tails.clear()
-        plain, odd, cores, tails = [], [], {}, {}
-        for w in new:
-            parts = []
-            for k, line in enumerate(w.split("\n")):
-                m = _PLAIN.fullmatch(line)
-                if not m or not line:
-                    odd.append(w)
-                    break
-                before = lead if not k else ""
-                core, tail = (before + m[1], m[2]) if m[1] else ("", before + m[2])
-                if core and core not in self.cores:
-                    cores[core] = None
-                if tail and tail not in self.tails:
-                    tails[tail] = None
-                parts.append((core, tail))
-            else:
-                plain.append((w, parts))
-        self._learn_cores(list(cores))
-        self.tails.update(zip(tails, self._whole(list(tails)), strict=True))
-        got, tail = self.cores, self.tails
-        for w, parts in plain:
-            into[w] = self.line.join([(got[c] if c else b"") + (tail[t] if t else b"") for c, t in parts])
+            self.tails = {"": b""}
+        strange = list(set(tails).difference(self.tails))
+        self.tails.update(zip(strange, self._whole(strange), strict=True))
+        core, tail = self.cores, self.tails
+        return [(core[h] if h else b"") + tail[t] for h, t in zip(heads, tails, strict=True)]
+
+    def _learn(self, new: list[str], first: bool) -> None:
+        into, lead = (self.firsts, "") if first else (self.pieces, " " if self.byte_level else "")
+        parts = _PARTS.findall("\0".join(new))[: len(new)]
+        if len(parts) != len(new) or any("\0" in w for w in new):
+            parts = [("", "", "odd")] * len(new)
+        plain = [k for k, p in enumerate(parts) if not p[2]]
+        into.update(zip([new[k] for k in plain], self._simple(lead, [parts[k] for k in plain]), strict=True))
+        odd, lined = [], []
+        for k, p in enumerate(parts):
+            if p[2]:
+                lines = _PARTS.findall(new[k].replace("\n", "\0"))[: new[k].count("\n") + 1] if p[2][0] == "\n" and "\0" not in new[k] else []
+                if lines and not any(x[2] or not (x[0] or x[1]) for x in lines):
+                    lined.append((new[k], lines))
+                else:
+                    odd.append(new[k])
+        begun = self._simple(lead, [x[0] for _, x in lined])
+        rest = iter(self._simple("", [y for _, x in lined for y in x[1:]]))
+        for (w, x), b in zip(lined, begun, strict=True):
+            into[w] = self.line.join([b, *(next(rest) for _ in x[1:])])
         into.update(zip(odd, self._whole([lead + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -118,30 +134,31 @@ class Encoder:
                 continue
             first, *rest = t.split(" ")
             found = list(map(get, rest))
-            if None in found:
-                unknown = [w for w, v in zip(rest, found, strict=True) if v is None]
-                if any(not w or w[0].isspace() for w in unknown):
+            gaps = [i for i, v in enumerate(found) if v is None]
+            if gaps:
+                unknown = [rest[i] for i in gaps]
+                if _UNCUT.search("\0".join(unknown)):
                     whole.append(k)
                     continue
                 new.update(dict.fromkeys(unknown))
-                found = None
             if first not in self.firsts:
                 new_first[first] = None
-            cut[k] = (first, rest, found)
+            cut[k] = (first, rest, found, gaps)
         known, known_first = self.pieces, self.firsts
         if len(known) + len(new) > MOST:
-            new = {w: None for _, rest, _ in cut.values() for w in rest}
             known.clear()
         if len(known_first) > MOST:
             known_first.clear()
-            new_first = {f: None for f, _, _ in cut.values()}
+            new_first = {x[0]: None for x in cut.values()}
         if new:
             self._learn(list(new), False)
         if new_first:
             self._learn(list(new_first), True)
-        for k, (first, rest, found) in cut.items():
-            parts = found if found is not None else map(known.__getitem__, rest)
-            out[base + k] = np.frombuffer(b"".join([known_first[first], *parts]), self.dtype)
+        for k, (first, rest, found, gaps) in cut.items():
+            for i in gaps:
+                found[i] = known[rest[i]]
+            found.insert(0, known_first[first])
+            out[base + k] = np.frombuffer(b"".join(found), self.dtype)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[base + k] = np.frombuffer(ids, self.dtype)
 
