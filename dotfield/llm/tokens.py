@@ -21,7 +21,7 @@ _PARTS = re.compile(rf"({_LETTERS})({_SIGNS})([^\0]*)(?:\0|$)")
 #: A piece that is empty or begins with a blank: the text is not cut at its spaces.
 _UNCUT = re.compile(r"(?:^|\0)(?:\s|\0|$)")
 #: Pieces, and letter runs, that are remembered.
-MOST = 800_000
+MOST = 250_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -32,7 +32,7 @@ SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BEGINNINGS = (3, 4, 5, 6)
 #: Uses of a word or beginning in one text from which a term of its own stands for them.
 LEVELS = (2, 3, 4)
-CACHE = 400_000
+CACHE = 150_000
 BLOCK = 64
 
 
