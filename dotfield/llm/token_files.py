@@ -43,16 +43,17 @@ FILE_IDS = 1 << 20
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Each row of small numbers as bits, high bit first; rows (n, BLOCK) give (n, BLOCK * width / 8) bytes."""
-    shift = np.arange(width - 1, -1, -1, dtype=np.uint32)
-    return np.packbits(((rows[:, :, None] >> shift) & 1).astype(np.uint8).reshape(len(rows), -1), axis=1)
+    size = 16 if width <= 16 else 32
+    bits = np.unpackbits(rows.astype(f">u{size // 8}").view(np.uint8).reshape(len(rows), -1, size // 8), axis=2)
+    return np.packbits(bits[:, :, size - width :].reshape(len(rows), -1), axis=1)
 
 
 def _unpack(data: np.ndarray, width: int) -> np.ndarray:
+    size = 16 if width <= 16 else 32
     bits = np.unpackbits(data, axis=1).reshape(len(data), -1, width)
-    out = np.zeros(bits.shape[:2], np.uint32)
-    for k in range(width):
-        out = (out << np.uint32(1)) | bits[:, :, k]
-    return out
+    full = np.zeros((*bits.shape[:2], size), np.uint8)
+    full[:, :, size - width :] = bits
+    return np.packbits(full.reshape(len(data), -1), axis=1).view(f">u{size // 8}").astype(np.uint32)
 
 
 def encode_file(task: int, number: int, docs: list[int | None], arrays: list[np.ndarray]) -> bytes:
