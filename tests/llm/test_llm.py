@@ -340,6 +340,45 @@ def test_keypoint_join_is_exact():
         assert (a.reshape(media.PARTS, -1) == b.reshape(media.PARTS, -1)).all(axis=1).any()
 
 
+def moved(a, degrees=0.0, scale=1.0):
+    """The image turned about its middle and rescaled, bilinear."""
+    c, (yy, xx) = (media.SIDE - 1) / 2, np.mgrid[: media.SIDE, : media.SIDE]
+    co, si = math.cos(math.radians(degrees)) / scale, math.sin(math.radians(degrees)) / scale
+    sx, sy = co * (xx - c) + si * (yy - c) + c, co * (yy - c) - si * (xx - c) + c
+    x, y = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    fx, fy = sx - x, sy - y
+    at = lambda y, x: a[np.clip(y, 0, media.SIDE - 1), np.clip(x, 0, media.SIDE - 1)]
+    return (at(y, x) * (1 - fx) + at(y, x + 1) * fx) * (1 - fy) + (at(y + 1, x) * (1 - fx) + at(y + 1, x + 1) * fx) * fy
+
+
+def test_media_finds_realistic_edits(spark):
+    rng = np.random.default_rng(15)
+    drawn = media.draw(rng.normal(0, 1, (40, 64))).astype(float)
+    images = [(k, bytes(bytearray(np.rint(a).astype(np.uint8).tobytes()))) for k, a in enumerate(drawn)]
+    kinds = {"noise": lambda a: a + rng.normal(0, 8, a.shape), "blur": lambda a: media._blur(a[None], 1)[0], "turn": lambda a: moved(a, 5), "larger": lambda a: moved(a, scale=1.1), "smaller": lambda a: moved(a, scale=0.9)}
+    schema, wanted, rows = "id long, pixels binary", {}, []
+    for n, f in enumerate(kinds.values()):
+        for k in range(6):
+            wanted[1000 * (n + 1) + k] = k
+            rows.append((1000 * (n + 1) + k, bytes(np.clip(np.rint(f(drawn[k])), 0, 255).astype(np.uint8).tobytes())))
+    got = media.find_copies(spark.createDataFrame(images, schema), spark.createDataFrame(rows, schema)).collect()
+    assert {(r.query, r.image) for r in got} == set(wanted.items())
+
+
+def test_near_keypoints_are_all_found_once(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT", 4)  # so that values are salted
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 2, (6, media.BITS))
+    bits = base[rng.integers(0, 6, 160)] ^ (rng.random((160, media.BITS)) < 0.04)
+    pairs = (bits.reshape(-1, media.PAIRS, media.PAIR_BITS) << np.arange(media.PAIR_BITS)).sum(axis=2)
+    halves = np.packbits(np.pad(bits.astype(np.uint8), [(0, 0), (0, 8)]), axis=1).view(np.int64)
+    rows = [(k, float(k), 0.0, 0.0, *halves[k].tolist(), pairs[k].tolist()) for k in range(160)]
+    table = spark.createDataFrame(rows, "id long, x double, y double, angle double, d0 long, d1 long, parts array<int>")
+    got = sorted((r.query, r.id) for r in media.near_pairs(table.filter("id < 60"), table).collect())
+    apart = (bits[:60, None] != bits[None]).sum(axis=2)
+    assert got == sorted(map(tuple, np.argwhere(apart <= media.DIFFERENCE).tolist()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
