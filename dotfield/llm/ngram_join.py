@@ -419,22 +419,31 @@ def linked_nodes(documents: DataFrame, filed: DataFrame, firsts: DataFrame, n: i
     return labels
 
 
-def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
+def labelled(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document (a written table): doc_id, text_key, n_shingles, label (that of its component; null for empty texts)."""
     sets = written(signed_sets(documents, n, percent), "signed-sets")
     firsts = written(sets.drop("signatures"), "sets")
     labels = linked_nodes(documents, sets, firsts, n, percent)
-    rows = firsts.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label"))
-    rows = written(rows, "labelled")
+    rows = firsts.select("doc_id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label"))
+    return written(rows, "labelled")
+
+
+def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
+    rows = labelled(documents, n, percent)
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     out = rows.join(least.select("label", "component_id"), "label", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents without those that link, directly or not, with a document of smaller id."""
-    found = components(documents, n, percent)
-    # Rows of a null id are told from nothing by it, so they stay.
-    gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    """The rows of documents without those that link, directly or not, with one of smaller id, then text key.
+
+    A null id comes after all others. Rows alike in id and text stay or go together.
+    """
+    rows = labelled(documents, n, percent).filter("label is not null").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("row")).distinct()
+    first = rows.groupBy("label").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    gone = rows.join(first.select("label", "first"), "label").filter("row > first")
+    gone = written(gone.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")).distinct(), "near-copies")
     gone = small_or_shuffled(gone, gone.count())
-    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left_anti")

@@ -11,7 +11,7 @@ square of the cosine, with the sample's share of the label as a small prior; the
 Bounds: at most `most` examples (1024 of label 1, 3072 of label 0) and `terms` terms (4096) are gathered and sent out.
 
 Cases. Null and empty texts, and texts without a kept term, have no neighbours and get the prior. Repeated rows are scored
-alike. A null id counts as held out. Very long texts are split into words as a whole. Ties in cosine go to the example
+alike. A null id counts as held out. Rows of one id, or of none, are told apart by the key of their text. Very long texts are split into words as a whole. Ties in cosine go to the example
 with the smaller id. Without labels every score is 0. An empty table gives an empty table. kept() keeps all columns.
 """
 
@@ -156,19 +156,19 @@ def choose_terms(examples: DataFrame, terms: int = 4096, support: int = 3, chi:
 
 
 def _counted(documents: DataFrame, kept: dict[str, int]) -> DataFrame:
-    """doc_id, held_out, terms of every whole text."""
+    """doc_id, text_key, held_out, terms of every whole text."""
 
     def make():
         counter = Terms(kept)
 
         def f(b: pa.RecordBatch):
-            got = [counter.found(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "held_out", "terms"])
+            got = [counter.found(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "text_key", "held_out", "terms"])
 
         return f
 
-    docs = crc_fold(documents.sparkSession, documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id")
-    return arrow_map(docs, "doc_id long, held_out boolean, terms array<int>", make)
+    docs = crc_fold(documents.sparkSession, documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")), "doc_id")
+    return arrow_map(docs, "doc_id long, text_key long, held_out boolean, terms array<int>", make)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[int, int] = (1024, 3072), **how) -> tuple[DataFrame, Index]:
@@ -183,8 +183,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: tup
     return counted, Index([r.doc_id for r in rows], [r.label for r in rows], [r.terms for r in rows], idf)
 
 
-def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, nearest: int = 11, prior_weight: float = 0.02, **how) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, neighbours (ids of the examples that voted)."""
+def scored(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, nearest: int = 11, prior_weight: float = 0.02, **how) -> DataFrame:
+    """One row per document: doc_id, text_key, held_out, score, predicted, neighbours (ids of the examples that voted)."""
     counted, index = fit(documents, labels, **how)
     sent = documents.sparkSession.sparkContext.broadcast(index)
 
@@ -193,20 +193,25 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, neare
 
         def f(b: pa.RecordBatch):
             scores, near = [], []
-            for terms in b.column(2).to_pylist():
+            for terms in b.column(3).to_pylist():
                 s, ids = index.vote(np.array(terms, np.int64), nearest, prior_weight)
                 scores.append(s)
                 near.append(ids)
             said = [int(s >= threshold) for s in scores]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(said, pa.int32()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "neighbours"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64()), pa.array(said, pa.int32()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "text_key", "held_out", "score", "predicted", "neighbours"])
 
         return f
 
-    return arrow_map(counted, "doc_id long, held_out boolean, score double, predicted int, neighbours array<bigint>", make)
+    return arrow_map(counted, "doc_id long, text_key long, held_out boolean, score double, predicted int, neighbours array<bigint>", make)
+
+
+def score(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, neighbours (ids of the examples that voted)."""
+    return scored(documents, labels, **how).drop("text_key")
 
 
 def kept(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of documents that are not predicted toxic; rows of a null id stay only if none of them is."""
-    gone = written(score(documents, labels, **how).filter("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct(), "toxic-ids")
+    """The rows of documents that are not predicted toxic. Rows alike in id and text stay or go together."""
+    gone = written(scored(documents, labels, **how).filter("predicted = 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "toxic-keys")
     gone = small_or_shuffled(gone, gone.count())
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left_anti")

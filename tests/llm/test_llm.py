@@ -379,6 +379,22 @@ def test_near_keypoints_are_all_found_once(spark, monkeypatch):
     assert got == sorted(map(tuple, np.argwhere(apart <= media.DIFFERENCE).tolist()))
 
 
+def test_rows_go_by_id_and_text(spark, monkeypatch):
+    """One toxic or copied text takes no other row of its id, or of no id, with it; and of copies without ids one stays."""
+    schema, some = "doc_id long, text string", " ".join(f"w{k}" for k in range(40))
+    rows = [(None, "bad bad"), (None, "clean one"), (7, "bad bad bad"), (7, "clean two"), (8, "clean three")]
+    docs = spark.createDataFrame(rows, schema)
+    judged = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").contains("bad").cast("int").alias("predicted"))
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "scored" if hasattr(toxicity, "scored") else "score", lambda *a, **b: judged)
+        assert sorted(r.text for r in toxicity.kept(docs, None).collect()) == ["clean one", "clean three", "clean two"]
+    near = [(None, some), (None, some + " a"), (3, "other text stands here alone"), (3, some + " b"), (2, some + " c"), (None, "quite another text without an id"), (None, None)]
+    left = sorted((r.text or "" for r in ngram_join.one_of_each(spark.createDataFrame(near, schema)).collect()))
+    assert left == sorted(["", some + " c", near[2][1], near[5][1]])
+    alone = spark.createDataFrame(near[:2], schema)
+    assert ngram_join.one_of_each(alone).count() == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
