@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, load
+from .tokens import MOST, Encoder, encoder, load
 
 SENTENCE, INSIDE = 2.0, 16.0
 STEP, LONG = 16, 96
@@ -128,9 +128,8 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def sentence_ids(spec: str, size: int) -> np.ndarray:
+def sentence_ids(e: Encoder, size: int) -> np.ndarray:
     """Which ids end a sentence: those whose text ends with a full stop, an exclamation or question mark or a line's end."""
-    e = encoder(spec)
     ends = {".", "!", "?", e.newline}
     out = np.zeros(size, bool)
     for token, k in e.full.get_vocab().items():
@@ -139,14 +138,17 @@ def sentence_ids(spec: str, size: int) -> np.ndarray:
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, remembered: int = MOST) -> DataFrame:
+    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    remembered: pieces of text whose ids a Python worker keeps; fewer take less memory and more time.
+    """
     spec = load(tokenizer)
 
     def run(batches):
-        e = encoder(spec)
+        e = encoder(spec, remembered)
         size = max(e.full.get_vocab_size(), end_id + 1)
-        packer = Packer(window, sentence_ids(spec, size), TaskContext.get().partitionId() << 40)
+        packer = Packer(window, sentence_ids(e, size), TaskContext.get().partitionId() << 40)
         end = np.full(1, end_id, e.dtype)
 
         def table(rows):

@@ -8,6 +8,7 @@ tokens) is given whole to the tokenizer. So ids are always those of encode(text,
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -20,8 +21,14 @@ _LETTERS, _SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]*", r"[!-&(-/:-@\[-`{-~]*"
 _PARTS = re.compile(rf"({_LETTERS})({_SIGNS})([^\0]*)(?:\0|$)")
 #: A piece that is empty or begins with a blank: the text is not cut at its spaces.
 _UNCUT = re.compile(r"(?:^|\0)(?:\s|\0|$)")
-#: Pieces, and letter runs, that are remembered.
-MOST = 250_000
+#: Pieces, and letter runs, that are remembered; about 0.4 kB each.
+MOST = 1_200_000
+
+
+def _halved(cache: dict) -> None:
+    """Forget the half of a cache that was learned first."""
+    for key in list(itertools.islice(cache, len(cache) // 2)):
+        del cache[key]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,9 +39,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """spec: the text of a tokenizers JSON file."""
+    """spec: the text of a tokenizers JSON file; most: pieces that are remembered."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, most: int = MOST):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -64,8 +72,6 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn_cores(self, cores: list[str]) -> None:
-        if len(self.cores) > MOST:
-            self.cores.clear()
         width = self.dtype().itemsize
         for k in range(0, len(cores), 4000):
             some = cores[k : k + 4000]
@@ -82,11 +88,11 @@ class Encoder:
         tails = [t if c else lead + t for c, t, _ in parts]
         fresh = set(heads).difference(self.cores)
         fresh.discard("")
-        if len(self.cores) + len(fresh) > MOST:
-            self.cores.clear()
-            fresh = set(heads) - {""}
+        if len(self.cores) + len(fresh) > self.most:
+            _halved(self.cores)
+            fresh = set(heads).difference(self.cores) - {""}
         self._learn_cores(list(fresh))
-        if len(self.tails) > MOST:
+        if len(self.tails) > self.most:
             self.tails = {"": b""}
         strange = list(set(tails).difference(self.tails))
         self.tails.update(zip(strange, self._whole(strange), strict=True))
@@ -145,9 +151,9 @@ class Encoder:
                 new_first[first] = None
             cut[k] = (first, rest, found, gaps)
         known, known_first = self.pieces, self.firsts
-        if len(known) + len(new) > MOST:
-            known.clear()
-        if len(known_first) > MOST:
+        if len(known) + len(new) > self.most:
+            _halved(known)
+        if len(known_first) > self.most:
             known_first.clear()
             new_first = {x[0]: None for x in cut.values()}
         if new:
@@ -169,13 +175,13 @@ def load(path: str) -> str:
         return f.read()
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, most: int = MOST) -> Encoder:
     """One encoder for each tokenizer in a Python worker, so that its caches serve all the worker's tasks."""
-    key = hash(spec)
+    key = (hash(spec), most)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(spec, most)
     return _encoders[key]
