@@ -114,12 +114,15 @@ def decode_file(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np
     return task, number, [None if d == NULL else d for d in docs.tolist()], lengths, out.reshape(-1)[:n]
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS) -> None:
-    """Encode every text, append end_id, and write the files in ascending order of doc_id (and of a hash of the text)."""
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, remembered: int = 700_000) -> None:
+    """Encode every text, append end_id, and write the files in ascending order of doc_id (and of a hash of the text).
+
+    remembered: pieces of text whose ids a Python worker keeps, beside the texts that are sorted.
+    """
     spec = load(tokenizer)
 
     def run(batches):
-        e, task, number = encoder(spec), TaskContext.get().partitionId(), 0
+        e, task, number = encoder(spec, remembered), TaskContext.get().partitionId(), 0
         end = np.full(1, end_id, e.dtype)
         docs, arrays, held = [], [], 0
 
