@@ -51,6 +51,22 @@ def small_or_shuffled(df: DataFrame, rows: int, limit: int = 500_000) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def parts_for(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for a shuffle whose tasks are heavy for their bytes: no fewer than spark.sql.shuffle.partitions, and one for 64 MB of input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+
+
+def without(documents: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """documents without the rows whose id and hash of the text are in keys (doc_id, text_key), with all columns.
+
+    The columns travel as one struct, so none can clash with a key's name.
+    """
+    gone = written(keys.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct(), name)
+    gone = small_or_shuffled(gone, gone.count())
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("key")), "left_anti").select("row.*")
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with a per-task state: make() is called once in each task."""
 

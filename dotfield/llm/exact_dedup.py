@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, arrow_map, small_or_shuffled, written
+from .common import WS, arrow_map, without, written
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 10, 16_384
@@ -132,6 +132,4 @@ def exact_groups(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
 
 def deduplicated(documents: DataFrame, key: bytes = b"dotfield") -> DataFrame:
     """The rows of documents that stay, with all their columns. Rows alike in id and text stay or go together."""
-    gone = written(decided(documents, key).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped-copies")
-    gone = small_or_shuffled(gone, gone.count())
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left_anti")
+    return without(documents, decided(documents, key).filter(~F.col("kept")), "dropped-copies")

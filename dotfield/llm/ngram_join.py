@@ -1,40 +1,46 @@
 """N-gram Jaccard self-join by vertical partitioning of the global n-gram order.
 
 The global order of n-grams is that of a 64-bit hash. It is cut into fragments, so each document's set falls into
-segments. Two uses are made of that:
+segments, and each fragment is worked on by itself:
 
 * Candidates. If two sets reach the threshold, few n-grams are in only one of them. With more non-empty segments than
-  that, some non-empty segment is the same in both (pigeonhole), so equal segments are the only pairs to look at. The
-  number of segments depends on a class of set sizes; a set is filed in its own class and the next, as a partner may be
-  there. A set with too many empty segments also files the first n-grams of its order one by one (prefix filter): if both
-  sets of a pair lack segments, both are filed so. No pair is lost.
-* Overlaps. A candidate pair's overlap is counted in each fragment separately and summed per pair.
-
-Equal sets are one node. Only links between what is not yet one component matter for the components. So a group of sets with
-one segment, cut into bounded blocks, gives a spanning forest of its possible links: a sketch of parity bits bounds from
-below how many n-grams are in only one of two sets, and pairs within the bound join trees, the nearest first. These few
-pairs are counted exactly. Groups in which a pair failed give another forest without it; after some rounds they give all
-pairs within the bound that are still apart. No group's pairs are ever rows, and components are those of all links.
-
-Sets are compared by 64-bit hashes of n-grams, and sets of equal size and equal 64-bit sum of mixed hashes count as equal.
+  that, some segments are the same in both (pigeonhole), so equal segments are the only pairs to look at. The number of
+  segments depends on a class of set sizes; a set files under its own class and the next, as a partner may be there.
+  Signatures of segments go packed to buckets, and only those that several sets have go on. Of these a set leaves out the
+  commonest, as many as the pigeonhole spares. A set with too many empty segments also files the first n-grams of its order
+  one by one: if both sets of a pair lack segments, both are filed so. No pair is lost.
+* Overlaps. A pair's partial overlap is counted in each fragment of about 200 n-grams, and the counts are summed per pair.
+
+Equal sets are one node. Only links between what is not yet one component matter for the components. So first each group of
+sets with one segment is a star around its smallest node. Groups that are still apart then give a spanning forest of
+their possible links: a sketch of parity bits, as wide as the set is large, bounds from below how many n-grams are in only one of
+two sets, and pairs within the bound join trees, the nearest first. Groups in which a counted pair failed give another forest without
+it. After some rounds they give all pairs within the bound that are still apart: near misses, which have to be counted one
+by one. Pairs that a sketch rules out are never rows. Components are those of all links.
+
+N-grams are compared by 64-bit hashes. Sets of equal 64-bit name count as equal after another 64-bit name has been
+compared; on a clash all sets are named anew.
 
 Cases. Null, empty and blank texts have no n-gram and link with nothing. A text of fewer words is one n-gram. Repeated rows
-and null ids: equal texts are one component, whose id is the smallest non-null id (a null id alone stays null). Very
-long texts are hashed in one piece of memory of 8 bytes per byte of text. An empty table gives an empty table. Further
-columns are not read by components() and are kept by one_of_each().
+and null ids: equal texts are one component, whose id is the smallest non-null id (a null id alone stays null). Ties among
+segments or pairs change the order of work and no result. Very long texts are hashed in one piece of memory of 8 bytes
+per byte of text. An empty table gives an empty table. Further columns are not read by components() and are kept, under
+any name, by one_of_each().
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, small_or_shuffled, written
+from .common import arrow_map, dropped, parts_for, small_or_shuffled, without, written
 
 _U = np.uint64
+#: Bits of a signature that are kept for its hash; the lowest two are flags.
+_KEPT = _U(2**64 - 4)
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(1234567).integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -140,23 +146,35 @@ class Segments:
         d = self.differing(key)
         return d + 1 + (d * 8 + 99) // 100 + (2 if d else 0)
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set; none for an empty one."""
+    def own(self, n: int) -> int:
+        """The class of a set of n n-grams; it files under this key and the next."""
+        return int(np.searchsorted(self.low, n, "right")) - 1
+
+    def of(self, grams: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Signatures of a sorted set, and for its even and its odd key how many of the commonest ones are not needed.
+
+        The lowest bit of a signature is that of its key, the next one tells single n-grams, which are all needed.
+        """
+        spare = [0, 0]
         if not len(grams):
-            return np.zeros(0, _U)
-        own = int(np.searchsorted(self.low, len(grams), "right")) - 1
+            return np.zeros(0, _U), spare
+        own = self.own(len(grams))
         out, high, mixed = [], grams >> _U(32), mix64(grams)
         for key in (own, own + 1):
-            m = self.number(key)
-            if self.differing(key) == 0:
-                continue  # only equal sets link, and they are one node
-            part = (high * _U(m)) >> _U(32)
+            d = self.differing(key)
+            if d == 0:  # only equal sets link, and they are one node
+                continue
+            part = (high * _U(self.number(key))) >> _U(32)
             first = np.flatnonzero(np.diff(part, prepend=_U(2**63)))
             sums = np.add.reduceat(mixed, first)
-            out.append(mix64(sums + mix64(part[first] + _U(key << 32))))
-            if len(first) <= self.differing(key):
-                out.append(mix64(grams[: self.prefix(len(grams))] ^ _U(key * 0x9E3779B1)))
-        return np.concatenate(out) if out else np.zeros(0, _U)
+            sums = (mix64(sums + mix64(part[first] + _U(key << 32))) & _KEPT) | _U(key & 1)
+            sums.sort()
+            sums = sums[np.diff(sums, prepend=_U(2**64 - 1)) != 0]
+            out.append(sums)
+            spare[key & 1] = max(0, len(sums) - d - 1)
+            if len(first) <= d:
+                out.append((mix64(grams[: self.prefix(len(grams))] ^ _U(key * 0x9E3779B1)) & _KEPT) | _U(2 | key & 1))
+        return np.concatenate(out) if out else np.zeros(0, _U), spare
 
     def prefix(self, n: int) -> int:
         return n - (self.percent * n + 99) // 100 + 1
@@ -172,52 +190,210 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(flat)))
 
 
-def signed_sets(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, node (of the set; 0 for none), signatures (in the first row of a node in its task)."""
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
 
-    def make():
-        shingler, segments, seen = Shingler(n), Segments(percent), set()
-
-        def f(b: pa.RecordBatch):
-            sets = shingler.sets(b.column(2).to_pylist())
-            nodes = node_ids(sets)
-            files = []
-            for node, s in zip(nodes.tolist(), sets, strict=True):
-                new = node not in seen
-                if len(seen) < 2_000_000:
-                    seen.add(node)
-                files.append(segments.of(s) if new else s[:0])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(nodes)), _lists(files)], ["doc_id", "text_key", "n_shingles", "node", "signatures"])
 
-        return f
+def node_ids(sets: list[np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name for each set, of its size and the sum of its mixed hashes, and another to check it by; 0 for an empty set."""
+    out = []
+    sizes = np.array([len(s) for s in sets], _U)
+    for k in (2 * seed, 2 * seed + 1):
+        sums = np.array([mix64(s + _U(k * 0x632BE59BD9B4E019 % 2**64)).sum(dtype=_U) for s in sets], _U)
+        out.append(np.where(sizes > 0, np.maximum(mix64(sums + (sizes << _U(20))), _U(1)), _U(0)))
+    return out[0], out[1]
+
+
+ROW = "kind byte, bucket long, doc_id long, text_key long, n_shingles long, node long, other_name long, spare_even int, spare_odd int, sigs binary, nodes binary, sig long, seen int"
+COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+DOCUMENT, PACKED, REPEATED = 0, 1, 2
+
+
+def _batch(k: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"byte": pa.int8(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in ROW.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(k, t) for c, t in zip(COLUMNS, types, strict=True)], COLUMNS)
+
+
+class Filing:
+    """Collects (signature, node) pairs of a task and gives them as packed rows, one per bucket: 4 bytes of a signature and 8 of a node."""
+
+    def __init__(self, bits: int, common: int):
+        self.bits, self.common, self.turn = bits, common, 0
+        self.sigs: list[np.ndarray] = []
+        self.nodes: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, sigs: np.ndarray, node) -> None:
+        self.sigs.append(sigs)
+        self.nodes.append(np.full(len(sigs), node, _U))
+        self.held += len(sigs)
+
+    def rows(self):
+        if not self.held:
+            return
+        sigs, nodes = np.concatenate(self.sigs), np.concatenate(self.nodes)
+        self.sigs, self.nodes, self.held = [], [], 0
+        order = np.argsort(sigs, kind="stable")
+        sigs, nodes = sigs[order], nodes[order]
+        begin = np.flatnonzero(np.diff(sigs, prepend=sigs[0] ^ _U(1)))
+        many = np.diff(np.append(begin, len(sigs))) > self.common
+        if many.any():  # a very common signature is no task's: it goes round its bucket, which is only told that it is common
+            hot = np.repeat(many, np.diff(np.append(begin, len(sigs))))
+            yield self._spread(sigs[hot], nodes[hot])
+            told = sigs[begin[many]]
+            sigs, nodes = np.concatenate([sigs[~hot], told]), np.concatenate([nodes[~hot], np.zeros(len(told), _U)])
+            order = np.argsort(sigs, kind="stable")
+            sigs, nodes = sigs[order], nodes[order]
+        bucket, rest = _parts(sigs, self.bits)
+        cut = np.flatnonzero(np.diff(bucket, prepend=bucket[0] ^ _U(1)))
+        ends = np.append(cut[1:], len(bucket))
+        packed = [(rest[a:e].tobytes(), nodes[a:e].tobytes()) for a, e in zip(cut.tolist(), ends.tolist(), strict=True)]
+        k = len(packed)
+        for at in range(0, k, 512):
+            some = packed[at : at + 512]
+            yield _batch(len(some), kind=pa.array([PACKED] * len(some), pa.int8()), bucket=pa.array(_signed(bucket[cut[at : at + 512]].copy())), sigs=pa.array([x[0] for x in some], pa.binary()), nodes=pa.array([x[1] for x in some], pa.binary()))
+
+    def _spread(self, sigs: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        bucket, rest = _parts(sigs, self.bits)
+        at = mix64(nodes) >> _U(64 - self.bits)
+        k = len(sigs)
+        return _batch(k, kind=pa.array(np.full(k, REPEATED, np.int8)), bucket=pa.array(_signed(at)), sig=pa.array(_signed((bucket << _U(32)) | rest)), node=pa.array(_signed(nodes)), seen=pa.array(np.full(k, COMMON, np.int32)))
+
+
+def _parts(sigs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each signature (its first bits), and 30 bits after these with the two flags."""
+    return sigs >> _U(64 - bits), (((sigs >> _U(34 - bits)) << _U(2)) | (sigs & _U(3))).astype(np.uint32)
+
+
+#: The count of a signature that is in so many sets or more; all of these count alike.
+COMMON = 1 << 20
+#: Signatures that a task packs at once, and sets with one signature among them from which it counts as common.
+PACK, OFTEN = 1 << 20, 512
+
+
+def packed_rows(documents: DataFrame, n: int, percent: int, bits: int, seed: int) -> DataFrame:
+    """Rows of ROW: of each document (kind DOCUMENT), and packed signatures of the tasks' distinct sets."""
 
-    return arrow_map(_keyed(documents), "doc_id long, text_key long, n_shingles long, node long, signatures array<bigint>", make)
+    def run(batches):
+        shingler, segments, seen, filing = Shingler(n), Segments(percent), set(), Filing(bits, OFTEN)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = shingler.sets(b.column(2).to_pylist())
+                nodes, other = node_ids(sets, seed)
+                spare = []
+                for node, s in zip(nodes.tolist(), sets, strict=True):
+                    sigs, left = segments.of(s)
+                    spare.append(left)
+                    if node not in seen and len(sigs):
+                        filing.add(sigs, node)
+                        if len(seen) < REMEMBERED:
+                            seen.add(node)
+                k = b.num_rows
+                where = mix64(nodes + np.arange(k, dtype=_U)) >> _U(64 - bits)
+                yield _batch(
+                    k, kind=pa.array(np.full(k, DOCUMENT, np.int8)), bucket=pa.array(_signed(where)), doc_id=b.column(0), text_key=b.column(1), n_shingles=pa.array([len(s) for s in sets], pa.int64()),
+                    node=pa.array(_signed(nodes)), other_name=pa.array(_signed(other)), spare_even=pa.array([x[0] for x in spare], pa.int32()), spare_odd=pa.array([x[1] for x in spare], pa.int32()),
+                )
+                if filing.held >= PACK:
+                    yield from filing.rows()
+        yield from filing.rows()
+
+    return _keyed(documents).mapInArrow(run, ROW)
+
+
+#: Names of sets that a task remembers; sets beyond are filed again, which changes no result.
+REMEMBERED = 500_000
+
+
+def repeated(packed: list[tuple[bytes, bytes]], bucket: int) -> pa.RecordBatch | None:
+    """The signatures of a bucket that several sets have, once for each set, with their count."""
+    rest = np.concatenate([np.frombuffer(x[0], np.uint32) for x in packed])
+    node = np.concatenate([np.frombuffer(x[1], _U) for x in packed])
+    order = np.argsort(rest, kind="stable")
+    rest, node = rest[order], node[order]
+    size = np.diff(np.append(np.flatnonzero(np.diff(rest, prepend=~rest[0])), len(rest)))
+    twice = np.repeat(size > 1, size)
+    rest, node = rest[twice], node[twice]
+    if not len(rest):
+        return None
+    order = np.lexsort((node, rest))
+    rest, node = rest[order], node[order]
+    first = np.ones(len(rest), bool)
+    first[1:] = (rest[1:] != rest[:-1]) | (node[1:] != node[:-1])
+    rest, node = rest[first], node[first]
+    begin = np.flatnonzero(np.diff(rest, prepend=~rest[0]))
+    size = np.diff(np.append(begin, len(rest)))
+    told = node[begin] == 0  # common in some task
+    count = np.repeat(np.where(told, COMMON, np.minimum(size, COMMON)), size)
+    take = (np.repeat((size > 1) | told, size)) & (node != 0)
+    k = int(take.sum())
+    if not k:
+        return None
+    sig = (_U(bucket) << _U(32)) | rest[take].astype(_U)
+    return _batch(k, kind=pa.array(np.full(k, REPEATED, np.int8)), bucket=pa.array(np.full(k, bucket, np.int64)), node=pa.array(_signed(node[take])), sig=pa.array(_signed(sig)), seen=pa.array(count[take].astype(np.int32)))
+
+
+def filed(documents: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """A written table of documents and of repeated signatures, as ROW; other signatures are gone after one packed shuffle."""
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first().n or 0
+    buckets = max(64, size // 2_500_000)  # about 250,000 signatures each
+    bits = min(20, int(buckets).bit_length())
 
+    def run(batches):
+        held: list[tuple[bytes, bytes]] = []
+        now = None
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            plain = np.flatnonzero(kind != PACKED)
+            if len(plain):
+                yield b.take(pa.array(plain))
+            some = b.take(pa.array(np.flatnonzero(kind == PACKED)))
+            for bucket, s, v in zip(some.column(1).to_pylist(), some.column(9).to_pylist(), some.column(10).to_pylist(), strict=True):
+                if held and bucket != now:
+                    if (out := repeated(held, now)) is not None:
+                        yield out
+                    held = []
+                now = bucket
+                held.append((s, v))
+        if held and (out := repeated(held, now)) is not None:
+            yield out
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
+    rows = packed_rows(documents, n, percent, bits, seed).repartition(parts_for(documents.sparkSession, size), "bucket").sortWithinPartitions("bucket")
+    return written(rows.mapInArrow(run, ROW).drop("sigs", "nodes", "bucket"), "filed")
 
 
-def node_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name for each set: of the sum of its mixed hashes and its size; 0 for an empty set."""
-    sums = np.array([mix64(s).sum(dtype=_U) for s in sets], _U)
-    sizes = np.array([len(s) for s in sets], _U)
-    return np.where(sizes > 0, mix64(sums + (sizes << _U(20))), _U(0))
+def named(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """filed(), in which equal names mean equal sets: if two names of a set disagree, all are named anew."""
+    for seed in range(8):
+        rows = filed(documents, n, percent, seed)
+        clash = rows.filter(F.col("kind") == DOCUMENT).groupBy("node").agg(F.min("other_name").alias("low"), F.max("other_name").alias("high")).filter("low <> high")
+        if clash.isEmpty():
+            return rows
+        dropped(rows)
+    raise RuntimeError("names of sets clash under every seed")
 
 
-def grain(size: int, per: int = 4096) -> int:
-    """A set of this size is cut into 2 ** grain parts."""
+def grain(size: int, per: int = 256) -> int:
+    """A set of this size is cut into 2 ** grain fragments, of 128 to 256 n-grams where it has more than that."""
     return (size // per).bit_length()
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of a set's sketch: a power of two, between once and twice the set's size, 512 at least."""
+    return max(512, 1 << int(n).bit_length())
+
+
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of n-grams in 512 buckets: two sets' sketches differ in no more bits than the sets in n-grams."""
-    odd = np.bincount((mix64(grams) >> _U(55)).astype(np.int64), minlength=512) & 1
+    """Parities of the numbers of n-grams in buckets: two sets' sketches differ in no more bits than the sets in n-grams."""
+    bits = sketch_bits(len(grams))
+    odd = np.bincount((mix64(grams) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def fragments_of(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, n (set size), grain, part, grams, sketch: each set cut at fixed places of the global order, into about 4096 n-grams.
+    """node, n (set size), grain, part, grams, sketch: each set cut at fixed places of the global order.
 
     A set whose larger partner may be cut finer is also cut so. documents: the wanted node, and text. The sketch of the
     whole set is in its first part only.
@@ -226,59 +402,115 @@ def fragments_of(documents: DataFrame, n: int, percent: int) -> DataFrame:
     def make():
         shingler, seen = Shingler(n), set()
 
-        def f(b: pa.RecordBatch):
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
-            sets = shingler.sets(b.column(1).to_pylist())
-            for node, own, s in zip(b.column(0).to_pylist(), _signed(node_ids(sets)).tolist(), sets, strict=True):
-                if node != own or node in seen:
-                    continue
-                if len(seen) < 2_000_000:
-                    seen.add(node)
-                bits: list | None = sketch(s).tolist()
-                for g in sorted({grain(len(s)), grain(100 * len(s) // percent)}):
-                    part = s >> _U(64 - g) if g else np.zeros(len(s), _U)
-                    first = np.flatnonzero(np.diff(part, prepend=_U(2**64 - 1)))
-                    for a, e in zip(first.tolist(), [*first[1:].tolist(), len(s)], strict=True):
-                        for c, v in zip(cols, (node, len(s), g, int(part[a]), s[a:e], bits), strict=True):
-                            c.append(v)
-                        bits = None
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), _lists(cols[4]), pa.array(cols[5], pa.list_(pa.int64()))], ["node", "n", "grain", "part", "grams", "sketch"])
+        def f(whole: pa.RecordBatch):
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                cols: tuple[list, ...] = ([], [], [], [], [], [])
+                for node, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1).to_pylist()), strict=True):
+                    if node in seen:
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(node)
+                    bits: list | None = sketch(s).tolist()
+                    for g in sorted({grain(len(s)), grain(100 * len(s) // percent)}):
+                        part = s >> _U(64 - g) if g else np.zeros(len(s), _U)
+                        first = np.flatnonzero(np.diff(part, prepend=_U(2**64 - 1)))
+                        for a, e in zip(first.tolist(), [*first[1:].tolist(), len(s)], strict=True):
+                            for c, v in zip(cols, (node, len(s), g, int(part[a]), s[a:e], bits), strict=True):
+                                c.append(v)
+                            bits = None
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), _lists(cols[4]), pa.array(cols[5], pa.list_(pa.int64()))], ["node", "n", "grain", "part", "grams", "sketch"])
 
         return f
 
     return arrow_map(documents, "node long, n long, grain long, part long, grams array<bigint>, sketch array<bigint>", make)
 
 
-def _apart(a: str, b: str):
-    """In how many bits two sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two sketches differ, the wider one folded to the other's width."""
+
+    def fold(x, y):
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
-def overlaps(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes with linked: overlaps are counted in each fragment and summed per pair.
+#: Sets of one group, or pairs of one set, that meet in one place.
+SIDE = 1024
+
 
-    Pairs whose sizes or sketches rule a link out are told so without counting. sizes: node, n, grain, sketch.
+def _met(pairs: DataFrame, tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """pairs (a, b, ...) joined with a table for each end, on that end and further keys.
+
+    A node of many pairs meets them in shares of about SIDE, for each of which its rows are repeated; so no task has all.
     """
-    of = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("grain").alias("g" + x), F.col("sketch").alias("s" + x))
-    near = pairs.join(of("a"), "a").join(of("b"), "b")
-    near = near.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
-    near = near.withColumn("grain", F.greatest("ga", "gb")).select("a", "b", "na", "nb", "grain")
-    left = parts.select(F.col("node").alias("a"), "grain", "part", F.col("grams").alias("xa"))
-    right = parts.select(F.col("node").alias("b"), "grain", "part", F.col("grams").alias("xb"))
-    both = near.join(left, ["a", "grain"]).join(right, ["b", "grain", "part"])
-    shared = both.groupBy("a", "b", "na", "nb", "part").agg(F.max(F.size(F.array_intersect("xa", "xb")).cast("long")).alias("shared"))
-    summed = shared.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("common"))
+    parts = {}
+    for end, other in (("a", "b"), ("b", "a")):
+        many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > SIDE)
+        many = written(many.select(end, F.ceil(F.col("__k") / SIDE).cast("int").alias("__k")), "frequent-ends")
+        rows, share = tables[end], f"__share_{end}"
+        if many.isEmpty():
+            pairs, parts[end] = pairs.withColumn(share, F.lit(0)), rows.withColumn(share, F.lit(0))
+            continue
+        many, k = small_or_shuffled(many, many.count()), F.coalesce("__k", F.lit(1))
+        pairs = pairs.join(many, end, "left").withColumn(share, F.pmod(F.xxhash64(other), k).cast("int")).drop("__k")
+        parts[end] = rows.join(many, end, "left").withColumn(share, F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
+    for end in ("a", "b"):
+        pairs = pairs.join(parts[end], [end, f"__share_{end}", *keys[end]])
+    return pairs
+
+
+def near_enough(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out: a, b, na, nb, grain. sizes: node, n, grain, sketch."""
+    of = {x: sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("grain").alias("g" + x), F.col("sketch").alias("s" + x)) for x in ("a", "b")}
+    both = _met(pairs, of, {"a": [], "b": []})
+    near = both.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    near = near.filter(_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return near.select("a", "b", "na", "nb", F.greatest("ga", "gb").alias("grain"))
+
+
+def overlaps(near: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of near_enough() that link: partial overlaps are counted in each fragment and summed per pair."""
+    of = {x: parts.select(F.col("node").alias(x), "grain", "part", F.col("grams").alias("x" + x)) for x in ("a", "b")}
+    both = _met(near, of, {"a": ["grain"], "b": ["grain", "part"]})
+    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("shared"))
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("common"))
     return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-#: Sets of one group that are compared in one piece of memory.
-SIDE = 1024
+def segment_groups(rows: DataFrame) -> DataFrame:
+    """sig, node: the sets that have a signature, after each set has left out the commonest of its signatures.
+
+    Of a set's a signatures under one key at most d are spoiled by n-grams that a linked set lacks, so it shares a - d of
+    them; then the first d + 1 in any one order, here rarest first, share one (prefix filter). What many unlike sets have
+    in common, such as a licence, is common and goes.
+    """
+    known = rows.filter((F.col("kind") == DOCUMENT) & (F.col("node") != 0)).groupBy("node").agg(F.max("spare_even").alias("spare_even"), F.max("spare_odd").alias("spare_odd"))
+    odd, single = F.col("sig").bitwiseAND(F.lit(1)), F.col("sig").bitwiseAND(F.lit(2))
+    commonest = W.partitionBy("node", odd, single).orderBy(F.col("seen").desc(), F.col("sig").desc())
+    found = rows.filter(F.col("kind") == REPEATED).select("sig", "node", "seen").join(known, "node").withColumn("__at", F.dense_rank().over(commonest))
+    kept = found.filter((single != 0) | (F.col("__at") > F.when(odd == 1, F.col("spare_odd")).otherwise(F.col("spare_even"))))
+    return kept.select("sig", "node").dropDuplicates(["sig", "node"])
 
 
-def _forest(node, label, n, bits, side, gone: list[list[int] | None], percent: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs of one block pair that may link, join different labels, and did not fail: a forest of near ones, or every one.
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined with one row per group (sig, size, ...); groups over SIDE are few and are not met on their key."""
+    big = groups.filter(F.col("size") > SIDE)
+    big = small_or_shuffled(big, big.count())
+    return rows.join(big, "sig").unionByName(rows.join(big.select("sig"), "sig", "left_anti").join(groups.filter(F.col("size") <= SIDE), "sig"))
 
-    side: 0 and 1 for a pair of blocks, all 0 for a block with itself. gone: for a node the partners with which it failed.
+
+def star_pairs(kept: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each group's smallest node with its others."""
+    groups = written(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a")).filter("size > 1"), "group-sizes")
+    return _with_group(kept, groups).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _forest(node, label, n, bits, side, gone: dict[int, list[int]], percent: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of one block that may link, join different labels, and did not fail: a forest of near ones, or every one.
+
+    side: 0 and 1 for residents and visitors, all 0 for a block with itself. gone: for a node the partners with which it failed.
     """
     two = bool(side.any())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(node)),) * 2
@@ -290,53 +522,67 @@ def _forest(node, label, n, bits, side, gone: list[list[int] | None], percent: i
         if len(others):
             far = np.bitwise_count(bits[others] ^ bits[a]).sum(axis=1, dtype=np.int64)
             ok = (far * (100 + percent) <= (n[others] + n[a]) * (100 - percent)) & (n[others] * 100 >= n[a] * percent) & (n[a] * 100 >= n[others] * percent)
-            if gone[a]:
-                ok &= ~np.isin(node[others], gone[a])
+            if (lost := gone.get(int(node[a]))) is not None:
+                ok &= ~np.isin(node[others], lost)
             hit = others[ok]
             if not every and len(hit):
                 hit = hit[np.argsort(far[ok], kind="stable")]
                 hit = hit[np.sort(np.unique(tree[hit], return_index=True)[1])]  # the nearest of each tree
                 tree[np.isin(tree, tree[hit])] = tree[a]
             out += [(int(node[a]), x) for x in node[hit].tolist()]
-    return [(min(p), max(p)) for p in out]
+    return list(dict.fromkeys((min(p), max(p)) for p in out))
+
 
+def _folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches in rows, all folded to the narrowest one's width."""
+    width = min(map(len, sketches))
+    out = []
+    for s in sketches:
+        while len(s) > width:
+            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+        out.append(s)
+    return np.stack(out).view(_U)
 
-def candidate_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, failed: DataFrame | None, percent: int, every: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, to count next, from groups (sig, node) that hold more than one label.
 
-    failed: pairs (a, b) that were counted and do not link; with it, only groups that hold such a pair are looked at.
+def apart_pairs(kept: DataFrame, labels: DataFrame, sizes: DataFrame, failed: DataFrame | None, percent: int, every: bool) -> DataFrame:
+    """sig, a, b (a < b): pairs to count next, in groups of kept (sig, node) that hold more than one label.
+
+    failed: (sig, a, b) that were counted in a group and do not link. A group over SIDE is cut into blocks of its sets; the
+    sets that do not have the group's commonest label visit all blocks. A block's pairs are looked at in one piece of memory.
     """
-    same = W.partitionBy("sig")
-    told = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    told = told.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same), "size": F.count(F.lit(1)).over(same)}).filter("low <> high")
-    if failed is None:
-        told = written(told.select("sig", "node", "label", "size"), "apart")
-        two = told.filter("size = 2").groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
-        many = told.filter("size > 2").withColumn("gone", F.lit(None).cast("array<bigint>"))
-    else:
-        # A group of two that is apart has failed.
-        told = written(told.filter("size > 2").select("sig", "node", "label", "size"), "apart")
-        partners = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("gone"))
-        many, two = told.join(partners, "node", "left"), None
-        held = told.select("sig", F.col("node").alias("__b"))
-        hurt = many.filter("gone is not null").select("sig", F.explode("gone").alias("__b")).distinct().join(held, ["sig", "__b"], "left_semi")
-        many = many.join(hurt.select("sig").distinct(), "sig", "left_semi")
-        # Either end of a failed pair may be looked at first.
-        back = failed.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("__back"))
-        many = many.join(back, "node", "left").withColumn("gone", F.concat(F.coalesce("gone", F.array().cast("array<bigint>")), F.coalesce("__back", F.array().cast("array<bigint>"))))
-    many = many.join(sizes.select("node", "n", "sketch"), "node")
-    blocks = F.ceil(F.col("size") / SIDE).cast("int")
-    many = many.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "sketch", "gone")
+    told = written(kept.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "told")
+    groups = told.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda c: F.ceil(c / SIDE).cast("int")
+    groups = written(groups.select("sig", "size", F.col("most.label").alias("main"), blocks(F.col("size")).alias("rooms"), blocks(F.col("size") - F.col("most.n")).alias("tours")), "apart")
+    rows = _with_group(told, groups).withColumns({"room": F.pmod(F.xxhash64("node"), F.col("rooms")).cast("int"), "tour": F.pmod(F.xxhash64("node", F.lit(1)), F.col("tours")).cast("int")})
+    one, many = F.col("rooms") == 1, F.col("rooms") > 1
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.when(one, F.lit(0)).otherwise(F.col(c) - 1)))
+    slim = ["sig", "node", "label"]
+    residents = rows.select(*slim, F.col("room").alias("p"), up_to("tours").alias("q"), F.lit(0).alias("side"))
+    visitors = rows.filter(many & (F.col("label") != F.col("main"))).select(*slim, up_to("rooms").alias("p"), F.col("tour").alias("q"), F.lit(1).alias("side"))
+    asked = residents.unionByName(visitors).join(sizes.select("node", "n", "sketch"), "node").select("sig", "p", "q", "side", "node", "label", "n", "sketch")
+    if failed is not None:
+        lost = _with_group(failed.join(groups.select("sig"), "sig", "left_semi"), groups.select("sig", "size", "rooms", "tours"))
+        lost = lost.unionByName(lost.withColumns({"a": F.col("b"), "b": F.col("a")}))
+        lost = lost.select("sig", F.pmod(F.xxhash64("a"), F.col("rooms")).cast("int").alias("p"), F.when(one, F.lit(0)).otherwise(F.pmod(F.xxhash64("b", F.lit(1)), F.col("tours")).cast("int")).alias("q"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("label"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("sketch"))
+        asked = asked.unionByName(lost)
 
     def run(batches):
         def solve(rows: pa.Table):
             node, label, n, side = (rows.column(c).to_numpy() for c in ("node", "label", "n", "side"))
-            bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(len(node), -1)
-            return _forest(node, label, n, bits, side, rows.column("gone").to_pylist(), percent, every)
-
-        def table(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
+            gone: dict[int, list[int]] = {}
+            for a, b in zip(node[side == 2].tolist(), label[side == 2].tolist(), strict=True):
+                gone.setdefault(a, []).append(b)
+            real = np.flatnonzero(side < 2)
+            if not len(real):
+                return []
+            flat = rows.column("sketch").combine_chunks()
+            values, offset = flat.values.to_numpy().view(_U), flat.offsets.to_numpy()
+            bits = _folded([values[offset[k] : offset[k + 1]] for k in real.tolist()])
+            return _forest(node[real], label[real], n[real], bits, side[real], gone, percent, every)
+
+        def table(sig, pairs):
+            return pa.RecordBatch.from_arrays([pa.array([sig] * len(pairs), pa.int64()), pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["sig", "a", "b"])
 
         held: list[pa.RecordBatch] = []
         key = None
@@ -345,94 +591,101 @@ def candidate_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, fail
             if not len(keys):
                 continue
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            out: list[tuple[int, int]] = []
             for s, e in zip(cut, cut[1:], strict=False):
                 now = tuple(keys[s].tolist())
                 if held and now != key:
-                    out += solve(pa.Table.from_batches(held))
+                    if out := solve(pa.Table.from_batches(held)):
+                        yield table(key[0], out)
                     held = []
                 key = now
                 held.append(b.slice(s, e - s))
-            if out:
-                yield table(list(dict.fromkeys(out)))
-        if held:
-            out = solve(pa.Table.from_batches(held))
-            if out:
-                yield table(out)
+        if held and (out := solve(pa.Table.from_batches(held))):
+            yield table(key[0], out)
 
-    found = many.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long")
-    return (found if two is None else two.unionByName(found)).distinct()
+    spread = asked.repartition(parts_for(asked.sparkSession), "sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    return spread.mapInArrow(run, "sig long, a long, b long")
 
 
 def min_labels(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of its component, for the nodes of links (a, b).
 
     Each round takes the smallest label among the neighbours and then the label of that label, so a chain of n nodes needs
-    about log n rounds. Sums per node are made before the shuffle; each round's labels are a written table.
+    about log n rounds. Minima per node are taken before the shuffle; each round's labels are a written table.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     for k in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").unionByName(labels)
-        new = near.groupBy("node").agg(F.min("label").alias("label"))
+        # Only labels that are not their own label can change what has them; a settled tree's root is not asked again.
+        moves = written(labels.filter("node <> label").join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("__n"), F.col("label").alias("__l")), f"moves{k}")
+        moves = small_or_shuffled(moves, moves.count())
+        jumped = labels.join(moves, F.col("label") == F.col("__n"), "left").select("node", F.col("label").alias("old"), F.coalesce("__l", "label").alias("label"))
+        jumped = written(jumped, f"jumped{k}")
+        told = both.join(jumped.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").unionByName(jumped.select("node", "label"))
+        best = told.groupBy("node").agg(F.min("label").alias("label"))
         # Also tell the old label's node: trees hang together while they are joined.
-        hook = near.join(labels.select("node", F.col("label").alias("__old")), "node").select(F.col("__old").alias("node"), "label")
-        new = new.unionByName(hook).groupBy("node").agg(F.min("label").alias("label"))
-        jump = new.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
-        new = new.join(jump, F.col("label") == F.col("__n"), "left").select("node", F.least("label", F.coalesce("__l", "label")).alias("label"))
-        new = written(new, f"labels{k}")
-        changed = new.join(labels.select("node", F.col("label").alias("__old")), "node").filter("label <> __old").limit(1).count()
+        hook = best.join(jumped.select("node", F.col("label").alias("__old")), "node").filter("label < __old").groupBy(F.col("__old").alias("node")).agg(F.min("label").alias("label"))
+        new = written(best.unionByName(hook).groupBy("node").agg(F.min("label").alias("label")), f"labels{k}")
+        changed = not new.join(labels, ["node", "label"], "left_anti").isEmpty()
         labels = new
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
 
 
-def linked_nodes(documents: DataFrame, filed: DataFrame, firsts: DataFrame, n: int, percent: int, rounds: int = 2) -> DataFrame:
-    """node, label for nodes that have links. filed: node, signatures; firsts: doc_id, text_key, node of all documents."""
-    same = W.partitionBy("sig")
-    groups = filed.select("node", F.explode("signatures").alias("sig"))
-    groups = groups.withColumns({"__low": F.min("node").over(same), "__high": F.max("node").over(same)}).filter("__low <> __high").select("sig", "node").distinct()
-    groups = written(groups, "segment-groups")
-    dropped(filed)
-    wanted = written(groups.select("node").distinct(), "candidates")
-    first = firsts.join(small_or_shuffled(wanted, wanted.count()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+def linked_nodes(documents: DataFrame, rows: DataFrame, n: int, percent: int, rounds: int = 2) -> DataFrame | None:
+    """node, label for nodes that have links; None if there are no links. rows: what named() gave."""
+    kept = written(segment_groups(rows), "segment-groups")
+    pairs = written(star_pairs(kept), "star-pairs")
+    if pairs.isEmpty():
+        return None
+    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "candidates")
+    first = rows.filter(F.col("kind") == DOCUMENT).select("node", "doc_id", "text_key").join(small_or_shuffled(wanted, wanted.count()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     first = written(first.select("node", F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")), "representatives")
     texts = _keyed(documents).join(small_or_shuffled(first, first.count()), (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
     parts = written(fragments_of(texts, n, percent), "fragments")
     sizes = written(parts.filter("sketch is not null").dropDuplicates(["node"]).select("node", "n", "grain", "sketch"), "sketches")
-    links = failed = None
-    labels = wanted.select("node", F.col("node").alias("label"))
+    near = written(near_enough(pairs, sizes, percent), "near-pairs")
+    links = written(overlaps(near, parts, percent), "links")
+    lost = written(near.select("a", "b").join(links, ["a", "b"], "left_anti"), "lost-pairs")
+    labels = wanted.select("node", F.col("node").alias("label")) if links.isEmpty() else min_labels(links)
+    failed = None
     for k in range(rounds + 1):
-        pairs = written(candidate_pairs(groups, labels, sizes, failed, percent, every=k == rounds), f"pairs{k}")
-        if pairs.isEmpty():
-            break
-        found = written(overlaps(pairs, parts, sizes, percent), f"links{k}")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = min_labels(links)
-        lost = pairs.join(found, ["a", "b"], "left_anti")
-        failed = written(lost if failed is None else failed.unionByName(lost), f"failed{k}")
+        asked = written(apart_pairs(kept, labels, sizes, failed, percent, every=k == rounds), f"asked{k}")
+        new = asked.select("a", "b").distinct().join(lost, ["a", "b"], "left_anti")
+        near = written(near_enough(new, sizes, percent), f"near-pairs{k}")
+        if not near.isEmpty():
+            found = written(overlaps(near, parts, percent), f"links{k}")
+            lost = written(lost.unionByName(near.select("a", "b").join(found, ["a", "b"], "left_anti")), f"lost-pairs{k}")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                labels = min_labels(links)
         if k == rounds or lost.isEmpty():
             break
+        # Only a group in which a pair was lost may have other pairs to offer.
+        again = asked.join(lost, ["a", "b"], "left_semi")
+        failed = written(again if failed is None else failed.unionByName(again).distinct(), f"failed{k}")
+        kept = kept.join(again.select("sig").distinct(), "sig", "left_semi")
+        if again.isEmpty():
+            break
     dropped(parts)
-    return labels
+    return labels if not links.isEmpty() else None
 
 
 def labelled(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """One row per document (a written table): doc_id, text_key, n_shingles, label (that of its component; null for empty texts)."""
-    sets = written(signed_sets(documents, n, percent), "signed-sets")
-    firsts = written(sets.drop("signatures"), "sets")
-    labels = linked_nodes(documents, sets, firsts, n, percent)
-    rows = firsts.select("doc_id", "text_key", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label"))
-    return written(rows, "labelled")
+    rows = named(documents, n, percent)
+    labels = linked_nodes(documents, rows, n, percent)
+    own = rows.filter(F.col("kind") == DOCUMENT).select("doc_id", "text_key", "n_shingles", "node")
+    if labels is None:
+        return own.select("doc_id", "text_key", "n_shingles", F.when(F.col("node") != 0, F.col("node")).alias("label"))
+    return written(own.join(labels, "node", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label")), "labelled")
 
 
 def components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
     rows = labelled(documents, n, percent)
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    out = rows.join(least.select("label", "component_id"), "label", "left")
+    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("label", "component_id")
+    out = rows.join(least, "label", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -444,6 +697,4 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     rows = labelled(documents, n, percent).filter("label is not null").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("row")).distinct()
     first = rows.groupBy("label").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     gone = rows.join(first.select("label", "first"), "label").filter("row > first")
-    gone = written(gone.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")).distinct(), "near-copies")
-    gone = small_or_shuffled(gone, gone.count())
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left_anti")
+    return without(documents, gone.select("row.doc_id", "row.text_key"), "near-copies")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_fold, small_or_shuffled, written
+from .common import arrow_map, crc_fold, without, written
 from .labelled import sample
 
 #: ASCII signs at a word's ends are not part of it.
@@ -212,6 +212,4 @@ def score(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def kept(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of documents that are not predicted toxic. Rows alike in id and text stay or go together."""
-    gone = written(scored(documents, labels, **how).filter("predicted = 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "toxic-keys")
-    gone = small_or_shuffled(gone, gone.count())
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key")), "left_anti")
+    return without(documents, scored(documents, labels, **how).filter("predicted = 1"), "toxic-keys")
