@@ -38,8 +38,32 @@ def experiment_of(path: Column) -> Column:
 
 
 def probe(c: Column) -> Column:
-    """The first probe token: AST, PST or RST with its digits and a -number."""
-    return F.nullif(F.regexp_extract(c, r"([ARP]ST\d+(?:-\d+)?)", 1), F.lit(""))
+    """The first probe token in capitals: AST, PST or RST in any case, with its digits."""
+    return F.nullif(F.upper(F.regexp_extract(c, r"(?i)([ARP]ST\d+)", 1)), F.lit(""))
+
+
+def probe_pair(c: Column) -> tuple[Column, Column]:
+    """The probes of a file name that ends with _<probe>_to_<probe>.csv, in capitals."""
+    at = lambda k: F.nullif(F.upper(F.regexp_extract(c, r"(?i)_([rap]st\d+)_to_([rap]st\d+)\.csv", k)), F.lit(""))
+    return at(1), at(2)
+
+
+def prefixed_channel(c: Column, prefix: str) -> Column:
+    """What stands between a prefix and .csv."""
+    return F.when(c.startswith(prefix) & c.endswith(".csv"), c.substr(F.lit(len(prefix) + 1), F.length(c) - len(prefix) - 4))
+
+
+def distance_channels(c: Column) -> tuple[Column, Column]:
+    """Channel and target of mean_distance_radius_<r>_<channel>[_to_<target>].csv; the target is null where there is none."""
+    name = F.nullif(F.regexp_extract(c, r"^mean_distance_radius_\d+\.\d+_(.+)\.csv$", 1), F.lit(""))
+    pair = F.regexp_extract(name, r"^(.+)_to_(.+)$", 1), F.regexp_extract(name, r"^(.+)_to_(.+)$", 2)
+    return F.when(pair[0] != "", pair[0]).otherwise(name), F.nullif(pair[1], F.lit(""))
+
+
+def inter_channels(c: Column) -> tuple[Column, Column]:
+    """Channel and target of inter_<channel>_to_<target>.csv, which may begin with cluster_."""
+    at = lambda k: F.nullif(F.regexp_extract(c, r"^(?:cluster_)?inter_(.+)_to_(.+)\.csv$", k), F.lit(""))
+    return at(1), at(2)
 
 
 def stem_labels(c: Column) -> tuple[Column, Column]:
@@ -71,7 +95,8 @@ def cell(c: Column) -> Column:
 def is_dual(index: Column, last: Column) -> Column:
     """Whether a second channel is described: an index that is not none, and a whole last frame."""
     known = lambda c: F.coalesce(F.lower(cell(c)) != "none", F.lit(False))
-    return known(index) & known(last) & F.expr("true") & cell(last).try_cast("double").isNotNull()
+    number = cell(last).try_cast("double")
+    return known(index) & known(last) & F.coalesce(number == F.floor(number), F.lit(False))
 
 
 def label_or(c: Column, default: str) -> Column:

@@ -16,7 +16,8 @@ RENAMES = {
     "x (nm)": "x", "y (nm)": "y", "frameIndex": "frame", "channelIndex": "channel", "intensity (photons)": "photons", "sigmaX (nm)": "sx", "sigmaY (nm)": "sy",
     "background (photons/nm^2)": "bg", "p-value": "pvalue", "pvalue": "pvalue", "localization precision (nm)": "lp",
 }
-AXIAL = ("z", "z (nm)", "z(nm)", "z_nm", "z nm", "axial", "axial (nm)")
+#: Fixed headers of axial coordinates, in lower case.
+AXIAL = ("z", "z (nm)", "z(nm)", "z [nm]", "z[nm]", "position_z", "position z [nm]")
 
 
 @dataclass
