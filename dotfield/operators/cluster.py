@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import hull_area, hull_corners, inside_convex
 from .graph import components
+from .numbering import numbered
 from .spatial import knn_join, radius_pairs
 from .storage import written
 
@@ -30,8 +31,7 @@ def labels_of(points: DataFrame, pairs: DataFrame, groups: list[str], min_sample
     inner = pairs.join(core.withColumnRenamed("loc_id", "i"), [*g, "i"], "left_semi").join(core.withColumnRenamed("loc_id", "j"), [*g, "j"], "left_semi")
     roots = components(inner, g).withColumnRenamed("node", "loc_id")
     cored = core.join(roots, [*g, "loc_id"], "left").select(*g, "loc_id", F.coalesce("root", "loc_id").alias("root"))
-    order = W.partitionBy(*g).orderBy("root") if g else W.orderBy("root")
-    names = cored.select(*g, "root").distinct().withColumn("cluster", (F.row_number().over(order) - 1).cast("int"))
+    names = numbered(cored.select(*g, "root").distinct(), g, "root", "cluster").withColumn("cluster", (F.col("cluster") - 1).cast("int"))
     cored = written(cored.join(names, [*g, "root"]).select(*g, "loc_id", "cluster"), "core-labels")
     beside = both.join(cored.withColumnRenamed("loc_id", "j"), [*g, "j"]).groupBy(*g, "i").agg(F.min("cluster").alias("__beside")).withColumnRenamed("i", "loc_id")
     out = points.select(*g, "loc_id").join(cored, [*g, "loc_id"], "left").join(beside, [*g, "loc_id"], "left")
@@ -43,8 +43,11 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, groups: list[str] =
     return labels_of(points, radius_pairs(points, eps, groups), list(groups), min_samples)
 
 
-def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[str] = (), rounds: int = 100) -> DataFrame:
-    """groups, loc_id, cluster: fit, keep only cores, and fit again until none goes; those that went are -1."""
+def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[str] = (), rounds: int = 1000) -> DataFrame:
+    """groups, loc_id, cluster: fit, keep only cores, and fit again until none goes; those that went are -1.
+
+    More rounds than `rounds` are an error, never an unfinished result.
+    """
     g = list(groups)
     pairs = written(radius_pairs(points, eps, g).select(*g, "i", "j"), "eps-pairs")
     left, n = points.select(*g, "loc_id"), None
@@ -56,6 +59,8 @@ def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[st
             break
         left, n = cores.select(*g, "loc_id"), m
         pairs = pairs.join(left.withColumnRenamed("loc_id", "i"), [*g, "i"], "left_semi").join(left.withColumnRenamed("loc_id", "j"), [*g, "j"], "left_semi")
+    else:
+        raise RuntimeError("the loop did not settle")
     kept = cores.select(*g, "loc_id", "cluster")
     return points.select(*g, "loc_id").join(kept, [*g, "loc_id"], "left").select(*g, "loc_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 

@@ -37,7 +37,7 @@ def r4(c, name: str | None = None):
 
 
 LIMITS = filters.Limits((5, 45), 20_000, 8, 0.07)
-PASS = "sx BETWEEN 5 AND 45 AND photons >= 20000 AND lp < 8 AND pvalue < 0.07::DOUBLE"
+PASS = "sx BETWEEN 5 AND 45 AND sy BETWEEN 5 AND 45 AND photons >= 20000 AND lp < 8 AND pvalue < 0.07::DOUBLE"
 
 
 @query(f"WITH {LL} SELECT * FROM ll WHERE {PASS}")
@@ -45,8 +45,8 @@ def filter_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return filters.cascade(lines(spark, sf), LIMITS)
 
 
-@query(f"""WITH {LL}, c AS (SELECT count(*) n0, count(*) FILTER (sx BETWEEN 5 AND 45) n1, count(*) FILTER (sx BETWEEN 5 AND 45 AND photons >= 20000) n2,
-count(*) FILTER (sx BETWEEN 5 AND 45 AND photons >= 20000 AND lp < 8) n3, count(*) FILTER ({PASS}) n4 FROM ll)
+@query(f"""WITH {LL}, c AS (SELECT count(*) n0, count(*) FILTER (sx BETWEEN 5 AND 45 AND sy BETWEEN 5 AND 45) n1, count(*) FILTER (sx BETWEEN 5 AND 45 AND sy BETWEEN 5 AND 45 AND photons >= 20000) n2,
+count(*) FILTER (sx BETWEEN 5 AND 45 AND sy BETWEEN 5 AND 45 AND photons >= 20000 AND lp < 8) n3, count(*) FILTER ({PASS}) n4 FROM ll)
 SELECT 'sigma' AS step, 1 AS position, 'applied' AS status, n0 AS rows_before, n1 AS rows_after FROM c UNION ALL SELECT 'photons', 2, 'applied', n1, n2 FROM c
 UNION ALL SELECT 'lp', 3, 'applied', n2, n3 FROM c UNION ALL SELECT 'pvalue', 4, 'applied', n3, n4 FROM c""")
 def filter_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +63,8 @@ def frame_window_split(spark: SparkSession, sf: str) -> DataFrame:
     return filters.in_windows(df, spans).groupBy("channel", "frame").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {LL}, b AS (SELECT channel, x, frame, CASE WHEN l_linenumber = 7 THEN NULL ELSE photons END AS photons, y - 5000 AS y, CASE WHEN l_linenumber = 2 THEN -sx ELSE sx END AS sx, lp, pvalue FROM ll)
-SELECT channel, CASE WHEN photons IS NULL THEN 'not_finite' WHEN x <= 0 OR y <= 0 THEN 'boundary' WHEN sx <= 0 OR lp <= 0 THEN 'parameter' ELSE 'kept' END AS reason, count(*) AS n FROM b GROUP BY ALL""")
+@query(f"""WITH {LL}, b AS (SELECT channel, x, frame, CASE WHEN l_linenumber = 7 THEN NULL ELSE photons END AS photons, y - 5000 AS y, CASE WHEN l_linenumber = 2 THEN -sx ELSE sx END AS sx, sy, lp, pvalue FROM ll)
+SELECT channel, CASE WHEN photons IS NULL THEN 'not_finite' WHEN x <= 0 OR y <= 0 THEN 'boundary' WHEN sx <= 0 OR sy <= 0 OR lp <= 0 THEN 'parameter' ELSE 'kept' END AS reason, count(*) AS n FROM b GROUP BY ALL""")
 def sanity_reasons(spark: SparkSession, sf: str) -> DataFrame:
     df = lines(spark, sf).withColumns({"photons": F.when(F.col("l_linenumber") != 7, F.col("photons")), "y": F.col("y") - 5000, "sx": F.when(F.col("l_linenumber") == 2, -F.col("sx")).otherwise(F.col("sx"))})
     return filters.sanity(df).groupBy("channel", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -249,15 +249,31 @@ def similarity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.similarity(_phase(spark, sf))
 
 
-@query(f"WITH RECURSIVE {_PHASE}, {_SCORE} SELECT 5 AS threshold, cfg_id, score, CAST(NULL AS DOUBLE) AS normalised FROM al ORDER BY score DESC, cfg_id LIMIT 1")
-def line_of_optima(spark: SparkSession, sf: str) -> DataFrame:
-    phase = _phase(spark, sf)
+#: Two thresholds with two sigmas each.
+_GRID_4 = [(0, 25.0, 5), (1, 34.0, 5), (2, 25.0, 6), (3, 34.0, 6)]
+_PHASE_4 = f"{LV}, {_dbscan_sql(25, 5, '0')}, {_dbscan_sql(34, 5, '1')}, {_dbscan_sql(25, 6, '2')}, {_dbscan_sql(34, 6, '3')}, ph AS (SELECT 0 AS cfg_id, 5 AS threshold, loc_id, cluster FROM lab0 UNION ALL SELECT 1, 5, loc_id, cluster FROM lab1 UNION ALL SELECT 2, 6, loc_id, cluster FROM lab2 UNION ALL SELECT 3, 6, loc_id, cluster FROM lab3)"
+_SCORE_4 = _SCORE.replace("a.loc_id = b.loc_id AND", "a.loc_id = b.loc_id AND a.threshold = b.threshold AND")
+_BEST_4 = "be AS (SELECT threshold, cfg_id, score FROM al JOIN (SELECT DISTINCT cfg_id, threshold FROM ph) USING (cfg_id) QUALIFY row_number() OVER (PARTITION BY threshold ORDER BY score DESC, cfg_id) = 1), no AS (SELECT threshold, cfg_id, score, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ())::DOUBLE / (max(score) OVER () - min(score) OVER ()) END AS normalised FROM be)"
+
+
+def _optima(spark: SparkSession, sf: str) -> DataFrame:
+    phase = cluster.phase_space(vectors(spark, sf), _GRID_4)
     return cluster.line_of_optima(cluster.similarity(phase).join(phase.select("cfg_id", "threshold").distinct(), "cfg_id"))
 
 
+@query(f"WITH RECURSIVE {_PHASE_4}, {_SCORE_4}, {_BEST_4} SELECT threshold, cfg_id, score, round(normalised, 4) AS normalised FROM no")
+def line_of_optima(spark: SparkSession, sf: str) -> DataFrame:
+    return _optima(spark, sf).withColumn("normalised", r4("normalised"))
+
+
+@query(f"WITH RECURSIVE {_PHASE_4}, {_SCORE_4}, {_BEST_4} SELECT threshold, cfg_id FROM no ORDER BY coalesce(normalised < 0.5::DOUBLE, false) DESC, threshold LIMIT 1")
+def agreed_configuration(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.consensus(_optima(spark, sf))
+
+
 @query()
 def parameter_search(spark: SparkSession, sf: str) -> DataFrame:
-    labels, best = cluster.find_parameters(vectors(spark, sf), 10, 4, 5, 8)
+    labels, best = cluster.find_parameters(vectors(spark, sf))
     return labels.crossJoin(F.broadcast(best)).select("loc_id", "cluster", r4("sigma", "sigma"), "threshold")  # one row
 
 
@@ -273,7 +289,7 @@ def partition_agreement(spark: SparkSession, sf: str) -> DataFrame:
 def hull_mask_overlap(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     a, b = [v.join(cluster.dbscan(v, eps, 5), "loc_id") for eps in (25, 30)]
-    return cluster.hull_iou(a, b, 400).withColumn("iou", r4("iou"))
+    return cluster.hull_iou(a, b).withColumn("iou", r4("iou"))
 
 
 _SHIFT = "k AS (SELECT channel, frame >= 360 AS late, CAST(round_even(x / 20, 0) AS BIGINT) AS xu, CAST(round_even(y / 20, 0) AS BIGINT) AS yu, count(*) AS n FROM le GROUP BY ALL), sc AS (SELECT t.channel, CAST(i AS BIGINT) AS dx, CAST(j AS BIGINT) AS dy, CAST(sum(least(t.n, r.n)) AS BIGINT) AS score FROM k t, range(-3, 4) a(i), range(-3, 4) b(j), k r WHERE t.late AND NOT r.late AND t.channel = r.channel AND r.xu = t.xu + i AND r.yu = t.yu + j GROUP BY ALL)"
@@ -333,13 +349,22 @@ def channel_registration(spark: SparkSession, sf: str) -> DataFrame:
     return drift.registered(e.filter("channel = 'click'"), _curve(spark, sf).filter("channel = 'view'")).select("loc_id", r4("x", "x"), r4("y", "y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LE}, g AS (SELECT channel, CAST(floor(frame / 24) AS INTEGER) AS segment, avg(x) - 245 AS rx, avg(y) - 745 AS ry FROM le GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY segment) AS k, sqrt(rx * rx + ry * ry) > 35 AS far FROM g),
+r(channel, k, segment, xs, ys, replaced) AS (SELECT DISTINCT channel, 0::BIGINT, -1, []::DOUBLE[], []::DOUBLE[], false FROM o UNION ALL SELECT r.channel, r.k + 1, o.segment, list_append(xs, CASE WHEN far THEN coalesce(list_avg(xs[greatest(1, len(xs) - 9):]), 0) ELSE rx END), list_append(ys, CASE WHEN far THEN coalesce(list_avg(ys[greatest(1, len(ys) - 9):]), 0) ELSE ry END), far FROM r JOIN o ON o.channel = r.channel AND o.k = r.k + 1),
+t AS (SELECT channel, segment, replaced, xs[-1] AS rel_x, ys[-1] AS rel_y, list_sum(xs) AS cum_x, list_sum(ys) AS cum_y FROM r WHERE k > 0)
+SELECT channel, segment, replaced, round(rel_x, 4) AS rel_x, round(rel_y, 4) AS rel_y, round(cum_x, 4) AS cum_x, round(cum_y, 4) AS cum_y, round(sqrt(cum_x * cum_x + cum_y * cum_y), 4) AS magnitude FROM t""")
 def drift_validation(spark: SparkSession, sf: str) -> DataFrame:
     seg = events(spark, sf).groupBy("channel", F.floor(F.col("frame") / 24).cast("int").alias("segment")).agg((F.avg("x") - 245).alias("rel_x"), (F.avg("y") - 745).alias("rel_y"))
     out = drift.checked_segments(seg, ["channel"], 35, 10)
     return out.select("channel", "segment", "replaced", *[r4(c, c) for c in ("rel_x", "rel_y", "cum_x", "cum_y", "magnitude")])
 
 
+@query()
+def drift_segments(spark: SparkSession, sf: str) -> DataFrame:
+    out = drift.estimated(events(spark, sf), segmentation=100, intersect=20, roi=60, limit=35)[1]
+    return out.select("channel", "segment", "replaced", *[r4(c, c) for c in ("centre", "rel_x", "rel_y", "cum_x", "cum_y", "magnitude")])
+
+
 _LP = "s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sx * sx + 117.0::DOUBLE * 117 / 12 AS s, photons AS n, lp AS b FROM ll WHERE photons > 0 AND sx > 0 AND lp >= 0)"
 
 
@@ -407,6 +432,27 @@ def neighbour_suite(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("loc_id", "channel", *[r4(c, c) for c in ("nn_distance", "nn_distance_other", "mean_distance", "mean_distance_other")])
 
 
+_PEAKS = f"""{_BINS}, k AS (SELECT channel, low, high FROM b QUALIFY row_number() OVER (PARTITION BY channel ORDER BY n DESC, bin) = 1)
+SELECT channel, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(median(v), 4) AS median, round(any_value(low), 4) AS peak_low, round(any_value(high), 4) AS peak_high FROM s JOIN k USING (channel) WHERE v > 0 GROUP BY channel"""
+
+
+def _summary(df: DataFrame, value: str) -> DataFrame:
+    return histogram.summary(df, value, ["channel"], log=True).select("channel", "n", *[r4(c, c) for c in ("mean", "std", "median", "peak_low", "peak_high")])
+
+
+@query(f"WITH {LV}, s AS (SELECT a.channel, min({_D}) AS v FROM lv a JOIN lv b ON a.channel = b.channel AND a.loc_id <> b.loc_id GROUP BY a.channel, a.loc_id), {_PEAKS}")
+def neighbour_distance_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    near = spatial.knn_join(v, None, 1, ["channel"]).filter("rank = 1").select(F.col("i").alias("loc_id"), "d")
+    return _summary(v.join(near, "loc_id"), "d")
+
+
+@query(f"WITH {LV}, s AS (SELECT a.channel, avg({_D}) AS v FROM lv a JOIN lv b ON a.channel = b.channel AND a.loc_id <> b.loc_id AND {_D} <= 30 GROUP BY a.channel, a.loc_id), {_PEAKS}")
+def mean_distance_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    return _summary(v.join(spatial.mean_in_radius(v, None, 30, ["channel"]).select("loc_id", "mean_distance"), "loc_id"), "mean_distance")
+
+
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders), c AS (SELECT o_custkey, o_totalprice AS other, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F')
 SELECT o.o_custkey, o.place, o.o_orderkey, o.o_totalprice, c.other FROM o LEFT JOIN c USING (o_custkey, place)""")
 def positional_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,8 +479,8 @@ def name_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def experiment_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole configured chain over events; one row per stage with its number of rows."""
-    c = Config.model_validate({"skip_frames": 0, "linking": {"max_distance": 15}, "regions": {"grid_size": 40, "threshold": 2}, "neighbours": {"radius": 60}, "clustering": {"eps": 12, "min_samples": 4}, "colocalization": {"use": False}})
-    out = experiment.run(events(spark, sf).filter("channel in ('click', 'view')"), c)
+    c = Config.model_validate({"skip_frames": 0, "linking": {"max_distance": 15}, "regions": {"grid_size": 40, "threshold": 2}, "neighbours": {"radius": 60}, "clustering": {"eps": 12, "min_samples": 4}, "colocalization": {"radius": 60, "channels": ["click", "view"]}})
+    out = experiment.run(events(spark, sf), c)
     rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in out.items()]
     whole = rows[0]
     for x in rows[1:]:

@@ -1,5 +1,6 @@
 """Contracts of the operators on small tables with known results."""
 
+import collections
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dotfield.functions import geometry, names, precision
 from dotfield.operators import cells, cluster, coloc, drift, filters, graph, merge, spatial, tracks
+from dotfield.plans import experiment
 from dotfield.plans.config import Config
 from dotfield.sources import tables
 
@@ -161,7 +163,7 @@ def test_drift_is_recovered(spark):
     rows = [(k * 60 + n, float(x + k * 0.2), float(y - k * 0.1), k + 1, "a") for k in range(200) for n, (x, y) in enumerate(base)]
     df = spark.createDataFrame(rows, "loc_id long, x double, y double, frame int, channel string")
     d = drift.estimate(df, segmentation=20, intersect=20, roi=60).orderBy("frame").collect()
-    assert len(d) == 200 and abs(d[-1].dx - 199 * 0.2) < 6 and abs(d[-1].dy + 199 * 0.1) < 6
+    assert len(d) == 200 and max(abs(r.dx - (r.frame - 1) * 0.2) for r in d) < 3 and max(abs(r.dy + (r.frame - 1) * 0.1) for r in d) < 3
     t = np.linspace(0, 5, 9)
     assert np.allclose(drift.spline(t, t**3 - t, np.array([0.3, 2.2, 4.9])), np.array([0.3, 2.2, 4.9]) ** 3 - np.array([0.3, 2.2, 4.9]))
     assert len(drift.curve(np.zeros((1, 2)), 10, 5)) == 5
@@ -169,6 +171,91 @@ def test_drift_is_recovered(spark):
     assert v[:, 0].tolist() == [0.0, 10.0, 5.0, 4.0] and replaced.tolist() == [True, False, True, False]
 
 
+def plain_match(x, y, segment, segments, size, reach, scale, first_only, leave_own_out):
+    """One round for one channel, cell by cell."""
+    cell = lambda a, b: list(zip(np.rint(a / size).astype(int).tolist(), np.rint(b / size).astype(int).tolist(), strict=True))
+    use = segment == 0 if first_only else np.ones(len(x), bool)
+    base, shifts = collections.Counter(cell(x[use], y[use])), np.zeros((segments, 2))
+    for s in range(1 if first_only else 0, segments):
+        run, here = shifts[:s].sum(axis=0), segment == s
+        target = collections.Counter(cell(x[here] + run[0], y[here] + run[1]))
+        ref = base - collections.Counter(cell(x[here], y[here])) if leave_own_out else base
+        score = np.array([[sum(min(n, ref[u + i, v + j]) for (u, v), n in target.items()) for j in range(-reach, reach + 1)] for i in range(-reach, reach + 1)], float)
+        if score.any():
+            shifts[s] = drift._peak(score, reach, scale)
+    return shifts
+
+
+@pytest.mark.parametrize("first_only, leave_own_out", [(True, False), (False, False), (False, True)])
+def test_drift_rounds_against_brute_force(spark, first_only, leave_own_out):
+    rng = np.random.default_rng(8)
+    base = rng.uniform(0, 600, (40, 2))
+    rows = []
+    for c in ("a", "b"):
+        for s in (0, 1, 2, 4, 5):  # segment 3 is empty
+            keep = rng.random(40) < 0.8
+            rows += [(c, s, float(p + s * 4), float(q - s * 3)) for p, q in base[keep]]
+    table = drift.written(spark.createDataFrame(rows, "channel string, segment int, x double, y double"), "test", by="segment")
+    got = drift.match(table, "channel", {"a": 6, "b": 6}, 20, 3, 120 / 7, first_only, leave_own_out)
+    for c in ("a", "b"):
+        some = [r for r in rows if r[0] == c]
+        want = plain_match(*(np.array([r[k] for r in some]) for k in (2, 3, 1)), 6, 20, 3, 120 / 7, first_only, leave_own_out)
+        assert np.allclose(got[c], want)
+
+
+def test_drift_of_two_channels(spark):
+    """A second channel is moved back by the first one's drift; far shifts are mended, and the run has both."""
+    rng = np.random.default_rng(9)
+    base = rng.uniform(100, 1500, (40, 2))
+    rows = [(len(base) * (2 * k + c) + n, float(x + k * 0.3), float(y), k + 1, "ab"[c]) for c in (0, 1) for k in range(60) for n, (x, y) in enumerate(base)]
+    df = spark.createDataFrame(rows, "loc_id long, x double, y double, frame int, channel string")
+    out = experiment.run(df, Config.model_validate({"drift": {"segmentation": 10}, "linking": {"use": False}, "regions": {"use": False}, "neighbours": {"use": False}, "clustering": {"use": False}, "colocalization": {"use": False}}))
+    assert out["segments"].count() == 12 and not out["segments"].filter("replaced").count()
+    x = {r.channel: r.x for r in out["filtered"].groupBy("channel").agg(F.avg("x").alias("x")).collect()}
+    assert abs(x["a"] - x["b"] - 59 * 0.3) < 3
+    jump = df.withColumn("x", F.col("x") + F.when((F.col("frame") > 30) & (F.col("frame") <= 40), 45.0).otherwise(0.0))
+    d, seg = drift.estimated(jump, segmentation=10, limit=20)
+    assert seg.filter("replaced").count() >= 2 and d.count() == 120
+    assert d.agg(F.max(F.abs("dx"))).first()[0] < 45
+
+
+def test_numbers_are_gapless(spark):
+    from dotfield.operators.numbering import numbered
+
+    rng = np.random.default_rng(10)
+    rows = [(None if k % 3 == 0 else "ab"[k % 2], int(rng.integers(-5, 5000)) * (10**12 if k % 7 == 0 else 1), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v long, k long")
+    for groups in ([], ["g"]):
+        got = numbered(df, groups, "v", "n", ["k"]).collect()
+        for g in {r.g if groups else 0 for r in got}:
+            some = sorted((r for r in got if not groups or r.g == g), key=lambda r: (r.v, r.k))
+            assert [r.n for r in some] == list(range(1, len(some) + 1))
+
+
+def test_dbscan_loop_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.normal(c, 12, (40, 2)) for c in (0, 60, 200)] + [rng.uniform(-100, 300, (30, 2))])
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "loc_id long, x double, y double")
+    got = {r.loc_id: r.cluster for r in cluster.dbscan_loop(df, 9, 5).collect()}
+    near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= 81
+    left = np.ones(len(xy), bool)
+    while True:
+        core = left & ((near & left).sum(axis=1) >= 5)
+        if (core == left).all():
+            break
+        left = core
+    label = np.full(len(xy), -1)
+    for k in np.flatnonzero(left):
+        if label[k] < 0:
+            todo, label[k] = [k], label.max() + 1
+            while todo:
+                a = todo.pop()
+                for b in np.flatnonzero(near[a] & left & (label < 0)):
+                    label[b] = label[k]
+                    todo.append(b)
+    assert label.max() > 0 and [got[k] for k in range(len(xy))] == label.tolist()
+
+
 def test_precision(spark):
     df = spark.createDataFrame([(100.0, 1000.0, 0.0), (100.0, 1000.0, 5.0), (-1.0, 1000.0, 5.0)], "sigma double, photons double, bg double")
     got = [r[0] for r in df.select(precision.precision(F.col("sigma"), F.col("photons"), F.col("bg"), 117)).collect()]
@@ -182,6 +269,12 @@ def test_names(spark):
     df = spark.createDataFrame([("Test_PEX14_TOMM20",), ("AHA_24022_U2OS-WT_AST0126_AST0063-2_posXY1",), ("one",)], "s string")
     one, two = names.stem_labels(F.col("s"))
     assert [tuple(r) for r in df.select(one, two).collect()] == [("PEX14", "TOMM20"), ("AST0126", "AST0063-2"), ("one", "Ch2")]
+    files = spark.createDataFrame([("x_ast0126_TO_RST7-2.csv",), ("y_rst0063_to_Pst9.csv",), ("inter_a_to_b.csv",), ("cluster_inter_c_to_d.csv",), ("mean_distance_radius_50.0_e.csv",), ("mean_distance_radius_5.5_e_to_f.csv",), ("intra_g.csv",)], "s string")
+    told = files.select(names.probe(F.col("s")), *names.probe_pair(F.col("s")), *names.inter_channels(F.col("s")), *names.distance_channels(F.col("s")), names.prefixed_channel(F.col("s"), "intra_")).collect()
+    n = None
+    assert [tuple(r) for r in told] == [("AST0126", n, n, n, n, n, n, n), ("RST0063", "RST0063", "PST9", n, n, n, n, n), (n, n, n, "a", "b", n, n, n), (n, n, n, "c", "d", n, n, n), (n, n, n, n, n, "e", n, n), (n, n, n, n, n, "e", "f", n), (n, n, n, n, n, n, n, "g")]
+    lasts = spark.createDataFrame([("1", "10"), ("1", "10.0"), ("1", "10.5"), ("none", "10"), ("1", None), ("1", "x")], "i string, l string")
+    assert [r[0] for r in lasts.select(names.is_dual(F.col("i"), F.col("l"))).collect()] == [True, True, False, False, False, False]
     assert names.header_text("  File   Name ") == "file name"
     assert df.select(names.header(F.lit("  File   Name "))).first()[0] == "file name"
     assert names.columns_alike(["distance_a-1", "distance_a", "n"]) == {"distance_a": ["distance_a-1", "distance_a"], "n": ["n"]}
@@ -195,6 +288,8 @@ def test_loading(spark, tmp_path):
     assert "non-zero" in made("a.csv", "x (nm),y (nm),z (nm),channelIndex,frameIndex\n1,2,10,1,1\n1,2,20,1,2\n").reason
     blank = made("b.csv", "x (nm),y (nm),z (nm),channelIndex,frameIndex,channelName\n1,2,,1,1,a\n1,2,0,1,2,a\n")
     assert "z (nm)" not in blank.table.columns and "channelName" not in blank.table.columns and blank.warning and blank.table.count() == 2
+    for k, header in enumerate(("z", "Z", "z(nm)", "Z (nm)", "z [nm]", "z[nm]", "position_z", "Position Z [nm]", " z ")):
+        assert "non-zero" in made(f"z{k}.csv", f"x (nm),y (nm),{header},channelIndex,frameIndex\n1,2,3,1,1\n").reason
     assert made("c.csv", "y (nm),channelIndex,frameIndex\n1,1,1\n").reason.startswith("Missing required columns")
     assert tables.load(spark, str(tmp_path / "none.csv")).table is None
     assert set(tables.internal(blank.table).columns) == {"x", "y", "channel", "frame"}
