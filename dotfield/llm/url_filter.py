@@ -1,12 +1,13 @@
 """URL filtering: a fixed rule list first, then association rules mined from urls that the list has judged.
 
-A url's tokens are the parts of its host with their place from the right, the first path parts, a file ending and the
-names of its query fields. FP-growth finds token sets that are frequent among the labelled urls together with a verdict;
+A url's tokens are the parts of its host with their place from the right, the parts of its path with their place, a file
+ending and the names of its query fields, with runs of digits made alike. FP-growth finds token sets that are frequent among the labelled urls together with a verdict;
 sets whose verdict reaches the wanted support and confidence become rules. A rule is filed under its first token in an
 inverted index; a url's token set is looked up there and then compared whole. Spark expressions and Spark ML only.
 
 Cases. A null url, or one without "://", has empty host and path, no tokens and the default verdict. Repeated pages are
-judged alike; ids are not used. Without a labelled url there are no mined rules. An empty table gives an empty table.
+judged alike; ids are not used. Without a labelled url, or with too few of them, there are no mined rules. Of rules that tie in confidence and
+support the one whose verdict, then tokens, come last decides. Very long urls have many tokens, all of them looked up. An empty table gives an empty table.
 Further columns are not read.
 """
 
@@ -48,39 +49,44 @@ def listed(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def tokens_of(url: Column, host: Column, path: Column, deep: int = 3) -> Column:
-    """The url's distinct tokens, sorted: deep parts of host and path at most; their number bounds the sets to mine."""
-    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, deep)
-    hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, deep)
-    paths = F.transform(parts, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
+def tokens_of(url: Column, host: Column, path: Column) -> Column:
+    """The url's distinct tokens, sorted: every part of its host, path and query; runs of digits count alike, so ids are no tokens."""
+    plain = lambda x: F.regexp_replace(x, "[0-9]+", "#")
+    hosts = F.transform(F.reverse(F.split(host, r"\.")), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), plain(x)))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    paths = F.transform(parts, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), plain(x)))
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
-    fields = F.transform(F.slice(F.filter(F.split(F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit("")), "&"), lambda x: x != ""), 1, deep), lambda x: F.concat(F.lit("q:"), F.element_at(F.split(x, "="), 1)))
+    fields = F.filter(F.split(F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit("")), "&"), lambda x: x != "")
+    fields = F.transform(fields, lambda x: F.concat(F.lit("q:"), plain(F.element_at(F.split(x, "="), 1))))
     every = F.concat(hosts, paths, F.when(ending != "", F.array(F.concat(F.lit("e:"), ending))).otherwise(F.array().cast("array<string>")), fields)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(every)))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.9) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.9, least: int = 20, lift: float = 1.05) -> DataFrame:
     """Rules (antecedent, consequent, confidence, support) from labelled (tokens, verdict).
 
-    support: the least share of the labelled urls that have antecedent and verdict. A rule is dropped if a part of it
-    says the same with at least its confidence.
+    support: the least share of the labelled urls that have antecedent and verdict, and least: their least number; lift: the
+    least ratio of a rule's confidence to its verdict's share of all. A rule is dropped if a part of it says the same with
+    at least its confidence. Rare tokens are in no frequent set, and FP-growth leaves them out first.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "antecedent array<string>, consequent string, confidence double, support double")
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
     if baskets.isEmpty():
         return empty
+    total = baskets.count()
+    support = min(1.0, max(support, least / total))
     # No confidence is asked of Spark's own rules: they are formed from the frequent sets, with a verdict on the right.
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.99).fit(baskets).freqItemsets
-    total = baskets.count()
     sets = written(sets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
     is_verdict = lambda x: x.startswith("=")
     plain = sets.filter(~F.exists("items", is_verdict)).select(F.col("items").alias("antecedent"), F.col("freq").alias("__n"))
     judged = sets.filter(F.exists("items", is_verdict)).select(
         F.filter("items", lambda x: ~is_verdict(x)).alias("antecedent"), F.substring(F.element_at(F.filter("items", is_verdict), 1), 2, 20).alias("consequent"), "freq"
     )
-    rules = judged.join(plain, "antecedent").select("antecedent", "consequent", (F.col("freq") / F.col("__n")).alias("confidence"), (F.col("freq") / F.lit(float(total))).alias("support"))
+    shares = sets.filter((F.size("items") == 1) & F.exists("items", is_verdict)).select(F.substring(F.element_at("items", 1), 2, 20).alias("consequent"), (F.col("freq") / F.lit(float(total))).alias("__share"))
+    judged = judged.filter(F.size("antecedent") > 0).join(F.broadcast(shares), "consequent")  # a row per verdict
+    rules = judged.join(plain, "antecedent").filter(F.col("freq") / F.col("__n") >= lift * F.col("__share")).select("antecedent", "consequent", (F.col("freq") / F.col("__n")).alias("confidence"), (F.col("freq") / F.lit(float(total))).alias("support"))
     rules = rules.filter(F.col("confidence") >= confidence).withColumn("__size", F.size("antecedent"))
     part = rules.select(F.col("antecedent").alias("__a"), F.col("consequent").alias("__c"), F.col("confidence").alias("__conf"), F.col("__size").alias("__s"), F.explode("antecedent").alias("__t"))
     # A part shares its first token with the rule, so the join is on a token; then it is compared whole.
@@ -100,12 +106,12 @@ def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("tokens", F.col("__best.consequent").alias("mined"), F.col("__best.antecedent").alias("because"))
 
 
-def judge(pages: DataFrame, rules=RULES, default: str = "allow", support: float = 0.01, confidence: float = 0.9) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, default: str = "allow", support: float = 0.01, confidence: float = 0.9, **how) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the mined rule's tokens if one decided."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "__listed": verdict, "tokens": tokens_of(F.col("url"), F.col("host"), F.col("path"))})
-    mined = mine(rows.filter(F.col("__listed").isNotNull()).select("tokens", F.col("__listed").alias("verdict")), support, confidence)
+    mined = mine(rows.filter(F.col("__listed").isNotNull()).select("tokens", F.col("__listed").alias("verdict")), support, confidence, **how)
     mined = written(mined, "url-rules")
     found = matched(rows.filter(F.col("__listed").isNull()), mined)
     out = rows.join(found, "tokens", "left")
