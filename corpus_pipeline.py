@@ -7,6 +7,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 3. near_dedup: of texts that link by five-word shingles at a Jaccard similarity of 0.8 the one of smallest id stays
 4. mixing: sources are brought to their target weights; a document may go, stay or be repeated
 5. packing: token windows, one row per piece of a document
+
+Cases. A null text counts as empty: it is not toxic, one of all empty texts stays, it links with nothing, stays once in the
+mix and is the end id alone. Rows of a null or repeated id are told apart by their text; rows alike in id and text stay or
+go together. Ties between copies go to the smaller id. Very long texts are worked on whole. Columns that documents do not
+have are dropped by the first stage. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    # The workers' memory is shared with what the stages before have left.
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), remembered=250_000)
 
 
 STAGES = [
