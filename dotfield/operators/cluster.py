@@ -52,16 +52,20 @@ def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[st
     pairs = written(radius_pairs(points, eps, g).select(*g, "i", "j"), "eps-pairs")
     left, n = points.select(*g, "loc_id"), None
     for _ in range(rounds):
-        got = written(labels_of(left, pairs, g, min_samples), "loop")
-        cores = got.filter("is_core")
+        # Only cores are needed until none goes; they are joined into clusters once, at the end.
+        ends = pairs.select(*g, F.explode(F.array("i", "j")).alias("loc_id"))
+        degree = ends.groupBy(*g, "loc_id").agg((F.count(F.lit(1)) + 1).alias("__n"))
+        cores = left.join(degree, [*g, "loc_id"], "left").filter(F.coalesce("__n", F.lit(1)) >= min_samples).select(*g, "loc_id")
+        cores = written(cores, "loop-cores")
         m = cores.count()
         if m == n or not m:
             break
-        left, n = cores.select(*g, "loc_id"), m
+        left, n = cores, m
         pairs = pairs.join(left.withColumnRenamed("loc_id", "i"), [*g, "i"], "left_semi").join(left.withColumnRenamed("loc_id", "j"), [*g, "j"], "left_semi")
+        pairs = written(pairs, "loop-pairs")
     else:
         raise RuntimeError("the loop did not settle")
-    kept = cores.select(*g, "loc_id", "cluster")
+    kept = labels_of(cores, pairs, g, min_samples).select(*g, "loc_id", "cluster")
     return points.select(*g, "loc_id").join(kept, [*g, "loc_id"], "left").select(*g, "loc_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

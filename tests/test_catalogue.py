@@ -6,7 +6,6 @@ from dotfield.plans import catalogue
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"parameter_search", "dbscan_loop", "relative_enrichment", "enrichment_bins", "voronoi_areas"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
@@ -14,6 +13,6 @@ def test_same_as_sql(spark, name):
     same(spark, catalogue.QUERIES[name], catalogue.ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
