@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -67,6 +70,26 @@ def without(documents: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("key")), "left_anti").select("row.*")
 
 
+def give_back() -> None:
+    """Return freed memory to the machine at a task's end: Python workers live on, beside the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes of an Arrow batch: texts are long, and a batch is in memory several times over.
+BATCH = "4m"
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow in batches of BATCH bytes, which the session keeps from then on if it had larger ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("64m", "67108864b", "67108864"):  # Spark's own; another choice stands
+        conf.set(key, BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with a per-task state: make() is called once in each task."""
 
@@ -74,8 +97,9 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         f = make()
         for b in batches:
             yield from f(b)
+        give_back()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def crc_fold(spark: SparkSession, df: DataFrame, col: str, modulus: int = 5) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, dropped, parts_for, small_or_shuffled, without, written
+from .common import arrow_map, dropped, give_back, map_batches, parts_for, small_or_shuffled, without, written
 
 _U = np.uint64
 #: Bits of a signature that are kept for its hash; the lowest two are flags.
@@ -46,7 +46,7 @@ _TABLE = np.random.default_rng(1234567).integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -269,7 +269,7 @@ def _parts(sigs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 #: The count of a signature that is in so many sets or more; all of these count alike.
 COMMON = 1 << 20
 #: Signatures that a task packs at once, and sets with one signature among them from which it counts as common.
-PACK, OFTEN = 1 << 20, 512
+PACK, OFTEN = 1 << 19, 256
 
 
 def packed_rows(documents: DataFrame, n: int, percent: int, bits: int, seed: int) -> DataFrame:
@@ -278,8 +278,8 @@ def packed_rows(documents: DataFrame, n: int, percent: int, bits: int, seed: int
     def run(batches):
         shingler, segments, seen, filing = Shingler(n), Segments(percent), set(), Filing(bits, OFTEN)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
                 sets = shingler.sets(b.column(2).to_pylist())
                 nodes, other = node_ids(sets, seed)
                 spare = []
@@ -299,12 +299,13 @@ def packed_rows(documents: DataFrame, n: int, percent: int, bits: int, seed: int
                 if filing.held >= PACK:
                     yield from filing.rows()
         yield from filing.rows()
+        give_back()
 
-    return _keyed(documents).mapInArrow(run, ROW)
+    return map_batches(_keyed(documents), run, ROW)
 
 
 #: Names of sets that a task remembers; sets beyond are filed again, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def repeated(packed: list[tuple[bytes, bytes]], bucket: int) -> pa.RecordBatch | None:
@@ -359,9 +360,10 @@ def filed(documents: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
                 held.append((s, v))
         if held and (out := repeated(held, now)) is not None:
             yield out
+        give_back()
 
     rows = packed_rows(documents, n, percent, bits, seed).repartition(parts_for(documents.sparkSession, size), "bucket").sortWithinPartitions("bucket")
-    return written(rows.mapInArrow(run, ROW).drop("sigs", "nodes", "bucket"), "filed")
+    return written(map_batches(rows, run, ROW).drop("sigs", "nodes", "bucket"), "filed")
 
 
 def named(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -437,43 +439,49 @@ def _apart(a: str, b: str) -> Column:
 
 
 #: Sets of one group, or pairs of one set, that meet in one place.
-SIDE = 1024
+SIDE = 256
+
 
+def frequent_ends(pairs: DataFrame) -> DataFrame | None:
+    """end (a or b), node, k: the nodes that meet their pairs in k shares of about SIDE each; None if there are none."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("node")), F.struct(F.lit("b").alias("end"), F.col("b").alias("node")))).alias("x"))
+    many = ends.groupBy("x").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > SIDE)
+    many = written(many.select("x.end", "x.node", F.ceil(F.col("k") / SIDE).cast("int").alias("k")), "frequent-ends")
+    return None if many.isEmpty() else many
 
-def _met(pairs: DataFrame, tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+
+def _met(pairs: DataFrame, many: DataFrame | None, tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
     """pairs (a, b, ...) joined with a table for each end, on that end and further keys.
 
-    A node of many pairs meets them in shares of about SIDE, for each of which its rows are repeated; so no task has all.
+    A node of frequent_ends() meets its pairs in shares, for each of which its rows are repeated; so no task has all.
     """
-    parts = {}
-    for end, other in (("a", "b"), ("b", "a")):
-        many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > SIDE)
-        many = written(many.select(end, F.ceil(F.col("__k") / SIDE).cast("int").alias("__k")), "frequent-ends")
-        rows, share = tables[end], f"__share_{end}"
-        if many.isEmpty():
-            pairs, parts[end] = pairs.withColumn(share, F.lit(0)), rows.withColumn(share, F.lit(0))
-            continue
-        many, k = small_or_shuffled(many, many.count()), F.coalesce("__k", F.lit(1))
-        pairs = pairs.join(many, end, "left").withColumn(share, F.pmod(F.xxhash64(other), k).cast("int")).drop("__k")
-        parts[end] = rows.join(many, end, "left").withColumn(share, F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
-    for end in ("a", "b"):
-        pairs = pairs.join(parts[end], [end, f"__share_{end}", *keys[end]])
+    shares = []
+    if many is not None:
+        rows, k = many.count(), F.coalesce("k", F.lit(1))
+        tables = dict(tables)
+        for end, other in (("a", "b"), ("b", "a")):
+            side = small_or_shuffled(many.filter(F.col("end") == end).select(F.col("node").alias(end), "k"), rows)
+            shares.append(f"__share_{end}")
+            pairs = pairs.join(side, end, "left").withColumn(shares[-1], F.pmod(F.xxhash64(other), k).cast("int")).drop("k")
+            tables[end] = tables[end].join(side, end, "left").withColumn(shares[-1], F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+    for n, end in enumerate(("a", "b")):
+        pairs = pairs.join(tables[end], [end, *shares[n : n + 1], *keys[end]])
     return pairs
 
 
-def near_enough(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def near_enough(pairs: DataFrame, many: DataFrame | None, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out: a, b, na, nb, grain. sizes: node, n, grain, sketch."""
     of = {x: sizes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("grain").alias("g" + x), F.col("sketch").alias("s" + x)) for x in ("a", "b")}
-    both = _met(pairs, of, {"a": [], "b": []})
+    both = _met(pairs, many, of, {"a": [], "b": []})
     near = both.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     near = near.filter(_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     return near.select("a", "b", "na", "nb", F.greatest("ga", "gb").alias("grain"))
 
 
-def overlaps(near: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def overlaps(near: DataFrame, many: DataFrame | None, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of near_enough() that link: partial overlaps are counted in each fragment and summed per pair."""
     of = {x: parts.select(F.col("node").alias(x), "grain", "part", F.col("grams").alias("x" + x)) for x in ("a", "b")}
-    both = _met(near, of, {"a": ["grain"], "b": ["grain", "part"]})
+    both = _met(near, many, of, {"a": ["grain"], "b": ["grain", "part"]})
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("shared"))
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("common"))
     return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -601,34 +609,32 @@ def apart_pairs(kept: DataFrame, labels: DataFrame, sizes: DataFrame, failed: Da
                 held.append(b.slice(s, e - s))
         if held and (out := solve(pa.Table.from_batches(held))):
             yield table(key[0], out)
+        give_back()
 
     spread = asked.repartition(parts_for(asked.sparkSession), "sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-    return spread.mapInArrow(run, "sig long, a long, b long")
+    return map_batches(spread, run, "sig long, a long, b long")
 
 
 def min_labels(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of its component, for the nodes of links (a, b).
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so a chain of n nodes needs
-    about log n rounds. Minima per node are taken before the shuffle; each round's labels are a written table.
+    Each round takes the smallest label among the neighbours, tells it to the old label's node too, so that trees hang
+    together, and then takes the label of that label; a chain of n nodes needs about log n rounds. Minima per node are taken
+    before the shuffle; each round's labels are a written table.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    both = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct(), "links")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
+    labels = written(labels, "labels")
+    none = F.lit(None).cast("long")
     for k in range(rounds):
-        # Only labels that are not their own label can change what has them; a settled tree's root is not asked again.
-        moves = written(labels.filter("node <> label").join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("__n"), F.col("label").alias("__l")), f"moves{k}")
-        moves = small_or_shuffled(moves, moves.count())
-        jumped = labels.join(moves, F.col("label") == F.col("__n"), "left").select("node", F.col("label").alias("old"), F.coalesce("__l", "label").alias("label"))
-        jumped = written(jumped, f"jumped{k}")
-        told = both.join(jumped.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").unionByName(jumped.select("node", "label"))
-        best = told.groupBy("node").agg(F.min("label").alias("label"))
-        # Also tell the old label's node: trees hang together while they are joined.
-        hook = best.join(jumped.select("node", F.col("label").alias("__old")), "node").filter("label < __old").groupBy(F.col("__old").alias("node")).agg(F.min("label").alias("label"))
-        new = written(best.unionByName(hook).groupBy("node").agg(F.min("label").alias("label")), f"labels{k}")
-        changed = not new.join(labels, ["node", "label"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
-            return labels
+        told = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", none.alias("old"))
+        best = told.unionByName(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        hung = best.select(F.explode(F.array(F.struct("node", "label", "old"), F.struct(F.col("old").alias("node"), F.col("label"), none.alias("old")))).alias("x")).select("x.*")
+        hung = written(hung.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), f"hung{k}")
+        jump = hung.filter("node <> label").select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+        labels = written(hung.join(jump, F.col("label") == F.col("__n"), "left").select("node", F.least("label", F.coalesce("__l", "label")).alias("label"), "old"), f"labels{k}")
+        if labels.filter("label <> old").isEmpty():
+            return labels.select("node", "label")
     raise RuntimeError("components did not settle")
 
 
@@ -644,17 +650,21 @@ def linked_nodes(documents: DataFrame, rows: DataFrame, n: int, percent: int, ro
     texts = _keyed(documents).join(small_or_shuffled(first, first.count()), (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
     parts = written(fragments_of(texts, n, percent), "fragments")
     sizes = written(parts.filter("sketch is not null").dropDuplicates(["node"]).select("node", "n", "grain", "sketch"), "sketches")
-    near = written(near_enough(pairs, sizes, percent), "near-pairs")
-    links = written(overlaps(near, parts, percent), "links")
+    many = frequent_ends(pairs)
+    near = written(near_enough(pairs, many, sizes, percent), "near-pairs")
+    links = written(overlaps(near, many, parts, percent), "links")
     lost = written(near.select("a", "b").join(links, ["a", "b"], "left_anti"), "lost-pairs")
     labels = wanted.select("node", F.col("node").alias("label")) if links.isEmpty() else min_labels(links)
     failed = None
     for k in range(rounds + 1):
         asked = written(apart_pairs(kept, labels, sizes, failed, percent, every=k == rounds), f"asked{k}")
-        new = asked.select("a", "b").distinct().join(lost, ["a", "b"], "left_anti")
-        near = written(near_enough(new, sizes, percent), f"near-pairs{k}")
+        if asked.isEmpty():
+            break
+        new = written(asked.select("a", "b").distinct().join(lost, ["a", "b"], "left_anti"), f"new-pairs{k}")
+        many = frequent_ends(new)
+        near = written(near_enough(new, many, sizes, percent), f"near-pairs{k}")
         if not near.isEmpty():
-            found = written(overlaps(near, parts, percent), f"links{k}")
+            found = written(overlaps(near, many, parts, percent), f"links{k}")
             lost = written(lost.unionByName(near.select("a", "b").join(found, ["a", "b"], "left_anti")), f"lost-pairs{k}")
             if not found.isEmpty():
                 links = links.unionByName(found)

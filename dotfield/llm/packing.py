@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .tokens import MOST, Encoder, encoder, load
 
 SENTENCE, INSIDE = 2.0, 16.0
@@ -167,4 +168,4 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         if rows:
             yield table(rows)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_batches(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)

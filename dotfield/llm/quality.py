@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_fold
+from .common import arrow_map, crc_fold, map_batches
 from .labelled import sample
 from .ngram_join import Shingler
 
@@ -83,7 +83,7 @@ def document_frequency(documents: DataFrame) -> tuple[int, np.ndarray]:
                 df += (rows > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(TERMS)], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["term", "n"])
 
-    sums = documents.select(F.col("text").cast("binary")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = map_batches(documents.select(F.col("text").cast("binary")), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = dict(sums.collect())  # TERMS + 1 rows
     return out.get(-1, 0), np.array([out.get(k, 0) for k in range(TERMS)], np.float64)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import map_batches, new_path, written
 from .tokens import encoder, load
 
 MAGIC = b"PFR1"
@@ -144,7 +144,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("__key"))
     rows = rows.repartitionByRange("doc_id", "__key").sortWithinPartitions("doc_id", "__key").select("doc_id", "text")
-    files = rows.mapInArrow(run, "file binary")
+    files = map_batches(rows, run, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -161,7 +161,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([task] * k, pa.int64()), pa.array([number] * k, pa.int64()), pa.array(range(k), pa.int64()), pa.array(docs, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["task", "number", "place", "doc_id", "n_tokens", "ids_crc32"])
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
-    return raw.mapInArrow(run, "task long, number long, place long, doc_id long, n_tokens long, ids_crc32 long")
+    return map_batches(raw, run, "task long, number long, place long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def token_table(documents: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
