@@ -27,4 +27,19 @@ l AS (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE
 cc(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.j, cc.root FROM cc JOIN u ON u.i = cc.id)
 SELECT id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM cc LEFT JOIN n ON n.doc_id = id GROUP BY id"""
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_exact_dedup": OP2, "op10_ngram_join": OP10}
+OP11 = """WITH bits AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits),
+ids AS (SELECT DISTINCT conv_id, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) % 6 AS h FROM ids, tab),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT c.conv_id, 0 AS own, j, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND j <= h UNION ALL SELECT conv_id, 1, j, role, text FROM c JOIN o USING (conv_id) WHERE j > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, j) AS d, text, length(role) || ':' || role || text AS t FROM u),
+x AS (SELECT conv_id, d, text, list(t) OVER (PARTITION BY conv_id ORDER BY d) AS p FROM r UNION ALL SELECT conv_id, 0, '', NULL FROM c),
+m AS (SELECT conv_id, d, text, min(conv_id) OVER (PARTITION BY d, p) AS node, max(d) OVER (PARTITION BY conv_id) AS last FROM x),
+n AS (SELECT node, d, count(*) AS n_convs, (count(*) - 1) * max(length(text)) AS saved, coalesce(string_agg(CASE WHEN d = last THEN conv_id END, ',' ORDER BY conv_id), '') AS ends FROM m GROUP BY ALL),
+f AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM f WHERE d > 0 GROUP BY ALL),
+s AS (SELECT m.node, m.d, sum(n.saved) AS saved, sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS leaves FROM n LEFT JOIN k USING (node, d) JOIN m ON m.conv_id = n.node AND m.d <= n.d GROUP BY ALL)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256 FROM f LEFT JOIN k USING (node, d) JOIN s USING (node, d)"""
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_exact_dedup": OP2, "op10_ngram_join": OP10, "op11_prefix_trie": OP11}

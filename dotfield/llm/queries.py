@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, ngram_join, packing, quality, sharding, token_files, toxicity, url_filter
+from . import exact_dedup, media, mixing, ngram_join, packing, prefix_trie, quality, sharding, token_files, toxicity, url_filter
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -57,4 +57,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_quality, op4_packing, op5_source_mix, op6_media, op7_url_filter, op8_token_files, op9_toxicity, op10_ngram_join)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_quality, op4_packing, op5_source_mix, op6_media, op7_url_filter, op8_token_files, op9_toxicity, op10_ngram_join, op11_prefix_trie)}
