@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, media, mixing, ngram_join, packing, prefix_trie, quality, sharding, token_files, toxicity, url_filter
+from . import alignment, exact_dedup, media, mixing, ngram_join, packing, prefix_trie, quality, sharding, suffix_dedup, token_files, toxicity, url_filter
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -65,4 +65,8 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_quality, op4_packing, op5_source_mix, op6_media, op7_url_filter, op8_token_files, op9_toxicity, op10_ngram_join, op11_prefix_trie, op12_alignment)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_quality, op4_packing, op5_source_mix, op6_media, op7_url_filter, op8_token_files, op9_toxicity, op10_ngram_join, op11_prefix_trie, op12_alignment, op13_suffix_dedup)}
