@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -475,23 +476,40 @@ def test_mined_rules_judge_as_brute_force(spark):
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
     name, verdict = url_filter.listed(host, path)
     told = pages.select("page_id", url_filter.tokens_of(F.col("url"), host, path).alias("tokens"), verdict.alias("verdict")).collect()
-    mined = url_filter.mine(spark.createDataFrame([(r.tokens, r.verdict) for r in told if r.verdict], "tokens array<string>, verdict string"), 0.02, 0.7, 5, 1.0).collect()
+    labelled = spark.createDataFrame([(r.tokens, r.verdict) for r in told if r.verdict], "tokens array<string>, verdict string")
+    mined = url_filter.mine(labelled, 0.02, 0.7, 5, 1.0).collect()
     tokens = {r.page_id: set(r.tokens) for r in told}
+    item = {r.token: r.item for r in url_filter.classes(labelled).collect()}
     assert len(mined) > 3 and not any(ch.isdigit() for r in mined for t in r.antecedent for ch in t.split(":", 1)[1])
     for r in got:
         if r.rule is None:
-            fit = [(x.confidence, x.support, x.consequent, x.antecedent) for x in mined if set(x.antecedent) <= tokens[r.page_id]]
+            last = {item[t]: t for t in sorted(tokens[r.page_id]) if t in item}
+            fit = [(x.confidence, x.support, x.consequent, sorted(last[i] for i in x.antecedent)) for x in mined if set(x.antecedent) <= set(last)]
             assert r.verdict == (max(fit)[2] if fit else "allow") and (max(fit)[3] if fit else None) == r.because
 
 
+def test_tokens_that_occur_together_are_mined_once(spark):
+    """Thirty parts of a path that always occur together are one item, and any one of them fits its rule."""
+    common = "/".join(f"part{'abcdefghijklmnopqrstuvwxyz'[k % 26] * (1 + k // 26)}" for k in range(30))
+    urls = [f"http://example.com/en/{common}/{'xy'[k % 2]}" for k in range(100)] + [f"http://www.example.com/en/q{k % 3}" for k in range(60)] + ["http://else.where/partb", "http://else.where/a/parta", "http://h/de/parta/partb"]
+    labelled = spark.createDataFrame([(["a", "b", "c"], "block")] * 30 + [(["c"], "allow")] * 20 + [(["b", "a"], "block")] * 20, "tokens array<string>, verdict string")
+    assert {(r.token, r.item) for r in url_filter.classes(labelled).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    began = time.time()
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert time.time() - began < 60
+    assert got[0].verdict == "block" and got[100].verdict == "allow" and got[0].rule == "example.com/en/"
+    assert got[160].verdict == "allow" and got[162].verdict == "block" and got[162].because == ["p2:partb"]
+
+
 def test_mined_rules_hold_on_listed_urls(spark):
     """Rules mined from four fifths of the listed urls agree with the list on the others."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
     name, verdict = url_filter.listed(host, path)
     told = pages.select(url_filter.tokens_of(F.col("url"), host, path).alias("tokens"), verdict.alias("verdict"), (F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0).alias("held")).filter("verdict is not null").cache()
-    mined = url_filter.mine(told.filter("not held").select("tokens", "verdict"))
-    held = told.filter("held").join(url_filter.matched(told.filter("held"), mined), "tokens", "left").select("verdict", "mined").collect()
+    learn = told.filter("not held").select("tokens", "verdict")
+    known = url_filter.classes(learn)
+    held = told.filter("held").join(url_filter.matched(told.filter("held"), url_filter.mine(learn, known=known), known), "tokens", "left").select("verdict", "mined").collect()
     said = [r for r in held if r.mined]
     assert len(said) > 0.5 * len(held) and sum(r.mined == r.verdict for r in said) >= 0.9 * len(said)
 
