@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -191,21 +192,55 @@ def find_parameters(points: DataFrame, threshold: int = 10, points_per_dimension
     return phase.join(F.broadcast(best.select("cfg_id")), "cfg_id").select("loc_id", "cluster"), best  # one row
 
 
+def log_factorial(n) -> Column:
+    """ln n! for n >= 0 by Stirling's series, taken seven places up; good to about 1e-12."""
+    x = n + F.lit(8.0)
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    below = reduce(lambda p, k: p * (n + F.lit(float(k))), range(2, 8), n + F.lit(1.0))
+    return (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(below)
+
+
+def expected_information(sizes_u: DataFrame, sizes_v: DataFrame, n: Column) -> DataFrame:
+    """One row, emi: the mutual information (in nats) to be expected of two labellings whose clusters have these sizes (m) out of n points.
+
+    The sum runs over distinct sizes with their multiplicities, of which there are at most about sqrt(2 n), not over pairs of clusters.
+    """
+    per = lambda df, s, k: df.groupBy(F.col("m").cast("double").alias(s)).agg(F.count(F.lit(1)).alias(k))
+    pairs = per(sizes_u, "a", "ka").crossJoin(F.broadcast(per(sizes_v, "b", "kb"))).withColumn("n", n.cast("double"))  # distinct sizes alone
+    low, high = F.greatest(F.lit(1.0), F.col("a") + F.col("b") - F.col("n")).cast("long"), F.least("a", "b").cast("long")
+    each = pairs.withColumn("k", F.explode(F.sequence(low, high))).withColumn("k", F.col("k").cast("double"))
+    f = lambda c: log_factorial(c)
+    a, b, k, n = (F.col(c) for c in "abkn")
+    chance = F.exp(f(a) + f(b) + f(n - a) + f(n - b) - f(n) - f(k) - f(a - k) - f(b - k) - f(n - a - b + k))
+    return each.agg(F.coalesce(F.sum(F.col("ka") * F.col("kb") * k / n * F.log(n * k / (a * b)) * chance), F.lit(0.0)).alias("emi"))
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: adjusted Rand index, Fowlkes-Mallows index and normalised mutual information of two labellings of the same
-    loc_ids, and their numbers of clusters and of noise points."""
+    """One row: adjusted Rand index, Fowlkes-Mallows index, normalised and adjusted mutual information of two labellings of the same
+    loc_ids, and their numbers of clusters and of noise points. Noise is a label like others; means of entropies are arithmetic."""
     both = a.select("loc_id", F.col("cluster").alias("u")).join(b.select("loc_id", F.col("cluster").alias("v")), "loc_id")
     cells = written(both.groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("n")), "contingency")
     c2 = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     entropy = lambda c: F.sum(-F.col(c) * F.log(c))
     inner = cells.agg(c2("n").alias("t"), F.sum("n").alias("n"), entropy("n").alias("huv"))
-    side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg(c2("m").alias(f"s{c}"), entropy("m").alias(f"h{c}"), F.count_if(F.col(c) != -1).alias(f"clusters_{c}"), F.coalesce(F.sum(F.when(F.col(c) == -1, F.col("m"))), F.lit(0.0)).cast("long").alias(f"noise_{c}"))
+    side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg(c2("m").alias(f"s{c}"), entropy("m").alias(f"h{c}"), F.count_if(F.col(c) != -1).alias(f"clusters_{c}"), F.count(F.lit(1)).alias(f"labels_{c}"), F.coalesce(F.sum(F.when(F.col(c) == -1, F.col("m"))), F.lit(0.0)).cast("long").alias(f"noise_{c}"))
     one = inner.crossJoin(side("u")).crossJoin(side("v"))  # single rows
     pairs = F.col("n") * (F.col("n") - 1) / 2
     expected = F.try_divide(F.col("su") * F.col("sv"), pairs)
     ari = F.try_divide(F.col("t") - expected, (F.col("su") + F.col("sv")) / 2 - expected)
     hu, hv, huv = [F.col(c) / F.col("n") + F.log("n") for c in ("hu", "hv", "huv")]
-    return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), F.coalesce(F.try_divide(F.col("t"), F.sqrt(F.col("su") * F.col("sv"))), F.lit(0.0)).alias("fm"), F.coalesce(F.try_divide(2 * (hu + hv - huv), hu + hv), F.lit(1.0)).alias("nmi"), "clusters_u", "clusters_v", "noise_u", "noise_v")
+    total = inner.first()["n"]
+    if total:
+        by = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m"))
+        one = one.crossJoin(expected_information(by("u"), by("v"), F.lit(total)))
+    else:
+        one = one.withColumn("emi", F.lit(0.0))
+    least = F.lit(2.220446049250313e-16)  # fixed: as small as a difference of entropies is let become
+    room = (hu + hv) / 2 - F.col("emi")
+    room = F.when(room < 0, F.least(room, -least)).otherwise(F.greatest(room, least))
+    alone = (F.col("labels_u") == F.col("labels_v")) & (F.col("labels_u") <= 1)
+    ami = F.when(F.col("n").isNull() | alone, 1.0).otherwise((hu + hv - huv - F.col("emi")) / room)
+    return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), F.coalesce(F.try_divide(F.col("t"), F.sqrt(F.col("su") * F.col("sv"))), F.lit(0.0)).alias("fm"), F.coalesce(F.try_divide(2 * (hu + hv - huv), hu + hv), F.lit(1.0)).alias("nmi"), ami.alias("ami"), "clusters_u", "clusters_v", "noise_u", "noise_v")
 
 
 def hull_pixels(labelled: DataFrame, box: tuple[float, float, float, float], pixels: int) -> DataFrame:

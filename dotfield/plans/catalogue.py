@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, precision
-from ..operators import cells, cluster, coloc, drift, filters, histogram, merge, spatial, tracks
+from ..operators import cells, cluster, coloc, drift, filters, hdbscan, histogram, merge, spatial, tracks
 from . import experiment
 from .config import Config
 from .views import LE, LL, LV, events, lines, table, vectors
@@ -278,11 +278,21 @@ def parameter_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_PHASE}, n AS (SELECT a.cluster AS u, b.cluster AS v, count(*)::DOUBLE AS n FROM lab0 a JOIN lab1 b USING (loc_id) GROUP BY ALL), u AS (SELECT u, sum(n) AS m FROM n GROUP BY u), v AS (SELECT v, sum(n) AS m FROM n GROUP BY v),
-k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS t, (SELECT sum(m * (m - 1) / 2) FROM u) AS su, (SELECT sum(m * (m - 1) / 2) FROM v) AS sv, (SELECT sum(n) FROM n) AS n)
-SELECT round((t - su * sv / (n * (n - 1) / 2)) / ((su + sv) / 2 - su * sv / (n * (n - 1) / 2)), 4) AS ari, round(t / sqrt(su * sv), 4) AS fm, (SELECT count(*) FROM u WHERE u <> -1) AS clusters_u, (SELECT count(*) FROM v WHERE v <> -1) AS clusters_v FROM k""")
+k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS t, (SELECT sum(m * (m - 1) / 2) FROM u) AS su, (SELECT sum(m * (m - 1) / 2) FROM v) AS sv, (SELECT sum(n) FROM n) AS n),
+ru AS (SELECT m AS a, count(*) AS ka FROM u GROUP BY m), rv AS (SELECT m AS b, count(*) AS kb FROM v GROUP BY m), x AS (SELECT ka, kb, a, b, k.n, unnest(range(CAST(greatest(1, a + b - k.n) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1))::DOUBLE AS i FROM ru, rv, k),
+em AS (SELECT sum(ka * kb * i / n * ln(n * i / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(i + 1) - lgamma(a - i + 1) - lgamma(b - i + 1) - lgamma(n - a - b + i + 1))) AS emi FROM x),
+h AS (SELECT (SELECT -sum(m / k.n * ln(m / k.n)) FROM u, k) AS hu, (SELECT -sum(m / k.n * ln(m / k.n)) FROM v, k) AS hv, (SELECT -sum(n.n / k.n * ln(n.n / k.n)) FROM n, k) AS huv)
+SELECT round((t - su * sv / (n * (n - 1) / 2)) / ((su + sv) / 2 - su * sv / (n * (n - 1) / 2)), 4) AS ari, round(t / sqrt(su * sv), 4) AS fm, round(2 * (hu + hv - huv) / (hu + hv), 4) AS nmi, round((hu + hv - huv - emi) / ((hu + hv) / 2 - emi), 4) AS ami,
+(SELECT count(*) FROM u WHERE u <> -1) AS clusters_u, (SELECT count(*) FROM v WHERE v <> -1) AS clusters_v, (SELECT coalesce(sum(m), 0)::BIGINT FROM u WHERE u = -1) AS noise_u, (SELECT coalesce(sum(m), 0)::BIGINT FROM v WHERE v = -1) AS noise_v FROM k, h, em""")
 def partition_agreement(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return cluster.agreement(cluster.dbscan(v, 25, 5), cluster.dbscan(v, 30, 5)).select(r4("ari", "ari"), r4("fm", "fm"), "clusters_u", "clusters_v")
+    out = cluster.agreement(cluster.dbscan(v, 25, 5), cluster.dbscan(v, 30, 5))
+    return out.select(*[r4(c, c) for c in ("ari", "fm", "nmi", "ami")], "clusters_u", "clusters_v", "noise_u", "noise_v")
+
+
+@query()
+def hdbscan_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return hdbscan.hdbscan(vectors(spark, sf), 10, 5, ["channel"]).withColumn("density", r4("density"))
 
 
 @query()
@@ -453,6 +463,43 @@ def mean_distance_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(v.join(spatial.mean_in_radius(v, None, 30, ["channel"]).select("loc_id", "mean_distance"), "loc_id"), "mean_distance")
 
 
+_LABELS = f"WITH RECURSIVE {_PHASE}, lb AS (SELECT lv.channel, lv.x, lv.y, cluster FROM lab0 JOIN lv USING (loc_id) WHERE cluster <> -1)"
+
+
+@query(f"{_LABELS}, s AS (SELECT 0 AS channel, count(*)::DOUBLE AS v FROM lb GROUP BY cluster), {_PEAKS}")
+def cluster_size_summary(spark: SparkSession, sf: str) -> DataFrame:
+    found = cluster.sizes(cluster.dbscan(vectors(spark, sf), 25, 5).filter("cluster <> -1").withColumn("channel", F.lit(0)), ["channel"])
+    return _summary(found.withColumn("n_points", F.col("n_points").cast("double")), "n_points")
+
+
+# A hull's edges are the pairs of points that have all others on one side.
+_AREA = """he AS (SELECT p.cluster, p.x * q.y - q.x * p.y AS c FROM lb p JOIN lb q ON p.cluster = q.cluster AND (p.x <> q.x OR p.y <> q.y) WHERE NOT EXISTS (SELECT 1 FROM lb o WHERE o.cluster = p.cluster AND (q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) < 0)),
+ar AS (SELECT cluster, sum(c) / 2 AS area FROM he GROUP BY cluster), st AS (SELECT cluster, area, n_points / area AS density FROM ar JOIN (SELECT cluster, count(*) AS n_points FROM lb GROUP BY cluster) USING (cluster) WHERE n_points >= 3),
+s AS (SELECT f AS channel, v FROM st, LATERAL (VALUES ('area', area), ('density', density)) t(f, v))"""
+
+
+@query(f"{_LABELS}, {_AREA}, {_PEAKS.replace('SELECT channel, count(*) AS n, round', 'SELECT channel AS feature, count(*) AS n, round')}")
+def cluster_feature_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    stats = cluster.cluster_stats(v.join(cluster.dbscan(v, 25, 5), "loc_id")).filter("cluster <> -1")
+    each = stats.select(F.explode(F.create_map(F.lit("area"), "area", F.lit("density"), "density")).alias("channel", "v"))
+    return _summary(each, "v").withColumnRenamed("channel", "feature")
+
+
+@query(f"WITH {LV}, {_CBC}, cv AS (SELECT rho * exp(-d_nn / 60) AS v FROM z WHERE rho IS NOT NULL), q AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM cv), w AS (SELECT lo, hi, CASE WHEN iqr > 0 THEN least((hi - lo) / (log2(n) + 1), 2 * iqr / pow(n, 1.0::DOUBLE / 3)) ELSE (hi - lo) / (log2(n) + 1) END AS w FROM q), nb AS (SELECT lo, hi, CAST(greatest(ceil((hi - lo) / w), 1) AS INTEGER) AS bins FROM w), bb AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / bins)), bins - 1) AS INTEGER) AS bin, count(*) AS n, any_value(lo) AS lo, any_value((hi - lo) / bins) AS step FROM cv, nb GROUP BY ALL), t AS (SELECT * FROM bb ORDER BY n DESC, bin LIMIT 1) SELECT '1_to_2' AS direction, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(median(v), 4) AS median, round(any_value(t.lo + t.bin * step), 4) AS peak_low, round(any_value(t.lo + (t.bin + 1) * step), 4) AS peak_high FROM cv, t")
+def cbc_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    values = coloc.cbc(v.filter("channel = 0"), v.filter("channel = 1"), 60, 5).withColumn("direction", F.lit("1_to_2"))
+    return histogram.summary(values, "cbc", ["direction"]).select("direction", "n", *[r4(c, c) for c in ("mean", "std", "median", "peak_low", "peak_high")])
+
+
+@query()
+def enrichment_summary(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf)
+    out = coloc.both_directions(v.filter("channel = 0"), v.filter("channel = 1"), coloc.relative_enrichment)
+    return histogram.summary(out, "enrichment", ["direction"], log=True).select("direction", "n", *[r4(c, c) for c in ("mean", "std", "median", "peak_low", "peak_high")])
+
+
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders), c AS (SELECT o_custkey, o_totalprice AS other, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F')
 SELECT o.o_custkey, o.place, o.o_orderkey, o.o_totalprice, c.other FROM o LEFT JOIN c USING (o_custkey, place)""")
 def positional_merge(spark: SparkSession, sf: str) -> DataFrame:
