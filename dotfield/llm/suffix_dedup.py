@@ -10,9 +10,8 @@ depth, decides; so suffixes are brought into classes of equal beginnings through
   the parse. A trigger that occurs once in the corpus settles its phrase: nothing in it is repeated.
 - A phrase with two places in the parse has all its places repeated, and is not looked into. This is what makes the method fit for highly repetitive text.
 - Suffixes of the dictionary. Where a trigger has several phrases and one of them stands alone, the suffixes of its phrases are compared: first in strips of
-  eight neighbouring places around a common core of LENGTH - 7 bytes, named by 128 bits; equal strips are one class, a core that
-  has one strip is settled. Only strips that differ about one core are taken apart into places, each of which is the core's name and seven more bytes,
-  exactly. A suffix class is repeated if dictionary and parse together give it two places.
+  STRIP neighbouring places around a common core of LENGTH - STRIP + 1 bytes, named by 128 bits; equal strips are one class, a core that
+  has one strip is settled. Only strips that differ about one core are taken apart into places, each of which is the core's name and the other bytes. A suffix class is repeated if dictionary and parse together give it two places.
 
 Names take the part of ranks, as in prefix doubling, since to a fixed depth only equality counts: no task sorts a text, a bucket of suffixes
 or a trigger's group. Everything is joins and groups by name, with counts made before the shuffle; phrases and strips carry their place,
@@ -30,16 +29,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dropped, give_back, map_batches, small_or_shuffled, written
 
 LENGTH, GRAM = 200, 64
-#: Neighbouring places of a strip; their windows differ from the core they share by STRIP - 1 bytes, which fit into a long.
-STRIP = 8
+#: Neighbouring places of a strip; their windows differ from the core they share by STRIP - 1 bytes.
+STRIP = 16
 BLOCK = 1 << 20
+#: Triggers (16 bytes each in memory) are broadcast up to so many, else shuffled.
+BROADCAST_TRIGGERS = 2_000_000
 PARSED = "t1 long, t2 long, start int, places int, trigger long, name long, again boolean"
-STRIPS = "c1 long, c2 long, low int, high int, before long, after long, place long, many boolean, t1 long, t2 long, start int"
+STRIPS = "c1 long, c2 long, low int, high int, before binary, after binary, many boolean, t1 long, t2 long, start int"
 
 _rng = np.random.default_rng(20240613)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64)
@@ -66,17 +68,35 @@ def least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - k : width - k + n])
 
 
-def phrases(data: bytes, length: int = LENGTH):
-    """(start, places, trigger, again) arrays of a text's phrases; again: the trigger's string occurs twice in the block."""
-    x = np.frombuffer(data, np.uint8)
+def phrases(x: np.ndarray, ends: np.ndarray, length: int = LENGTH):
+    """(text, start, places, trigger, again) arrays of the phrases of texts that lie one after the other in x and end at ends.
+
+    again: the trigger's string may occur twice in the phrase; it does at least once more in the block.
+    """
+    begins = np.concatenate([[0], ends[:-1]])
     for base in range(0, len(x) - length + 1, BLOCK):
-        v = rolling(x[base : base + BLOCK + length - 1])
+        part = x[base : base + BLOCK + length - 1]
+        v = rolling(part)
         low = least(v, length - GRAM + 1)
-        start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        trigger = low[start]
+        at = np.arange(base, base + len(low))
+        text = np.searchsorted(ends, at, "right")
+        inside = at + length <= ends[np.minimum(text, len(ends) - 1)]
+        new = np.empty(len(low), bool)
+        new[0] = True
+        new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
+        # A run ends before the first place whose window leaves the text.
+        first = np.flatnonzero(new & inside)
+        last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
+        trigger = low[first]
         v.sort()
         again = np.searchsorted(v, trigger, "right") - np.searchsorted(v, trigger) > 1
-        yield start + base, np.diff(np.append(start, len(low))), trigger, again
+        yield text[first], at[first] - begins[text[first]], last - first + 1, trigger, again
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column one after the other, and where each ends."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0]
 
 
 def _key() -> list:
@@ -91,12 +111,16 @@ def parse(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for t1, t2, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for start, places, trigger, again in phrases(data, length):
-                    name = np.array([xxhash.xxh3_64_intdigest(data[i : i + n + length - 1]) for i, n in zip(start.tolist(), places.tolist(), strict=True)], np.uint64)
-                    n = len(start)
-                    columns = [np.full(n, t1), np.full(n, t2), start.astype(np.int32), places.astype(np.int32), trigger.view(np.int64), name.view(np.int64), again]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+            if not len(batch):
+                continue
+            x, ends = _bytes_of(batch.column(2))
+            t1, t2, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), memoryview(x)
+            begins = np.concatenate([[0], ends[:-1]])
+            for text, start, places, trigger, again in phrases(x, ends, length):
+                at = begins[text] + start
+                name = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(at.tolist(), (at + places + length - 1).tolist(), strict=True)), np.uint64, len(at))
+                columns = [t1[text], t2[text], start.astype(np.int32), places.astype(np.int32), trigger.view(np.int64), name.view(np.int64), again]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
         give_back()
 
     return map_batches(texts, run, PARSED)
@@ -110,49 +134,68 @@ def _by_text(rows: DataFrame, *values: str) -> DataFrame:
 def _met(texts: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
     """texts (t1, t2, data, ...) with the list of their rows; lists are broadcast if their counted bytes are few, else both are shuffled."""
     lists = written(lists, name)
-    size = lists.agg(F.coalesce(F.sum(F.size("rows") * 32 + 64), F.lit(0))).first()[0]
+    size = lists.agg(F.coalesce(F.sum(F.size("rows") * 24 + 64), F.lit(0))).first()[0]
     return texts.join(small_or_shuffled(lists, size, 64 << 20), ["t1", "t2"], how)
 
 
 def strips(documents: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The strips of wanted phrases (t1, t2, start, places, trigger, name, many): STRIPS.
+    """The strips of wanted phrases (t1, t2, start, places, trigger, many): STRIPS; the text is told for phrases of one place alone.
 
-    A place that is `right` bytes before the core's start has `right` bytes of the window before the core and the rest of STRIP - 1 after it.
+    A place that is `back` bytes before the core's start has `back` bytes of its window before the core and the rest of STRIP - 1 after it;
+    a strip has those of its places from low to high.
     """
     texts = documents.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length).select(*_key())
-    met = _met(texts, _by_text(wanted, "start", "places", "trigger", "name", "many"), "suffix-wanted", "inner")
-    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in STRIPS.split(", ")])
+    met = _met(texts, _by_text(wanted, "start", "places", "trigger", "many"), "suffix-wanted", "inner")
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in STRIPS.split(", ")])
     rest = STRIP - 1
 
-    def of_phrase(data: bytes, v: np.ndarray, base: int, start: int, places: int, trigger: int, name: int):
-        at = start + np.flatnonzero(v[start - base : start - base + places + length - GRAM] == np.uint64(trigger % 2**64))
-        i = np.arange(start, start + places)
-        anchor = at[np.searchsorted(at, i)]
-        strip = anchor - (anchor - i) // STRIP * STRIP  # where the core starts
-        first = np.flatnonzero(np.concatenate([[True], strip[1:] != strip[:-1]]))
-        for f, last, core in zip(i[first].tolist(), np.append(i[first[1:]] - 1, i[-1]).tolist(), strip[first].tolist(), strict=True):
-            low, high = core - last, core - f
-            end = core + length - rest
-            c = xxhash.xxh3_128_intdigest(data[core:end])
-            place = xxhash.xxh3_64_intdigest(f"{trigger} {name} {f - start}")
-            yield c >> 64, c & (2**64 - 1), low, high, int.from_bytes(data[f:core], "big"), int.from_bytes(data[end : end + rest - low], "big"), place, f
+    def of_some(x, v, low_at, data, begin, start, places, trigger, many, t1, t2):
+        """Strips of phrases at begin + start in x; v are the hashes of x from low_at on."""
+        at = begin + start
+        spans = places + length - GRAM
+        owner = np.repeat(np.arange(len(at)), spans)
+        where = np.repeat(at - np.cumsum(spans) + spans, spans) + np.arange(len(owner))
+        hit = v[where - low_at] == trigger[owner]
+        far = np.int64(len(x) + 1)
+        found = owner[hit] * far + where[hit]
+        owner = np.repeat(np.arange(len(at)), places)
+        place = np.repeat(at - np.cumsum(places) + places, places) + np.arange(len(owner))
+        anchor = found[np.searchsorted(found, owner * far + place)] - owner * far
+        core = anchor - (anchor - place) // STRIP * STRIP
+        first = np.flatnonzero(np.concatenate([[True], (core[1:] != core[:-1]) | (owner[1:] != owner[:-1])]))
+        last = np.append(first[1:], len(core)) - 1
+        core, f, owner = core[first], place[first], owner[first]
+        low, high, end = core - place[last], core - f, core + length - rest
+        cut = lambda a, b: [bytes(data[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        names = b"".join(xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(core.tolist(), end.tolist(), strict=True))
+        names = np.frombuffer(names, np.int64).reshape(-1, 2)
+        alone = ~many[owner]
+        told = lambda c: pa.array(c, mask=~alone)
+        columns = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(cut(f, core), pa.binary()), pa.array(cut(end, end + rest - low), pa.binary())]
+        columns += [pa.array(many[owner]), told(t1[owner]), told(t2[owner]), told((f - begin[owner]).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
         for batch in batches:
-            for t1, t2, data, rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, out = np.frombuffer(data, np.uint8), []
-                rows.sort(key=lambda r: r["start"])
-                base = end = 0
-                for r in rows:
-                    if r["start"] + r["places"] + length - 1 > end:  # hashes are made block by block, as phrases were
-                        base = r["start"]
-                        end = min(base + r["places"] + BLOCK, len(x))
-                        v = rolling(x[base:end])
-                    out += [(*s[:7], r["many"], t1, t2, s[7]) for s in of_phrase(data, v, base, r["start"], r["places"], r["trigger"], r["name"])]
-                c1, c2, low, high, before, after, place, many, k1, k2, start = (list(c) for c in zip(*out, strict=True))
-                signed = lambda c: pa.array(np.array(c, np.uint64).view(np.int64))
-                ints = lambda c: pa.array(c, pa.int32())
-                yield pa.RecordBatch.from_arrays([signed(c1), signed(c2), ints(low), ints(high), pa.array(before, pa.int64()), pa.array(after, pa.int64()), signed(place), pa.array(many), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), ints(start)], schema=schema)
+            if not len(batch):
+                continue
+            x, ends = _bytes_of(batch.column(2))
+            lists = batch.column(3)
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            start, places, trigger, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            begin = np.concatenate([[0], ends[:-1]])[row]
+            t1, t2 = (batch.column(k).to_numpy()[row] for k in range(2))
+            at = begin + start
+            order = np.argsort(at, kind="stable")
+            begin, start, places, trigger, many, t1, t2, at = (c[order] for c in (begin, start.astype(np.int64), places.astype(np.int64), trigger.view(np.uint64), many.astype(bool), t1, t2, at))
+            k = 0
+            while k < len(at):  # as many phrases as lie in a block
+                stop = max(k + 1, int(np.searchsorted(at, at[k] + BLOCK)))
+                end = int((at[k:stop] + places[k:stop]).max()) + length - 1
+                yield of_some(x, rolling(x[at[k] : end]), at[k], memoryview(x), begin[k:stop], start[k:stop], places[k:stop], trigger[k:stop], many[k:stop], t1[k:stop], t2[k:stop])
+                k = stop
         give_back()
 
     return map_batches(met.select("t1", "t2", "data", "rows"), run, STRIPS)
@@ -160,40 +203,52 @@ def strips(documents: DataFrame, wanted: DataFrame, length: int = LENGTH) -> Dat
 
 def _repeated_strips(table: DataFrame) -> DataFrame:
     """t1, t2, start, places of the repeated places of strips that have one place alone."""
-    key = ["c1", "c2", "low", "high", "before", "after"]
-    classes = table.groupBy(*key).agg(F.min("place").alias("one"), F.max("place").alias("other"), F.max("many").alias("many"))
-    classes = written(classes.select(*key, (F.col("many") | (F.col("one") != F.col("other"))).alias("full")), "suffix-strips")
+    kind = F.xxhash64("low", "high", "before", "after").alias("kind")
+    place = F.xxhash64("t1", "t2", "start")
+    classes = table.groupBy("c1", "c2", "low", "high", "before", "after").agg(
+        F.max("many").alias("many"), F.min(place).alias("one"), F.max(place).alias("other"), F.min(F.when(F.col("start").isNotNull(), F.struct("t1", "t2", "start"))).alias("at")
+    )
+    classes = classes.withColumn("full", F.col("many") | (F.col("one") != F.col("other"))).withColumn("kind", kind).drop("one", "other", "many")
+    classes = written(classes, "suffix-classes")
     cores = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("settled")).filter("n > 1 and not settled").select("c1", "c2")
     # A place is so many bytes before the core, and as many of the following ones as fill the window.
-    ext = f"shiftleft(before & (shiftleft(1L, 8 * back) - 1L), 8 * ({STRIP - 1} - back)) | shiftright(after, 8 * (back - low))"
+    ext = f"concat(substring(before, length(before) - back + 1, back), substring(after, 1, {STRIP - 1} - back))"
     apart = classes.join(cores, ["c1", "c2"]).withColumn("back", F.explode(F.sequence("low", "high"))).withColumn("ext", F.expr(ext))
-    places = apart.groupBy("c1", "c2", "back", "ext").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).filter("n > 1 or full")
-    found = apart.filter("not full").join(places.select("c1", "c2", "back", "ext"), ["c1", "c2", "back", "ext"])
-    found = found.groupBy(*key).agg(F.collect_list("back").alias("backs"))
-    full = classes.filter("full").select(*key, F.lit(None).cast("array<int>").alias("backs"))
-    hit = table.filter("not many").join(full.unionByName(found), key)
-    whole = hit.filter("backs is null").select("t1", "t2", "start", (F.col("high") - F.col("low") + 1).alias("places"))
-    part = hit.filter("backs is not null").withColumn("back", F.explode("backs"))
-    part = part.select("t1", "t2", (F.col("start") + F.col("high") - F.col("back")).alias("start"), F.lit(1).alias("places"))
-    return whole.unionByName(part)
+    apart = apart.select("c1", "c2", "back", "ext", "full", F.when(~F.col("full"), F.struct("at.*", "high")).alias("at"))
+    apart = written(apart, "suffix-apart")
+    places = apart.groupBy("c1", "c2", "back", "ext").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).filter("n > 1 or full").select("c1", "c2", "back", "ext")
+    part = apart.filter("not full").join(places, ["c1", "c2", "back", "ext"]).select("at.t1", "at.t2", (F.col("at.start") + F.col("at.high") - F.col("back")).alias("start"), F.lit(1).alias("places"))
+    full = classes.filter("full and at is not null").select("c1", "c2", "kind")
+    hit = table.filter("not many").select("c1", "c2", kind, "t1", "t2", "start", (F.col("high") - F.col("low") + 1).alias("places")).join(full, ["c1", "c2", "kind"])
+    return hit.select("t1", "t2", "start", "places").unionByName(part)
 
 
 def repeated_places(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 (a text's names), start, places: the runs of places whose length bytes start elsewhere too."""
     parsed = written(parse(documents, length), "suffix-parse")
     again = parsed.groupBy("trigger").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1").select("trigger")
-    kept = written(parsed.join(again, "trigger"), "suffix-kept")
-    dropped(parsed)
+    again = written(again, "suffix-triggers")
+    kept = written(parsed.join(small_or_shuffled(again, again.count(), BROADCAST_TRIGGERS), "trigger"), "suffix-kept")
+    dropped(parsed, again)
     at = F.struct("t1", "t2", "start", "places")
     dictionary = kept.groupBy("trigger", "name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.min(at).alias("at"))
     dictionary = written(dictionary, "suffix-dictionary")
     triggers = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases"), F.min("n").alias("least"), F.max("again").alias("again"))
     open_ = triggers.filter("least = 1 and (phrases > 1 or again)").select("trigger")
-    wanted = dictionary.join(open_, "trigger").select("at.*", "trigger", "name", (F.col("n") > 1).alias("many"))
+    wanted = dictionary.join(open_, "trigger").select("at.*", "trigger", (F.col("n") > 1).alias("many"))
     table = written(strips(documents, wanted, length), "suffix-suffixes")
     often = dictionary.filter("n > 1").select("trigger", "name")
     full = kept.join(often, ["trigger", "name"]).select("t1", "t2", "start", "places")
-    return full.unionByName(_repeated_strips(table)).distinct()
+    return _runs(full.unionByName(_repeated_strips(table)).distinct())  # copies of a text tell the same
+
+
+def _runs(places: DataFrame) -> DataFrame:
+    """Runs of places (t1, t2, start, places) that touch or overlap as one."""
+    text = W.partitionBy("t1", "t2").orderBy("start", "places")
+    reach = F.max(F.col("start") + F.col("places")).over(text.rowsBetween(W.unboundedPreceding, -1))
+    marked = places.withColumn("begins", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    marked = marked.withColumn("run", F.sum("begins").over(text.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return marked.groupBy("t1", "t2", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("places")) - F.min("start")).alias("places")).drop("run")
 
 
 def cut(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -58,7 +58,8 @@ def test_blocks_and_shuffles(spark, monkeypatch):
     for base in (300, 777):
         parts = []
         monkeypatch.setattr(suffix_dedup, "BLOCK", base)
-        for start, places, _, _ in suffix_dedup.phrases(long.encode()):
+        for text, start, places, _, _ in suffix_dedup.phrases(np.frombuffer(long.encode(), np.uint8), np.array([len(long.encode())])):
+            assert not text.any()
             parts += list(zip(start.tolist(), places.tolist(), strict=True))
         assert [p[0] for p in parts] == np.cumsum([0, *[p[1] for p in parts]])[:-1].tolist() and sum(p[1] for p in parts) == len(long.encode()) - 199
     texts = [long, long[:3000], words(rng, 200), long[100:900] + long[:500]]
