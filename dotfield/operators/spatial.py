@@ -1,4 +1,4 @@
-"""Distance joins on a grid of cells: fixed radius, k nearest, nearest site.
+"""Distance joins on a grid of cells: fixed radius, k nearest, nearest site, in two dimensions or three.
 
 All take tables with loc_id, x, y and optional group columns; only points of one group meet. Points with a null
 coordinate take no part. A join is an equi-join on cells followed by the distance, never a nested loop.
@@ -7,6 +7,7 @@ coordinate take no part. A join is an equi-join on cells followed by the distanc
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,12 @@ def distance(ax, ay, bx, by) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def distance_along(axes, left: str, right: str) -> Column:
+    """Distance of two points of any number of axes, whose columns end in left and right."""
+    gaps = [F.col(f"{c}{left}") - F.col(f"{c}{right}") for c in axes]
+    return F.sqrt(reduce(lambda a, b: a + b, [g * g for g in gaps]))
+
+
 def _cell(c: Column, side) -> Column:
     return F.floor(c / side).cast("long")
 
@@ -67,39 +74,41 @@ def mean_in_radius(points: DataFrame, others: DataFrame | None, r: float, groups
     return out.select("loc_id", F.coalesce("mean_distance", F.lit(empty).cast("double")).alias("mean_distance"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-def knn_join(left: DataFrame, right: DataFrame | None, k: int, groups: list[str] = ()) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame | None, k: int, groups: list[str] = (), axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """The k nearest of right (or of left's other points) for each left point: groups, i, j, d, rank; ties by j.
 
-    Cells start small and double. A point is done when its k-th distance is within the border of its 3 x 3 cells, or when
-    these hold all points; only points that are not done go on to the next size, so dense places stay cheap.
+    Cells start small and double. A point is done when its k-th distance is within the border of the cells around its own, or when
+    these hold all points; only points that are not done go on to the next size, so dense places stay cheap. axes: two columns or three.
     """
-    groups, own = list(groups), right is None
-    a = left.filter("x is not null and y is not null").select(*groups, F.col("loc_id").alias("i"), F.col("x").alias("__xi"), F.col("y").alias("__yi"))
-    b = (left if own else right).filter("x is not null and y is not null").select(*groups, F.col("loc_id").alias("j"), F.col("x").alias("__xj"), F.col("y").alias("__yj"))
-    a, b = written(a, "knn-left"), written(b, "knn-right")
-    box = lambda d, s: d.agg(F.min(f"__x{s}").alias("x0"), F.max(f"__x{s}").alias("x1"), F.min(f"__y{s}").alias("y0"), F.max(f"__y{s}").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    groups, own, axes = list(groups), right is None, list(axes)
+    known = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in axes])
+    side_of = lambda df, s: df.filter(known).select(*groups, F.col("loc_id").alias(s), *[F.col(c).alias(f"__{c}{s}") for c in axes])
+    a, b = written(side_of(left, "i"), "knn-left"), written(side_of(left if own else right, "j"), "knn-right")
+    box = lambda d, s: d.agg(*[f(f"__{c}{s}") for c in axes for f in (F.min, F.max)], F.count(F.lit(1)).alias("n")).first()
     p, q = box(a, "i"), box(b, "j")
     empty = a.join(b, groups or F.lit(True)).limit(0) if not p.n or not q.n else None
     if empty is not None:
         return empty.select(*groups, "i", "j", F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
-    span = max(max(p.x1, q.x1) - min(p.x0, q.x0), max(p.y1, q.y1) - min(p.y0, q.y0), 1e-9)
-    side = span * math.sqrt(max(k, 1) / max(q.n, 1)) / 2
+    span = max(*[max(p[2 * n + 1], q[2 * n + 1]) - min(p[2 * n], q[2 * n]) for n in range(len(axes))], 1e-9)
+    side = span * (max(k, 1) / max(q.n, 1)) ** (1 / len(axes)) / 2
+    cells = [f"__c{c}" for c in axes]
     done, todo = None, a
     rank = F.row_number().over(W.partitionBy(*groups, "i").orderBy("d", "j"))
     while True:
         last = side > span
-        near = b.withColumns({"__cx": _cell(F.col("__xj"), side), "__cy": _cell(F.col("__yj"), side)}).withColumn("__u", _around(1)).withColumn("__v", _around(1))
-        near = near.withColumns({"__cx": F.col("__cx") + F.col("__u"), "__cy": F.col("__cy") + F.col("__v")})
-        mine = todo.withColumns({"__cx": _cell(F.col("__xi"), side), "__cy": _cell(F.col("__yi"), side)})
-        found = mine.join(near, [*groups, "__cx", "__cy"])
+        near = b.withColumns({f"__c{c}": _cell(F.col(f"__{c}j"), side) for c in axes})
+        for c in axes:
+            near = near.withColumn("__u", _around(1)).withColumn(f"__c{c}", F.col(f"__c{c}") + F.col("__u")).drop("__u")
+        mine = todo.withColumns({f"__c{c}": _cell(F.col(f"__{c}i"), side) for c in axes})
+        found = mine.join(near, [*groups, *cells])
         if own:
             found = found.filter("i <> j")
-        found = found.withColumn("d", distance("__xi", "__yi", "__xj", "__yj")).withColumn("rank", rank).filter(F.col("rank") <= k)
+        found = found.withColumn("d", distance_along([f"__{c}" for c in axes], "i", "j")).withColumn("rank", rank).filter(F.col("rank") <= k)
         if last:
             got = found.select(*groups, "i", "j", "d", "rank")
             return got if done is None else done.unionByName(got)
-        # What lies outside the 3 x 3 cells is at least this far away.
-        edge = F.least(F.col("__xi") - (F.col("__cx") - 1) * F.lit(side), (F.col("__cx") + 2) * F.lit(side) - F.col("__xi"), F.col("__yi") - (F.col("__cy") - 1) * F.lit(side), (F.col("__cy") + 2) * F.lit(side) - F.col("__yi"))
+        # What lies outside the cells around is at least this far away.
+        edge = F.least(*[e for c in axes for e in (F.col(f"__{c}i") - (F.col(f"__c{c}") - 1) * F.lit(side), (F.col(f"__c{c}") + 2) * F.lit(side) - F.col(f"__{c}i"))])
         every = W.partitionBy(*groups, "i")
         found = found.withColumn("__ok", (F.max("rank").over(every) == k) & (F.max("d").over(every) < F.max(edge).over(every)))
         got = written(found.filter("__ok").select(*groups, "i", "j", "d", "rank"), "knn-done")
@@ -110,7 +119,50 @@ def knn_join(left: DataFrame, right: DataFrame | None, k: int, groups: list[str]
         side *= 2
 
 
-def nearest_counts(sites: DataFrame, points: DataFrame, groups: list[str] = ()) -> DataFrame:
+#: Bits that a level of nearest_site() has more than the one above it, on each axis.
+LEVEL_BITS = 2
+
+
+def nearest_site(asked: DataFrame, sites: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """asked with site and d, the nearest of sites (loc_id and axes) to each of its points, wherever they lie; ties by loc_id.
+
+    Occupied cells of a pyramid of grids are taken apart from the top. Of a point's cells those stay whose nearest corner is no farther than the
+    farthest of the best one; so a point far outside keeps few cells too. asked has a key `ask`.
+    """
+    axes = list(axes)
+    ends = sites.agg(*[f(c) for c in axes for f in (F.min, F.max)], F.count(F.lit(1)).alias("n")).first()
+    if not ends.n:
+        return asked.select("*", F.lit(None).cast("long").alias("site"), F.lit(None).cast("double").alias("d")).limit(0)
+    low = {c: float(ends[2 * k]) for k, c in enumerate(axes)}
+    span = max(max(float(ends[2 * k + 1]) - low[c] for k, c in enumerate(axes)), 1e-300) * (1 + 1e-9)
+    levels = max(1, min(10, math.ceil(math.log2(max(ends.n / 2, 1)) / len(axes) / LEVEL_BITS)))
+    bits = levels * LEVEL_BITS
+    at = lambda c: F.least(F.floor((F.col(c) - F.lit(low[c])) / F.lit(span) * F.lit(float(1 << bits))), F.lit((1 << bits) - 1)).cast("long")
+    placed = sites.select(F.col("loc_id").alias("site"), *[F.col(c).alias(f"__s{c}") for c in axes], *[at(c).alias(f"__c{c}") for c in axes])
+    keys = [f"__c{c}" for c in axes]
+    fine = written(placed.select(*keys).distinct(), "pyramid")
+
+    def bounds(df: DataFrame, level: int) -> DataFrame:
+        side = span / (1 << (level * LEVEL_BITS))
+        lo = [F.greatest(F.lit(low[c]) + F.col(f"__c{c}") * F.lit(side) - F.col(c), F.col(c) - (F.lit(low[c]) + (F.col(f"__c{c}") + 1) * F.lit(side)), F.lit(0.0)) for c in axes]
+        hi = [F.greatest(F.abs(F.lit(low[c]) + F.col(f"__c{c}") * F.lit(side) - F.col(c)), F.abs(F.lit(low[c]) + (F.col(f"__c{c}") + 1) * F.lit(side) - F.col(c))) for c in axes]
+        root = lambda parts: F.sqrt(reduce(lambda a, b: a + b, [x * x for x in parts]))
+        df = df.withColumn("__hi", F.min(root(hi)).over(W.partitionBy("ask")))
+        return df.filter(root(lo) * (1 - 1e-9) <= F.col("__hi") * (1 + 1e-9)).drop("__hi")
+
+    now = asked.select("ask", *axes, *[F.lit(0).cast("long").alias(k) for k in keys])
+    for level in range(1, levels + 1):
+        shift = (levels - level) * LEVEL_BITS
+        cells = fine.select(*[F.shiftright(k, shift).alias(k) for k in keys]).distinct()
+        cells = cells.select(*keys, *[F.shiftright(k, LEVEL_BITS).alias(f"__p{k}") for k in keys])
+        parents = now.withColumnsRenamed({k: f"__p{k}" for k in keys})
+        now = bounds(parents.join(cells, [f"__p{k}" for k in keys]).drop(*[f"__p{k}" for k in keys]), level)
+    met = now.join(placed, keys).withColumn("d", F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"__s{c}")) * (F.col(c) - F.col(f"__s{c}")) for c in axes])))
+    best = met.groupBy("ask").agg(F.min(F.struct("d", "site")).alias("__b"))
+    return asked.join(best, "ask").select(*[asked[c] for c in asked.columns], F.col("__b.site").alias("site"), F.col("__b.d").alias("d"))
+
+
+def nearest_counts(sites: DataFrame, points: DataFrame, groups: list[str] = (), axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """loc_id of each site, and how many points have it as nearest: what its Voronoi cell holds."""
-    near = knn_join(points, sites, 1, groups).groupBy("j").agg(F.count(F.lit(1)).alias("n"))
+    near = knn_join(points, sites, 1, groups, axes).groupBy("j").agg(F.count(F.lit(1)).alias("n"))
     return sites.select("loc_id").join(near, F.col("loc_id") == F.col("j"), "left").select("loc_id", F.coalesce("n", F.lit(0)).alias("n_points"))

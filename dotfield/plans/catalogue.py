@@ -420,6 +420,23 @@ def relative_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("direction", "loc_id", "n_points", r4("area", "area"), r4("enrichment", "enrichment"))
 
 
+_D3 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+_LV3 = LV.replace(" AS y, ", " AS y, 1000.0::DOUBLE * CAST(embedding[3] AS DOUBLE) AS z, ")
+
+
+@query(f"WITH {_LV3} SELECT a.loc_id AS i, b.loc_id AS j, round({_D3}, 4) AS d, CAST(row_number() OVER (PARTITION BY a.loc_id ORDER BY {_D3}, b.loc_id) AS INTEGER) AS rank FROM lv a JOIN lv b ON a.channel = b.channel AND a.loc_id <> b.loc_id QUALIFY row_number() OVER (PARTITION BY a.loc_id ORDER BY {_D3}, b.loc_id) <= 3")
+def knn_solid(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest neighbours in three dimensions."""
+    return spatial.knn_join(vectors(spark, sf, deep=True), None, 3, ["channel"], ("x", "y", "z")).select("i", "j", r4("d", "d"), "rank")
+
+
+@query()
+def relative_enrichment_solid(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf, deep=True)
+    out = coloc.relative_enrichment(v.filter("channel = 0"), v.filter("channel = 1"), ("x", "y", "z"))
+    return out.select("loc_id", "n_points", r4("area", "volume"), r4("mean_neighbour_distance", "mean_neighbour_distance"), r4("enrichment", "enrichment"))
+
+
 @query()
 def enrichment_bins(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)

@@ -15,9 +15,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("loc_id"), F.col("value").alias("x"), (F.col("user_id") * 10.0).cast("double").alias("y"), hours.cast("int").alias("frame"), F.col("event_type").alias("channel"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, deep: bool = False) -> DataFrame:
     at = lambda k: F.col("embedding")[k].cast("double") * 1000.0
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("loc_id"), at(0).alias("x"), at(1).alias("y"), (F.col("label") % 2).cast("int").alias("channel"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("loc_id"), at(0).alias("x"), at(1).alias("y"), *([at(2).alias("z")] if deep else []), (F.col("label") % 2).cast("int").alias("channel"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
