@@ -26,6 +26,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
 
 
+def pair_stem(path: Column) -> Column:
+    """The stem without _pip_clusters, _cpp_clusters or _clusters at its end: what the labellings of one table have in common."""
+    return F.regexp_replace(stem(path), "(?:_pip|_cpp)?_clusters$", "")
+
+
 def is_raw_input(path: Column) -> Column:
     """A CSV file that is neither a channel's part (_ch and digits) nor an output (_locs_)."""
     name = file_name(path)

@@ -99,8 +99,14 @@ def cluster_stats(labelled: DataFrame, groups: list[str] = (), hull: bool = True
     return out
 
 
-def sizes(labelled: DataFrame, groups: list[str] = ()) -> DataFrame:
-    return labelled.groupBy(*groups, "cluster").agg(F.count(F.lit(1)).alias("n_points"))
+def with_clusters(points: DataFrame, labels: DataFrame, groups: list[str] = ()) -> DataFrame:
+    """All columns of points and the cluster of each; a cluster column that they had is replaced, a point without a label is noise."""
+    key = [*groups, "loc_id"]
+    return points.drop("cluster").join(labels.select(*key, "cluster"), key, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+
+
+def sizes(labelled: DataFrame, groups: list[str] = (), include_noise: bool = True) -> DataFrame:
+    return (labelled if include_noise else labelled.filter("cluster <> -1")).groupBy(*groups, "cluster").agg(F.count(F.lit(1)).alias("n_points"))
 
 
 def centres(labelled: DataFrame, groups: list[str] = ()) -> DataFrame:

@@ -85,6 +85,24 @@ def density_summary(df: DataFrame, size: int, groups: list[str]) -> DataFrame:
     return out.select(*groups, mean.alias("mean"), F.sqrt(F.col("ss") / F.lit(float(cells)) - mean * mean).alias("std"), ((low("m1", (cells + 1) // 2) + low("m2", cells // 2 + 1)) / F.lit(2.0)).alias("median"))
 
 
+def count_density(df: DataFrame, size: int, groups: list[str], bins: int = 30) -> DataFrame:
+    """groups, bin, low, high, density: of the counts of all size * size cells, empty ones too, in bins of equal width whose densities times widths sum to 1.
+
+    The last bin has its upper end; if all counts are equal the bins span one around them. Bins without a cell have no row.
+    """
+    g = list(groups)
+    per = density(df, size, g).groupBy(*g, F.col("n").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    zero = per.groupBy(*g).agg((F.lit(size * size) - F.sum("c")).alias("c")).filter("c > 0").select(*g, F.lit(0).cast("long").alias("v"), "c")
+    per = per.unionByName(zero)
+    ends = per.groupBy(*g).agg(F.min("v").cast("double").alias("__lo"), F.max("v").cast("double").alias("__hi"))
+    ends = ends.select(*g, *[F.when(F.col("__lo") == F.col("__hi"), F.col(c) + d).otherwise(F.col(c)).alias(c) for c, d in (("__lo", -0.5), ("__hi", 0.5))])
+    placed = per.join(ends, g) if g else per.crossJoin(F.broadcast(ends))  # one row of ends
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    placed = placed.withColumn("bin", F.least(F.floor((F.col("v") - F.col("__lo")) / width), F.lit(bins - 1)).cast("int"))
+    out = placed.groupBy(*g, "bin", "__lo", "__hi").agg(F.sum("c").alias("c"))
+    return out.select(*g, "bin", (F.col("__lo") + F.col("bin") * width).alias("low"), (F.col("__lo") + (F.col("bin") + 1) * width).alias("high"), (F.col("c") / (F.lit(float(size * size)) * width)).alias("density"))
+
+
 def otsu(df: DataFrame, value: str, groups: list[str] = (), bins: int = 256) -> DataFrame:
     """groups, threshold: the centre of the histogram bin that splits values with the largest variance between classes."""
     g = list(groups)

@@ -41,6 +41,13 @@ def merged(stats: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     return {"rows": kept, "counts": kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))}
 
 
+def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, a, b (the first name of each side by key) and side: both, only_a or only_b. a and b have key and name."""
+    first = lambda df, s: df.groupBy(key).agg(F.min("name").alias(s))
+    side = F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both")
+    return first(a, "a").join(first(b, "b"), key, "full").select(key, "a", "b", side.alias("side"))
+
+
 def distribution(files: DataFrame, group: str, item: str) -> DataFrame:
     """How many groups have how many items: group, n."""
     return files.groupBy(group).agg(F.countDistinct(item).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, precision
 from ..operators import cells, cluster, coloc, drift, filters, hdbscan, histogram, merge, spatial, tracks
+from ..streaming import counts
 from . import experiment
 from .config import Config
 from .views import LE, LL, LV, events, lines, table, vectors
@@ -390,6 +391,45 @@ def precision_mle(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r4(p, "precision"))
 
 
+@query(f"WITH {LL}, {_LP} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt(s / n * (16.0::DOUBLE / 9 + 8 * pi() * s * b / (n * 117.0::DOUBLE * 117))), 4) AS lp_calculated FROM s")
+def precision_by_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw headers, one sigma column, a stage in between that carries what the calculation needs."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    raw = lines(spark, sf).withColumnsRenamed({"sx": "sigma [nm]", "photons": "intensity (photons)", "lp": "background"})
+    headers = precision.Headers(background="background", sigma="sigma [nm]", output="lp_calculated")
+    moved = precision.carried_through(raw.dropDuplicates(key), raw.dropDuplicates(key).select(*key, "x", "y"), key, headers)
+    return precision.with_precision(moved, headers, 117, method="lsq").select(*key, r4("lp_calculated", "lp_calculated"))
+
+
+@query(f"""WITH {LL}, {_GRID}, c AS (SELECT DISTINCT channel FROM ll), a AS (SELECT channel, i AS xb, j AS yb FROM c, range(1, 51) t(i), range(1, 51) u(j)), n AS (SELECT a.channel, coalesce(k, 0) AS k FROM a LEFT JOIN (SELECT channel, xb, yb, count(*) AS k FROM f GROUP BY ALL) USING (channel, xb, yb)),
+e AS (SELECT channel, min(k) AS lo, (max(k) - min(k)) / 30.0::DOUBLE AS w FROM n GROUP BY channel) SELECT channel, CAST(least(floor((k - lo) / w), 29) AS INTEGER) AS bin, round(any_value(lo + least(floor((k - lo) / w), 29) * w), 4) AS low, round(any_value(lo + (least(floor((k - lo) / w), 29) + 1) * w), 4) AS high, round(count(*) / (2500 * any_value(w)), 4) AS density FROM n JOIN e USING (channel) GROUP BY ALL""")
+def grid_count_density(spark: SparkSession, sf: str) -> DataFrame:
+    return histogram.count_density(lines(spark, sf), 50, ["channel"]).select("channel", "bin", *[r4(c, c) for c in ("low", "high", "density")])
+
+
+@query("""WITH a AS (SELECT p_brand AS stem, min(p_brand || '_cpp_clusters.csv') AS a FROM part WHERE p_size < 12 GROUP BY 1), b AS (SELECT p_brand || p_type AS s FROM part WHERE p_size > 40), c AS (SELECT s AS stem, min(s || '_pip_clusters.csv') AS b FROM b GROUP BY 1 UNION ALL SELECT p_brand, min(p_brand || '.csv') FROM part WHERE p_size = 25 GROUP BY 1)
+SELECT stem, a, b, CASE WHEN a IS NULL THEN 'only_b' WHEN b IS NULL THEN 'only_a' ELSE 'both' END AS side FROM a FULL JOIN c USING (stem)""")
+def stem_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two folders that belong together, and those that have no partner."""
+    p = table(spark, sf, "part")
+    keyed = lambda df: df.withColumn("stem", names.pair_stem(F.col("name")))
+    a = p.filter("p_size < 12").select(F.concat(F.lit("/data/a/"), "p_brand", F.lit("_cpp_clusters.csv")).alias("path"))
+    b = p.filter("p_size > 40").select(F.concat(F.lit("/b/"), "p_brand", "p_type", F.lit("_pip_clusters.csv")).alias("path")).unionByName(p.filter("p_size = 25").select(F.concat(F.lit("/b/"), "p_brand", F.lit(".csv")).alias("path")))
+    return merge.paired(*[keyed(df.select(names.file_name(F.col("path")).alias("name"))) for df in (a, b)], "stem")
+
+
+@query("""WITH e AS (SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type AS channel, CAST(floor(value / 50) AS BIGINT) AS xb, CAST(floor(user_id * 10 / 500.0) AS BIGINT) AS yb, count(*) AS n FROM events WHERE value >= 10 GROUP BY ALL)
+SELECT CAST(day AS VARCHAR) AS day, channel, xb, yb, n FROM e WHERE day + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events WHERE value >= 10)""")
+def density_of_a_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily counts per cell of a stream of event files; the last day is still open when the files end."""
+    source = table(spark, sf, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/event[s].parquet").filter("value >= 10")  # as a pattern, a file will do for a folder
+    at = stream.select(F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("x"), (F.col("user_id") * 10.0).alias("y"), F.col("event_type").alias("channel"))
+    counted = counts.density_stream(at.withColumns({"x": F.col("x") / 50, "y": F.col("y") / 500}), "time", "1 hour", "1 day", 1.0, ["channel"])
+    out = counts.drained(counted, "stream-density")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "channel", "xb", "yb", "n")
+
+
 _CBC = f"""p AS (SELECT a.loc_id AS i, b.channel AS c, greatest(ceil({_D} / 12.0::DOUBLE), 1) AS m, {_D} AS d FROM lv a JOIN lv b ON a.channel = 0 AND a.loc_id <> b.loc_id AND {_D} <= 60), g AS (SELECT i, min(d) FILTER (c = 1) AS d_nn FROM p GROUP BY i HAVING count(*) FILTER (c = 0) > 0 AND count(*) FILTER (c = 1) > 0),
 h AS (SELECT g.i, d_nn, k AS m, (SELECT count(*) FROM p WHERE p.i = g.i AND c = 0 AND p.m <= k) AS na, (SELECT count(*) FROM p WHERE p.i = g.i AND c = 1 AND p.m <= k) AS nb FROM g, range(1, 6) t(k)),
 s AS (SELECT i, d_nn, round(na / sum(CASE WHEN m = 5 THEN na END) OVER (PARTITION BY i) * 25.0::DOUBLE / (m * m), 12) AS da, round(nb / sum(CASE WHEN m = 5 THEN nb END) OVER (PARTITION BY i) * 25.0::DOUBLE / (m * m), 12) AS db FROM h),

@@ -12,6 +12,7 @@ from dotfield.operators import cells, cluster, coloc, drift, filters, graph, mer
 from dotfield.plans import experiment
 from dotfield.plans.config import Config
 from dotfield.sources import tables
+from dotfield.streaming import counts
 
 FOUR = [(100.0, 200.0, 1, 80.0, 85.0, 500.0, 10.0, 0.01), (105.0, 202.0, 2, 90.0, 95.0, 400.0, 15.0, 0.05), (500.0, 500.0, 10, 40.0, 45.0, 100.0, 25.0, 0.2), (1000.0, 1000.0, 20, 300.0, 310.0, 600.0, 5.0, 0.02)]
 NAMES = "x double, y double, frame int, sx double, sy double, photons double, lp double, pvalue double"
@@ -307,3 +308,53 @@ def test_config():
     for bad in ({"unknown": 1}, {"filtering": {"sigma": {"min": 5, "max": 5}}}, {"linking": {"min_duration": 9, "max_duration": 3}}, {"drift": {"segmentation": 0}}):
         with pytest.raises(ValueError):
             Config.model_validate(bad)
+
+
+def test_filters_of_a_stream(spark, tmp_path):
+    """What a stream passes is what the batch passes; its running counts are observed."""
+    rows = [(k, float(k % 300), 50.0 + k % 200, 200.0 + k, 5.0 + k % 30) for k in range(400)]
+    df = spark.createDataFrame(rows, "loc_id long, x double, sx double, photons double, lp double").withColumn("sy", F.col("sx"))
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    limits = filters.Limits((60, 200), 300, 20, None)
+    stream = counts.filtered_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), limits)
+    got = sorted(r.loc_id for r in counts.drained(stream, "filtered").collect())
+    assert got == sorted(r.loc_id for r in filters.cascade(df, limits).collect()) and 0 < len(got) < 400
+
+
+def test_precision_headers(spark):
+    h = precision.Headers()
+    assert h.inputs() == ["intensity (photons)", "background (photons/nm^2)", "sigmaX (nm)", "sigmaY (nm)"] and h.carried()[0] == "LP_calculated"
+    df = spark.createDataFrame([(1, 1000.0, 0.001, 120.0, 110.0, 8.0), (2, 2000.0, 0.002, 130.0, 125.0, 7.0)], "id int, `intensity (photons)` double, `background (photons/nm^2)` double, `sigmaX (nm)` double, `sigmaY (nm)` double, `localization precision (nm)` double")
+    moved = precision.carried_through(df, df.select("id"), ["id"], h)
+    got = precision.with_precision(moved, h, 117, unit="per_nm2").orderBy("id").collect()
+    assert all(0 < r.LP_calculated < 20 for r in got) and got[0].LP_calculated > got[1].LP_calculated
+    with pytest.raises(ValueError):
+        precision.with_precision(df.drop("intensity (photons)"), h, 117)
+    with pytest.raises(ValueError):
+        precision.with_precision(df.drop("sigmaX (nm)"), h, 117)
+
+
+def test_clusters_keep_columns(spark):
+    pts = points(spark, [(0, 0), (1, 0), (50, 50)]).withColumn("cluster", F.lit(7)).withColumn("note", F.lit("n"))
+    labels = spark.createDataFrame([(0, 4), (1, 4)], "loc_id long, cluster int")
+    got = sorted((r.loc_id, r.cluster, r.note) for r in cluster.with_clusters(pts, labels).collect())
+    assert got == [(0, 4, "n"), (1, 4, "n"), (2, -1, "n")]
+    assert cluster.sizes(cluster.with_clusters(pts, labels), include_noise=False).count() == 1
+
+
+def test_expected_information(spark):
+    """By the sum over all contingency counts, with logarithms of factorials from the library."""
+    u, v = [1, 1, 3, 5, 30], [10, 10, 20]
+    n, want = 40, 0.0
+    f = math.lgamma
+    for a in u:
+        for b in v:
+            for k in range(max(1, a + b - n), min(a, b) + 1):
+                p = math.exp(f(a + 1) + f(b + 1) + f(n - a + 1) + f(n - b + 1) - f(n + 1) - f(k + 1) - f(a - k + 1) - f(b - k + 1) - f(n - a - b + k + 1))
+                want += k / n * math.log(n * k / (a * b)) * p
+    table = lambda s: spark.createDataFrame([(x,) for x in s], "m long")
+    assert abs(cluster.expected_information(table(u), table(v), F.lit(n)).first().emi - want) < 1e-9
+    got = spark.range(0, 200).select(cluster.log_factorial(F.col("id").cast("double"))).collect()
+    assert all(abs(r[0] - f(k + 1)) < 1e-9 * max(1, f(k + 1)) for k, r in enumerate(got))
+    same = spark.createDataFrame([(k, k % 3) for k in range(30)], "loc_id long, cluster int")
+    assert abs(cluster.agreement(same, same).first().ami - 1) < 1e-9
