@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hull_area, hull_corners, inside_convex
 from .graph import components
 from .numbering import numbered
-from .spatial import knn_join, radius_pairs
+from .spatial import distance, knn_join, radius_pairs
 from .storage import written
 
 
@@ -39,35 +39,124 @@ def labels_of(points: DataFrame, pairs: DataFrame, groups: list[str], min_sample
     return out.select(*g, "loc_id", F.col("cluster").isNotNull().alias("is_core"), F.coalesce("cluster", "__beside", F.lit(-1)).cast("int").alias("cluster"))
 
 
+#: Cells are a bit smaller than eps / sqrt(2), so that rounding cannot part two points of one cell; parts of a cell's side.
+SHRUNK, PARTS = 1 - 1e-9, 8
+
+
+def _around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Each row in the cells (cx, cy) at these steps from its own."""
+    moved = F.explode(F.array(*[F.struct(F.lit(u).cast("long").alias("u"), F.lit(v).cast("long").alias("v")) for u, v in steps]))
+    return df.withColumn("__s", moved).withColumns({"cx": F.col("cx") + F.col("__s.u"), "cy": F.col("cy") + F.col("__s.v")}).drop("__s")
+
+
+_NEAR = [(u, v) for u in range(-2, 3) for v in range(-2, 3)]
+_AFTER = [s for s in _NEAR if s > (0, 0)]
+
+
+def _in_cells(points: DataFrame, eps: float, g: list[str]) -> DataFrame:
+    side = eps / math.sqrt(2) * SHRUNK
+    at = lambda c, s: F.floor(F.col(c) / F.lit(s)).cast("long")
+    some = points.filter("x is not null and y is not null").select(*g, "loc_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return some.withColumns({"cx": at("x", side), "cy": at("y", side), "sx": at("x", side / PARTS), "sy": at("y", side / PARTS)})
+
+
+def _within(left: DataFrame, right: DataFrame, eps: float, g: list[str], *columns: str) -> DataFrame:
+    """left's rows (few in every cell) with columns of right's points within eps."""
+    other = right.select(*g, "cx", "cy", F.col("x").alias("__x"), F.col("y").alias("__y"), *columns)
+    return _around(left, _NEAR).join(other, [*g, "cx", "cy"]).filter(distance("x", "y", "__x", "__y") <= eps)
+
+
+def cores(at: DataFrame, eps: float, min_samples: int, g: list[str]) -> DataFrame:
+    """Points in cells with core: whether min_samples points, itself included, are within eps.
+
+    All points of a cell are within eps of each other, so a cell of min_samples points has cores alone, and only points of
+    other cells, of which there are fewer in each, are compared with their neighbours.
+    """
+    full = at.groupBy(*g, "cx", "cy").agg((F.count(F.lit(1)) >= min_samples).alias("core"))
+    at = written(at.join(full, [*g, "cx", "cy"]), "cells")
+    near = _within(at.filter("not core").select(*g, "loc_id", "x", "y", "cx", "cy"), at, eps, g).groupBy(*g, "loc_id").agg((F.count(F.lit(1)) >= min_samples).alias("many"))
+    return written(at.join(near, [*g, "loc_id"], "left").withColumn("core", F.col("core") | F.coalesce("many", F.lit(False))).drop("many"), "cores")
+
+
+def _gap(a: str, b: str, eps: float) -> tuple[Column, Column]:
+    """Whether boxes x0..y1 with these endings may have points within eps, and whether all of their points are."""
+    low = lambda c: F.greatest(F.col(f"{c}0{a}") - F.col(f"{c}1{b}"), F.col(f"{c}0{b}") - F.col(f"{c}1{a}"), F.lit(0.0))
+    high = lambda c: F.greatest(F.col(f"{c}1{a}") - F.col(f"{c}0{b}"), F.col(f"{c}1{b}") - F.col(f"{c}0{a}"))
+    norm = lambda f: F.sqrt(f("x") * f("x") + f("y") * f("y"))
+    return norm(low) <= eps * (1 + 1e-12), norm(high) <= eps * (1 - 1e-12)
+
+
+def _cell_edges(core: DataFrame, cells: DataFrame, eps: float, g: list[str]) -> DataFrame:
+    """Pairs (i, j) of cells, by their names, with cores within eps.
+
+    Boxes around the cores of two cells decide most pairs, boxes around those of parts of cells most others. Points meet only in parts whose
+    boxes leave it open, of cells that no other parts have joined.
+    """
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    ends = [c for c in ("x0", "x1", "y0", "y1")]
+    named = lambda df, s, *cols: df.select(*g, *[F.col(c).alias(f"{c}{s}") for c in cols])
+    a = named(cells, "a", "name", *ends, "cx", "cy").withColumnsRenamed({"cxa": "cx", "cya": "cy"})
+    pairs = _around(a, _AFTER).join(named(cells, "b", "name", *ends, "cx", "cy").withColumnsRenamed({"cxb": "cx", "cyb": "cy"}), [*g, "cx", "cy"])
+    may, all_ = _gap("a", "b", eps)
+    pairs = written(pairs.filter(may).select(*g, F.col("namea").alias("i"), F.col("nameb").alias("j"), all_.alias("sure")), "cell-pairs")
+    sure, open_ = pairs.filter("sure").select(*g, "i", "j"), pairs.filter("not sure").select(*g, "i", "j")
+    parts = core.groupBy(*g, "name", "sx", "sy").agg(*box)
+    met = open_.join(named(parts, "a", "name", "sx", "sy", *ends).withColumnRenamed("namea", "i"), [*g, "i"]).join(named(parts, "b", "name", "sx", "sy", *ends).withColumnRenamed("nameb", "j"), [*g, "j"])
+    met = written(met.filter(may).select(*g, "i", "j", "sxa", "sya", "sxb", "syb", all_.alias("sure")), "part-pairs")
+    joined = met.filter("sure").select(*g, "i", "j").distinct()
+    left = met.join(joined, [*g, "i", "j"], "left_anti").select(*g, "i", "j", "sxa", "sya", "sxb", "syb")
+    side = lambda n, s: core.select(*g, F.col("name").alias(n), F.col("sx").alias(f"sx{s}"), F.col("sy").alias(f"sy{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    points = left.join(side("i", "a"), [*g, "i", "sxa", "sya"]).join(side("j", "b"), [*g, "j", "sxb", "syb"]).filter(distance("xa", "ya", "xb", "yb") <= eps)
+    return sure.unionByName(joined).unionByName(points.select(*g, "i", "j").distinct())
+
+
+def labels_in_cells(at: DataFrame, eps: float, g: list[str]) -> DataFrame:
+    """groups, loc_id, is_core, cluster of points in cells whose core is known; clusters are components of cells."""
+    core = at.filter("core")
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    cells = written(core.groupBy(*g, "cx", "cy").agg(F.min("loc_id").alias("name"), *box), "core-cells")
+    core = written(core.join(cells.select(*g, "cx", "cy", "name"), [*g, "cx", "cy"]), "core-points")
+    roots = components(_cell_edges(core, cells, eps, g), g).withColumnRenamed("node", "name")
+    cells = cells.select(*g, "name").join(roots, [*g, "name"], "left").select(*g, "name", F.coalesce("root", "name").alias("root"))
+    names = numbered(cells.select(*g, "root").distinct(), g, "root", "cluster").withColumn("cluster", (F.col("cluster") - 1).cast("int"))
+    core = written(core.join(cells.join(names, [*g, "root"]).select(*g, "name", "cluster"), [*g, "name"]), "core-labels")
+    beside = _within(at.filter("not core").select(*g, "loc_id", "x", "y", "cx", "cy"), core, eps, g, "cluster").groupBy(*g, "loc_id").agg(F.min("cluster").alias("cluster"))
+    return core.select(*g, "loc_id", F.lit(True).alias("is_core"), "cluster").unionByName(beside.select(*g, "loc_id", F.lit(False).alias("is_core"), "cluster"))
+
+
+def _all_labels(points: DataFrame, found: DataFrame, g: list[str]) -> DataFrame:
+    out = points.select(*g, "loc_id").join(found, [*g, "loc_id"], "left")
+    return out.select(*g, "loc_id", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int, groups: list[str] = ()) -> DataFrame:
-    """groups, loc_id, is_core, cluster; distances of eps count."""
-    return labels_of(points, radius_pairs(points, eps, groups), list(groups), min_samples)
+    """groups, loc_id, is_core, cluster; distances of eps count.
+
+    A point with at least min_samples points around it, itself included, is core; cores within eps are one cluster; clusters are
+    numbered from 0 by their smallest core; another point takes the lowest cluster of a core beside it, else -1. Work grows with the points, not with their
+    pairs: a dense place is a few cells of cores.
+    """
+    g = list(groups)
+    return _all_labels(points, labels_in_cells(cores(_in_cells(points, eps, g), eps, min_samples, g), eps, g), g)
 
 
 def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[str] = (), rounds: int = 1000) -> DataFrame:
     """groups, loc_id, cluster: fit, keep only cores, and fit again until none goes; those that went are -1.
 
-    More rounds than `rounds` are an error, never an unfinished result.
+    More rounds than `rounds` are an error, never an unfinished result. Cores that are left are joined into clusters once, at the end.
     """
     g = list(groups)
-    pairs = written(radius_pairs(points, eps, g).select(*g, "i", "j"), "eps-pairs")
-    left, n = points.select(*g, "loc_id"), None
+    at, n = written(_in_cells(points, eps, g), "loop-points"), None
     for _ in range(rounds):
-        # Only cores are needed until none goes; they are joined into clusters once, at the end.
-        ends = pairs.select(*g, F.explode(F.array("i", "j")).alias("loc_id"))
-        degree = ends.groupBy(*g, "loc_id").agg((F.count(F.lit(1)) + 1).alias("__n"))
-        cores = left.join(degree, [*g, "loc_id"], "left").filter(F.coalesce("__n", F.lit(1)) >= min_samples).select(*g, "loc_id")
-        cores = written(cores, "loop-cores")
-        m = cores.count()
+        known = cores(at, eps, min_samples, g)
+        kept = known.filter("core")
+        m = kept.count()
         if m == n or not m:
             break
-        left, n = cores, m
-        pairs = pairs.join(left.withColumnRenamed("loc_id", "i"), [*g, "i"], "left_semi").join(left.withColumnRenamed("loc_id", "j"), [*g, "j"], "left_semi")
-        pairs = written(pairs, "loop-pairs")
+        at, n = kept.drop("core"), m
     else:
         raise RuntimeError("the loop did not settle")
-    kept = labels_of(cores, pairs, g, min_samples).select(*g, "loc_id", "cluster")
-    return points.select(*g, "loc_id").join(kept, [*g, "loc_id"], "left").select(*g, "loc_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return _all_labels(points, labels_in_cells(known, eps, g), g).drop("is_core")
 
 
 def offset_ids(labels: DataFrame, order: str) -> DataFrame:

@@ -358,3 +358,14 @@ def test_expected_information(spark):
     assert all(abs(r[0] - f(k + 1)) < 1e-9 * max(1, f(k + 1)) for k, r in enumerate(got))
     same = spark.createDataFrame([(k, k % 3) for k in range(30)], "loc_id long, cluster int")
     assert abs(cluster.agreement(same, same).first().ami - 1) < 1e-9
+
+
+def test_dbscan_in_dense_places(spark):
+    """Clumps of many points in few cells, chains of cells, borders at exactly eps: as by all pairs. The rows made grow with the points."""
+    rng = np.random.default_rng(31)
+    xy = np.concatenate([rng.normal(0, 0.3, (400, 2)), rng.normal((6, 0), 0.3, (400, 2)), rng.uniform(-10, 20, (150, 2)), [(30 + k * 0.7, 5) for k in range(40)], [(50 + i, 50 + j) for i in range(6) for j in range(6)], np.full((30, 2), 80.0)])
+    pts = points(spark, xy.tolist())
+    for eps, least in ((1.0, 4), (0.5, 10), (2.0, 3)):
+        got = {r.loc_id: (r.is_core, r.cluster) for r in cluster.dbscan(pts, eps, least).collect()}
+        want = {r.loc_id: (r.is_core, r.cluster) for r in cluster.labels_of(pts, spatial.radius_pairs(pts, eps), [], least).collect()}
+        assert got == want
