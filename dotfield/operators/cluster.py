@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import hull_area, hull_corners, inside_convex
+from ..functions.geometry import hull_area, hull_corners
 from .graph import components
 from .numbering import numbered
 from .spatial import distance, knn_join, radius_pairs
@@ -39,6 +39,8 @@ def labels_of(points: DataFrame, pairs: DataFrame, groups: list[str], min_sample
     return out.select(*g, "loc_id", F.col("cluster").isNotNull().alias("is_core"), F.coalesce("cluster", "__beside", F.lit(-1)).cast("int").alias("cluster"))
 
 
+#: Share of a pixel by which a centre may be off a hull's border and still be in it.
+TOUCH = 1e-9
 #: Cells are a bit smaller than eps / sqrt(2), so that rounding cannot part two points of one cell; parts of a cell's side.
 SHRUNK, PARTS = 1 - 1e-9, 8
 
@@ -338,24 +340,46 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), F.coalesce(F.try_divide(F.col("t"), F.sqrt(F.col("su") * F.col("sv"))), F.lit(0.0)).alias("fm"), F.coalesce(F.try_divide(2 * (hu + hv - huv), hu + hv), F.lit(1.0)).alias("nmi"), ami.alias("ami"), "clusters_u", "clusters_v", "noise_u", "noise_v")
 
 
-def hull_pixels(labelled: DataFrame, box: tuple[float, float, float, float], pixels: int) -> DataFrame:
-    """Distinct (px, py) of a pixels * pixels raster over box (x0, x1, y0, y1) whose centre is in a cluster's hull."""
+def hull_lines(labelled: DataFrame, box: tuple[float, float, float, float], pixels: int) -> DataFrame:
+    """py, low, high: of every cluster's hull and every line of a pixels * pixels raster over box (x0, x1, y0, y1) the first and last pixel whose centre is in it."""
     x0, x1, y0, y1 = box
     dx, dy = (x1 - x0) / pixels, (y1 - y0) / pixels
-    hulls = hull_corners(labelled.filter("cluster <> -1"), ["cluster"])
-    edge = lambda f, c: f(F.transform("hull", lambda p: p[c]))
-    at = lambda v, lo, d: F.least(F.greatest(F.floor((v - F.lit(lo)) / F.lit(d)), F.lit(0)), F.lit(pixels - 1)).cast("int")
-    span = lambda c, lo, d: F.explode(F.sequence(at(edge(F.array_min, c), lo, d), at(edge(F.array_max, c), lo, d)))
-    cells = hulls.withColumn("px", span("x", x0, dx)).withColumn("py", span("y", y0, dy))
-    inside = inside_convex(F.lit(x0) + (F.col("px") + 0.5) * F.lit(dx), F.lit(y0) + (F.col("py") + 0.5) * F.lit(dy), F.col("hull"))
-    return cells.filter(inside).select("px", "py").distinct()
+    hulls = hull_corners(labelled.filter("cluster <> -1"), ["cluster"]).filter(F.size("hull") > 2)
+    ys = F.transform("hull", lambda p: p["y"])
+    row = lambda v, up: ((F.ceil if up else F.floor)((v - F.lit(y0)) / F.lit(dy) - 0.5 + F.lit(-TOUCH if up else TOUCH))).cast("int")
+    first, last = F.greatest(row(F.array_min(ys), True), F.lit(0)), F.least(row(F.array_max(ys), False), F.lit(pixels - 1))
+    lines = hulls.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("py", F.explode(F.sequence("first", "last")))
+    y = F.least(F.greatest(F.lit(y0) + (F.col("py") + 0.5) * F.lit(dy), F.array_min(ys)), F.array_max(ys))
+    after = F.concat(F.slice("hull", 2, F.size("hull") - 1), F.slice("hull", 1, 1))
+
+    def meets(p, q):
+        """Where an edge meets the line; a level edge is met by its neighbours."""
+        across = (F.least(p["y"], q["y"]) <= y) & (F.greatest(p["y"], q["y"]) >= y) & (p["y"] != q["y"])
+        return F.when(across, p["x"] + (y - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"]))
+
+    lines = lines.withColumn("xs", F.filter(F.zip_with("hull", after, meets), lambda v: v.isNotNull())).filter(F.size("xs") > 0)
+    at = lambda v: (v - F.lit(x0)) / F.lit(dx) - 0.5
+    low, high = F.ceil(at(F.array_min("xs")) - TOUCH), F.floor(at(F.array_max("xs")) + TOUCH)
+    return lines.select("py", F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.lit(pixels - 1)).alias("high")).filter("low <= high")
+
+
+def pixels_of(lines: DataFrame) -> DataFrame:
+    """One row, n: pixels in the union of intervals (py, low, high)."""
+    before = F.max("high").over(W.partitionBy("py").orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1))
+    new = lines.withColumn("new", F.greatest(F.col("high") - F.greatest(F.col("low") - 1, F.coalesce(before, F.col("low") - 1)), F.lit(0)))
+    return new.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("n"))
 
 
 def hull_iou(a: DataFrame, b: DataFrame, pixels: int = 2400) -> DataFrame:
-    """One row: pixels in the hulls of both labellings (x, y, cluster), in those of either, and their ratio."""
+    """One row: pixels in the hulls of both labellings (x, y, cluster), in those of either, and their ratio.
+
+    A hull is a few intervals, one for each line of pixels; what both have follows from the sizes of each side and of their union.
+    """
     box = a.select("x", "y").unionByName(b.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if box[0] is None or box[1] <= box[0] or box[3] <= box[2]:
         return a.sparkSession.createDataFrame([(0, 0, None)], "both long, either long, iou double")
-    pa, pb = hull_pixels(a, tuple(box), pixels).withColumn("a", F.lit(1)), hull_pixels(b, tuple(box), pixels).withColumn("b", F.lit(1))
-    out = pa.join(pb, ["px", "py"], "full").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count(F.lit(1)).alias("either"))
+    la, lb = (written(hull_lines(x, tuple(box), pixels), "hull-lines") for x in (a, b))
+    one = lambda df, name: pixels_of(df).withColumnRenamed("n", name)
+    out = one(la, "a").crossJoin(one(lb, "b")).crossJoin(one(la.unionByName(lb), "either"))  # single rows
+    out = out.select((F.col("a") + F.col("b") - F.col("either")).alias("both"), "either")
     return out.withColumn("iou", F.try_divide(F.col("both"), F.col("either")))

@@ -369,3 +369,24 @@ def test_dbscan_in_dense_places(spark):
         got = {r.loc_id: (r.is_core, r.cluster) for r in cluster.dbscan(pts, eps, least).collect()}
         want = {r.loc_id: (r.is_core, r.cluster) for r in cluster.labels_of(pts, spatial.radius_pairs(pts, eps), [], least).collect()}
         assert got == want
+
+
+def test_hull_lines_against_pixels(spark):
+    """Overlapping hulls on a coarse raster, every pixel's centre tested against every hull."""
+    rng = np.random.default_rng(8)
+    labellings = [[(float(x), float(y), k) for k in range(4) for x, y in rng.normal((k * 3 + shift, k % 2), 1.2, (12, 2))] for shift in (0, 1)]
+    a, b = (spark.createDataFrame(rows + [(20.0, 20.0, -1), (-5.0, -6.0, -1)], "x double, y double, cluster int") for rows in labellings)
+    n, masks = 60, []
+    for rows in labellings:
+        inside = set()
+        for k in range(4):
+            h = geometry.hull(np.array([r[:2] for r in rows if r[2] == k]))
+            e = np.roll(h, -1, axis=0) - h
+            for px in range(n):
+                for py in range(n):
+                    c = np.array([-5 + (px + 0.5) * 25 / n, -6 + (py + 0.5) * 26 / n])
+                    if (e[:, 0] * (c[1] - h[:, 1]) - e[:, 1] * (c[0] - h[:, 0]) >= 0).all():
+                        inside.add((px, py))
+        masks.append(inside)
+    got = cluster.hull_iou(a, b, n).first()
+    assert (got.both, got.either) == (len(masks[0] & masks[1]), len(masks[0] | masks[1])) and got.both > 20
