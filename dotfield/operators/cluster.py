@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hull_area, hull_corners
 from .graph import components
 from .numbering import numbered
+from .quantiles import quantiles, with_medians
 from .spatial import distance, knn_join, radius_pairs
 from .storage import written
 
@@ -204,7 +205,7 @@ def centres(labelled: DataFrame, groups: list[str] = ()) -> DataFrame:
     """groups, cluster, median x and y, and the largest distance of a member to them."""
     key = [*groups, "cluster"]
     some = labelled.filter("cluster <> -1")
-    mid = some.groupBy(*key).agg(F.median("x").alias("cx"), F.median("y").alias("cy"))
+    mid = with_medians(some.withColumns({"cx": F.col("x"), "cy": F.col("y")}), ["cx", "cy"], key)
     far = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
     return some.join(mid, key).groupBy(*key, "cx", "cy").agg(F.max(far).alias("radius"))
 
@@ -252,8 +253,7 @@ def consensus(optima: DataFrame, decay: float = 0.5) -> DataFrame:
 def kth_quantiles(points: DataFrame, k: int, at: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
     """low, high: linear quantiles of the distance to the k-th nearest other point."""
     far = knn_join(points, None, k).filter(F.col("rank") == k)
-    q = far.agg(F.percentile("d", F.array(*[F.lit(a) for a in at])).alias("q"))
-    return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return quantiles(written(far, "kth-distances"), "d", [], {"low": at[0], "high": at[1]})
 
 
 def parameter_grid(low: float, high: float, points: int, min_threshold: int, max_threshold: int) -> list[tuple[int, float, int]]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def log_bins(df: DataFrame, value: str, groups: list[str] = (), bins: int = 69) -> DataFrame:
     """groups, bin, low, high, n: bins of equal width in log10 between the least and largest positive value.
@@ -27,10 +29,12 @@ def auto_bins(df: DataFrame, value: str, groups: list[str] = ()) -> DataFrame:
     """groups, bin, low, high, n with the smaller of Sturges' and Freedman-Diaconis' widths."""
     g = list(groups)
     some = df.filter(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("__v"))
-    ends = some.groupBy(*g).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"), F.percentile("__v", F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    ends = some.groupBy(*g).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    quarters = quantiles(some, "__v", g, {"__q1": 0.25, "__q3": 0.75})
+    ends = ends.join(quarters, g) if g else ends.crossJoin(F.broadcast(quarters))  # single rows
     span = F.col("__hi") - F.col("__lo")
     sturges = span / (F.log2(F.col("__n").cast("double")) + 1)
-    diaconis = 2 * (F.col("__q")[1] - F.col("__q")[0]) / F.pow(F.col("__n").cast("double"), F.lit(1 / 3))
+    diaconis = 2 * (F.col("__q3") - F.col("__q1")) / F.pow(F.col("__n").cast("double"), F.lit(1 / 3))
     width = F.when(diaconis > 0, F.least(sturges, diaconis)).otherwise(sturges)
     ends = ends.select(*g, "__lo", "__hi", F.when(span > 0, F.greatest(F.ceil(span / width), F.lit(1))).otherwise(1).cast("int").alias("__bins"))
     placed = some.join(ends, g) if g else some.crossJoin(F.broadcast(ends))  # one row of ends
@@ -49,7 +53,8 @@ def peak(bins: DataFrame, groups: list[str] = ()) -> DataFrame:
 def summary(df: DataFrame, value: str, groups: list[str], log: bool = False) -> DataFrame:
     """groups, n, mean, population std, median and the peak bin as an interval; log: positive values, log bins."""
     some = df.filter(F.col(value).isNotNull() & ((F.col(value) > 0) if log else F.lit(True)))
-    stats = some.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"))
+    stats = some.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    stats = stats.join(quantiles(some, value, groups, {"median": 0.5}), groups)
     bins = log_bins(some, value, groups) if log else auto_bins(some, value, groups)
     top = peak(bins, groups).select(*groups, F.col("low").alias("peak_low"), F.col("high").alias("peak_high"))
     return stats.join(top, groups)

@@ -397,7 +397,7 @@ def precision_by_headers(spark: SparkSession, sf: str) -> DataFrame:
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     raw = lines(spark, sf).withColumnsRenamed({"sx": "sigma [nm]", "photons": "intensity (photons)", "lp": "background"})
     headers = precision.Headers(background="background", sigma="sigma [nm]", output="lp_calculated")
-    moved = precision.carried_through(raw.dropDuplicates(key), raw.dropDuplicates(key).select(*key, "x", "y"), key, headers)
+    moved = raw.select(*key, "x", "y", *[F.col(f"`{h}`") for h in headers.carried() if h in raw.columns])
     return precision.with_precision(moved, headers, 117, method="lsq").select(*key, r4("lp_calculated", "lp_calculated"))
 
 

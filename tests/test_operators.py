@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dotfield.functions import geometry, names, precision
-from dotfield.operators import cells, cluster, coloc, drift, filters, graph, merge, spatial, tracks
+from dotfield.operators import cells, cluster, coloc, drift, filters, graph, merge, quantiles, spatial, tracks
 from dotfield.plans import experiment
 from dotfield.plans.config import Config
 from dotfield.sources import tables
@@ -390,3 +390,21 @@ def test_hull_lines_against_pixels(spark):
         masks.append(inside)
     got = cluster.hull_iou(a, b, n).first()
     assert (got.both, got.either) == (len(masks[0] & masks[1]), len(masks[0] | masks[1])) and got.both > 20
+
+
+@pytest.mark.parametrize("small, accuracy", [(100_000, 10_000), (50, 100)])
+def test_quantiles(spark, monkeypatch, small, accuracy):
+    """Of large groups only values between the bounds are counted one by one."""
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = np.random.default_rng(41)
+    values = {"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 4, 2000).astype(float), "c": np.array([5.0]), "d": np.array([1.0, 2.0]), None: rng.exponential(1, 777)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    at = {"low": 0.1, "mid": 0.5, "high": 0.9, "last": 1.0}
+    got = {r.k: r for r in quantiles.quantiles(df, "v", ["k"], at).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert np.allclose([got[k][n] for n in at], np.quantile(v, list(at.values())), rtol=1e-12, atol=1e-12)
+    every = np.concatenate(list(values.values()))
+    assert math.isclose(quantiles.quantiles(df, "v", [], {"m": 0.5}).first().m, np.median(every), rel_tol=1e-12)
