@@ -1,9 +1,10 @@
-"""Density clustering, cluster statistics, and the choice of its parameters by agreement of labellings."""
+"""Density clustering in two dimensions or three, cluster statistics and the agreement of labellings."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hull_area, hull_corners
 from .graph import components
 from .numbering import numbered
-from .quantiles import quantiles, with_medians
-from .spatial import distance, knn_join, radius_pairs
+from .quantiles import with_medians
+from .spatial import distance_along
 from .storage import written
 
 
@@ -42,116 +43,134 @@ def labels_of(points: DataFrame, pairs: DataFrame, groups: list[str], min_sample
 
 #: Share of a pixel by which a centre may be off a hull's border and still be in it.
 TOUCH = 1e-9
-#: Cells are a bit smaller than eps / sqrt(2), so that rounding cannot part two points of one cell; parts of a cell's side.
-SHRUNK, PARTS = 1 - 1e-9, 8
+#: Cells are a bit smaller than eps / sqrt(axes), so that rounding cannot part two points of one cell; parts of a cell's side by the number of axes.
+SHRUNK, PARTS = 1 - 1e-9, {2: 8, 3: 4}
+PLANE = ("x", "y")
 
 
-def _around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Each row in the cells (cx, cy) at these steps from its own."""
-    moved = F.explode(F.array(*[F.struct(F.lit(u).cast("long").alias("u"), F.lit(v).cast("long").alias("v")) for u, v in steps]))
-    return df.withColumn("__s", moved).withColumns({"cx": F.col("cx") + F.col("__s.u"), "cy": F.col("cy") + F.col("__s.v")}).drop("__s")
+def _steps(axes: tuple[str, ...], after: bool = False) -> list[tuple[int, ...]]:
+    """Steps from a cell to those that may have points within eps of its own; after: one of each two opposite ones, without 0."""
+    every = product(range(-2, 3), repeat=len(axes))
+    return [s for s in every if not after or s > (0,) * len(axes)]
 
 
-_NEAR = [(u, v) for u in range(-2, 3) for v in range(-2, 3)]
-_AFTER = [s for s in _NEAR if s > (0, 0)]
+def _around(df: DataFrame, axes: tuple[str, ...], steps: list[tuple[int, ...]]) -> DataFrame:
+    """Each row in the cells at these steps from its own."""
+    moved = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(axes, s, strict=True)]) for s in steps]))
+    return df.withColumn("__s", moved).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"__s.{c}") for c in axes}).drop("__s")
 
 
-def _in_cells(points: DataFrame, eps: float, g: list[str]) -> DataFrame:
-    side = eps / math.sqrt(2) * SHRUNK
+def _named(columns: list[str], prefix: str) -> list[str]:
+    return [f"{prefix}{c}" for c in columns]
+
+
+def in_cells(points: DataFrame, eps, g: list[str], axes: tuple[str, ...] = PLANE) -> DataFrame:
+    """groups, loc_id, axes, cells c<axis> whose points are all within eps of each other, and parts s<axis> of them; without points that have a null axis."""
+    side = eps / math.sqrt(len(axes)) * SHRUNK
     at = lambda c, s: F.floor(F.col(c) / F.lit(s)).cast("long")
-    some = points.filter("x is not null and y is not null").select(*g, "loc_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return some.withColumns({"cx": at("x", side), "cy": at("y", side), "sx": at("x", side / PARTS), "sy": at("y", side / PARTS)})
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in axes])
+    some = points.filter(known).select(*g, "loc_id", *[F.col(c).cast("double").alias(c) for c in axes])
+    return some.withColumns({**{f"c{c}": at(c, side) for c in axes}, **{f"s{c}": at(c, side / PARTS[len(axes)]) for c in axes}})
 
 
-def _within(left: DataFrame, right: DataFrame, eps: float, g: list[str], *columns: str) -> DataFrame:
+def _within(left: DataFrame, right: DataFrame, eps, g: list[str], axes: tuple[str, ...], *columns: str) -> DataFrame:
     """left's rows (few in every cell) with columns of right's points within eps."""
-    other = right.select(*g, "cx", "cy", F.col("x").alias("__x"), F.col("y").alias("__y"), *columns)
-    return _around(left, _NEAR).join(other, [*g, "cx", "cy"]).filter(distance("x", "y", "__x", "__y") <= eps)
+    cells = _named(axes, "c")
+    other = right.select(*g, *cells, *[F.col(c).alias(f"{c}__b") for c in axes], *columns)
+    return _around(left, axes, _steps(axes)).join(other, [*g, *cells]).filter(distance_along(axes, "", "__b") <= eps)
 
 
-def cores(at: DataFrame, eps: float, min_samples: int, g: list[str]) -> DataFrame:
+def cores(at: DataFrame, eps, min_samples, g: list[str], axes: tuple[str, ...] = PLANE) -> DataFrame:
     """Points in cells with core: whether min_samples points, itself included, are within eps.
 
     All points of a cell are within eps of each other, so a cell of min_samples points has cores alone, and only points of
     other cells, of which there are fewer in each, are compared with their neighbours.
     """
-    full = at.groupBy(*g, "cx", "cy").agg((F.count(F.lit(1)) >= min_samples).alias("core"))
-    at = written(at.join(full, [*g, "cx", "cy"]), "cells")
-    near = _within(at.filter("not core").select(*g, "loc_id", "x", "y", "cx", "cy"), at, eps, g).groupBy(*g, "loc_id").agg((F.count(F.lit(1)) >= min_samples).alias("many"))
+    cells = _named(axes, "c")
+    full = at.groupBy(*g, *cells).agg((F.count(F.lit(1)) >= min_samples).alias("core"))
+    at = written(at.join(full, [*g, *cells]), "cells")
+    near = _within(at.filter("not core").select(*g, "loc_id", *axes, *cells), at, eps, g, axes).groupBy(*g, "loc_id").agg((F.count(F.lit(1)) >= min_samples).alias("many"))
     return written(at.join(near, [*g, "loc_id"], "left").withColumn("core", F.col("core") | F.coalesce("many", F.lit(False))).drop("many"), "cores")
 
 
-def _gap(a: str, b: str, eps: float) -> tuple[Column, Column]:
-    """Whether boxes x0..y1 with these endings may have points within eps, and whether all of their points are."""
+def _gap(a: str, b: str, eps, axes: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether boxes <axis>0 to <axis>1 with these endings may have points within eps, and whether all of their points are."""
     low = lambda c: F.greatest(F.col(f"{c}0{a}") - F.col(f"{c}1{b}"), F.col(f"{c}0{b}") - F.col(f"{c}1{a}"), F.lit(0.0))
     high = lambda c: F.greatest(F.col(f"{c}1{a}") - F.col(f"{c}0{b}"), F.col(f"{c}1{b}") - F.col(f"{c}0{a}"))
-    norm = lambda f: F.sqrt(f("x") * f("x") + f("y") * f("y"))
+    norm = lambda f: F.sqrt(reduce(lambda p, q: p + q, [f(c) * f(c) for c in axes]))
     return norm(low) <= eps * (1 + 1e-12), norm(high) <= eps * (1 - 1e-12)
 
 
-def _cell_edges(core: DataFrame, cells: DataFrame, eps: float, g: list[str]) -> DataFrame:
+def _cell_edges(core: DataFrame, cells: DataFrame, eps, g: list[str], axes: tuple[str, ...]) -> DataFrame:
     """Pairs (i, j) of cells, by their names, with cores within eps.
 
     Boxes around the cores of two cells decide most pairs, boxes around those of parts of cells most others. Points meet only in parts whose
     boxes leave it open, of cells that no other parts have joined.
     """
-    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
-    ends = [c for c in ("x0", "x1", "y0", "y1")]
-    named = lambda df, s, *cols: df.select(*g, *[F.col(c).alias(f"{c}{s}") for c in cols])
-    a = named(cells, "a", "name", *ends, "cx", "cy").withColumnsRenamed({"cxa": "cx", "cya": "cy"})
-    pairs = _around(a, _AFTER).join(named(cells, "b", "name", *ends, "cx", "cy").withColumnsRenamed({"cxb": "cx", "cyb": "cy"}), [*g, "cx", "cy"])
-    may, all_ = _gap("a", "b", eps)
+    c, s, ends = _named(axes, "c"), _named(axes, "s"), [f"{k}{n}" for k in axes for n in (0, 1)]
+    box = [f(k).alias(f"{k}{n}") for k in axes for n, f in ((0, F.min), (1, F.max))]
+    named = lambda df, end, *cols: df.select(*g, *[F.col(k).alias(f"{k}{end}") for k in cols])
+    ended = lambda end: [f"{k}{end}" for k in s]
+    placed = lambda end: named(cells, end, "name", *ends, *c).withColumnsRenamed({f"{k}{end}": k for k in c})
+    pairs = _around(placed("a"), axes, _steps(axes, after=True)).join(placed("b"), [*g, *c])
+    may, all_ = _gap("a", "b", eps, axes)
     pairs = written(pairs.filter(may).select(*g, F.col("namea").alias("i"), F.col("nameb").alias("j"), all_.alias("sure")), "cell-pairs")
     sure, open_ = pairs.filter("sure").select(*g, "i", "j"), pairs.filter("not sure").select(*g, "i", "j")
-    parts = core.groupBy(*g, "name", "sx", "sy").agg(*box)
-    met = open_.join(named(parts, "a", "name", "sx", "sy", *ends).withColumnRenamed("namea", "i"), [*g, "i"]).join(named(parts, "b", "name", "sx", "sy", *ends).withColumnRenamed("nameb", "j"), [*g, "j"])
-    met = written(met.filter(may).select(*g, "i", "j", "sxa", "sya", "sxb", "syb", all_.alias("sure")), "part-pairs")
+    parts = core.groupBy(*g, "name", *s).agg(*box)
+    met = open_.join(named(parts, "a", "name", *s, *ends).withColumnRenamed("namea", "i"), [*g, "i"]).join(named(parts, "b", "name", *s, *ends).withColumnRenamed("nameb", "j"), [*g, "j"])
+    met = written(met.filter(may).select(*g, "i", "j", *ended("a"), *ended("b"), all_.alias("sure")), "part-pairs")
     joined = met.filter("sure").select(*g, "i", "j").distinct()
-    left = met.join(joined, [*g, "i", "j"], "left_anti").select(*g, "i", "j", "sxa", "sya", "sxb", "syb")
-    side = lambda n, s: core.select(*g, F.col("name").alias(n), F.col("sx").alias(f"sx{s}"), F.col("sy").alias(f"sy{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    points = left.join(side("i", "a"), [*g, "i", "sxa", "sya"]).join(side("j", "b"), [*g, "j", "sxb", "syb"]).filter(distance("xa", "ya", "xb", "yb") <= eps)
+    left = met.join(joined, [*g, "i", "j"], "left_anti").select(*g, "i", "j", *ended("a"), *ended("b"))
+    side = lambda n, end: named(core, end, "name", *s, *axes).withColumnRenamed(f"name{end}", n)
+    points = left.join(side("i", "a"), [*g, "i", *ended("a")]).join(side("j", "b"), [*g, "j", *ended("b")]).filter(distance_along(axes, "a", "b") <= eps)
     return sure.unionByName(joined).unionByName(points.select(*g, "i", "j").distinct())
 
 
-def labels_in_cells(at: DataFrame, eps: float, g: list[str]) -> DataFrame:
-    """groups, loc_id, is_core, cluster of points in cells whose core is known; clusters are components of cells."""
-    core = at.filter("core")
-    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
-    cells = written(core.groupBy(*g, "cx", "cy").agg(F.min("loc_id").alias("name"), *box), "core-cells")
-    core = written(core.join(cells.select(*g, "cx", "cy", "name"), [*g, "cx", "cy"]), "core-points")
-    roots = components(_cell_edges(core, cells, eps, g), g).withColumnRenamed("node", "name")
+def core_labels(core: DataFrame, eps, g: list[str], axes: tuple[str, ...] = PLANE) -> DataFrame:
+    """Cores in cells with cluster: components of cells, numbered from 0 by their smallest core."""
+    at = _named(axes, "c")
+    box = [f(k).alias(f"{k}{n}") for k in axes for n, f in ((0, F.min), (1, F.max))]
+    cells = written(core.groupBy(*g, *at).agg(F.min("loc_id").alias("name"), *box), "core-cells")
+    core = written(core.join(cells.select(*g, *at, "name"), [*g, *at]), "core-points")
+    roots = components(_cell_edges(core, cells, eps, g, axes), g).withColumnRenamed("node", "name")
     cells = cells.select(*g, "name").join(roots, [*g, "name"], "left").select(*g, "name", F.coalesce("root", "name").alias("root"))
     names = numbered(cells.select(*g, "root").distinct(), g, "root", "cluster").withColumn("cluster", (F.col("cluster") - 1).cast("int"))
-    core = written(core.join(cells.join(names, [*g, "root"]).select(*g, "name", "cluster"), [*g, "name"]), "core-labels")
-    beside = _within(at.filter("not core").select(*g, "loc_id", "x", "y", "cx", "cy"), core, eps, g, "cluster").groupBy(*g, "loc_id").agg(F.min("cluster").alias("cluster"))
+    return written(core.join(cells.join(names, [*g, "root"]).select(*g, "name", "cluster"), [*g, "name"]), "core-labels")
+
+
+def labels_in_cells(at: DataFrame, eps, g: list[str], axes: tuple[str, ...] = PLANE) -> DataFrame:
+    """groups, loc_id, is_core, cluster of points in cells whose core is known; clusters are components of cells."""
+    core = core_labels(at.filter("core"), eps, g, axes)
+    beside = _within(at.filter("not core").select(*g, "loc_id", *axes, *_named(axes, "c")), core, eps, g, axes, "cluster").groupBy(*g, "loc_id").agg(F.min("cluster").alias("cluster"))
     return core.select(*g, "loc_id", F.lit(True).alias("is_core"), "cluster").unionByName(beside.select(*g, "loc_id", F.lit(False).alias("is_core"), "cluster"))
 
 
-def _all_labels(points: DataFrame, found: DataFrame, g: list[str]) -> DataFrame:
+def all_labels(points: DataFrame, found: DataFrame, g: list[str]) -> DataFrame:
+    """Every point with what was found of it, noise otherwise."""
     out = points.select(*g, "loc_id").join(found, [*g, "loc_id"], "left")
     return out.select(*g, "loc_id", F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, groups: list[str] = ()) -> DataFrame:
-    """groups, loc_id, is_core, cluster; distances of eps count.
+def dbscan(points: DataFrame, eps, min_samples, groups: list[str] = (), axes: tuple[str, ...] = PLANE) -> DataFrame:
+    """groups, loc_id, is_core, cluster; distances of eps count. axes: two columns or three.
 
     A point with at least min_samples points around it, itself included, is core; cores within eps are one cluster; clusters are
     numbered from 0 by their smallest core; another point takes the lowest cluster of a core beside it, else -1. Work grows with the points, not with their
-    pairs: a dense place is a few cells of cores.
+    pairs: a dense place is a few cells of cores. eps and min_samples are numbers, or group columns if each group has its own.
     """
     g = list(groups)
-    return _all_labels(points, labels_in_cells(cores(_in_cells(points, eps, g), eps, min_samples, g), eps, g), g)
+    return all_labels(points, labels_in_cells(cores(in_cells(points, eps, g, axes), eps, min_samples, g, axes), eps, g, axes), g)
 
 
-def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[str] = (), rounds: int = 1000) -> DataFrame:
+def dbscan_loop(points: DataFrame, eps, min_samples, groups: list[str] = (), rounds: int = 1000, axes: tuple[str, ...] = PLANE) -> DataFrame:
     """groups, loc_id, cluster: fit, keep only cores, and fit again until none goes; those that went are -1.
 
     More rounds than `rounds` are an error, never an unfinished result. Cores that are left are joined into clusters once, at the end.
     """
     g = list(groups)
-    at, n = written(_in_cells(points, eps, g), "loop-points"), None
+    at, n = written(in_cells(points, eps, g, axes), "loop-points"), None
     for _ in range(rounds):
-        known = cores(at, eps, min_samples, g)
+        known = cores(at, eps, min_samples, g, axes)
         kept = known.filter("core")
         m = kept.count()
         if m == n or not m:
@@ -159,7 +178,7 @@ def dbscan_loop(points: DataFrame, eps: float, min_samples: int, groups: list[st
         at, n = kept.drop("core"), m
     else:
         raise RuntimeError("the loop did not settle")
-    return _all_labels(points, labels_in_cells(known, eps, g), g).drop("is_core")
+    return all_labels(points, labels_in_cells(known, eps, g, axes), g).drop("is_core")
 
 
 def offset_ids(labels: DataFrame, order: str) -> DataFrame:
@@ -210,85 +229,6 @@ def centres(labelled: DataFrame, groups: list[str] = ()) -> DataFrame:
     return some.join(mid, key).groupBy(*key, "cx", "cy").agg(F.max(far).alias("radius"))
 
 
-def overlap(phase: DataFrame, same: str | None = "threshold") -> DataFrame:
-    """cfg_i, cfg_j (different), c_i, c_j, n: points that two labellings (cfg_id, threshold, loc_id, cluster) put there."""
-    some = phase.filter("cluster <> -1")
-    more = [same] if same else []
-    a = some.select("loc_id", *more, F.col("cfg_id").alias("cfg_i"), F.col("cluster").alias("c_i"))
-    b = some.select("loc_id", *more, F.col("cfg_id").alias("cfg_j"), F.col("cluster").alias("c_j"))
-    return a.join(b, ["loc_id", *more]).filter("cfg_i <> cfg_j").groupBy("cfg_i", "cfg_j", "c_i", "c_j").agg(F.count(F.lit(1)).alias("n"))
-
-
-def similarity(phase: DataFrame, same: str | None = "threshold") -> DataFrame:
-    """cfg_id, score: the sum over other labellings of the cluster pairs that share over half of both.
-
-    A labelling of one cluster with over half of all points is like no other.
-    """
-    key = ["cfg_id", "cluster"]
-    n = phase.filter("cluster <> -1").groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
-    all_points = phase.groupBy("cfg_id").agg(F.count(F.lit(1)).alias("__all"))
-    one = n.groupBy("cfg_id").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("m")).join(all_points, "cfg_id").filter((F.col("k") == 1) & (F.col("m") * 2 > F.col("__all"))).select("cfg_id")
-    pairs = overlap(phase, same).join(n.select(F.col("cfg_id").alias("cfg_i"), F.col("cluster").alias("c_i"), F.col("size").alias("s_i")), ["cfg_i", "c_i"]).join(n.select(F.col("cfg_id").alias("cfg_j"), F.col("cluster").alias("c_j"), F.col("size").alias("s_j")), ["cfg_j", "c_j"])
-    pairs = pairs.filter((F.col("n") * 2 > F.col("s_i")) & (F.col("n") * 2 > F.col("s_j")))
-    for side in ("cfg_i", "cfg_j"):
-        pairs = pairs.join(one.withColumnRenamed("cfg_id", side), side, "left_anti")
-    score = pairs.groupBy(F.col("cfg_i").alias("cfg_id")).agg(F.count(F.lit(1)).alias("score"))
-    return phase.select("cfg_id").distinct().join(score, "cfg_id", "left").select("cfg_id", F.coalesce("score", F.lit(0)).alias("score"))
-
-
-def line_of_optima(scores: DataFrame) -> DataFrame:
-    """Per threshold the cfg_id of the largest score, the first of equals: threshold, cfg_id, score, and normalised."""
-    best = scores.groupBy("threshold").agg(F.max(F.struct("score", (-F.col("cfg_id")).alias("k"))).alias("b")).select("threshold", (-F.col("b.k")).alias("cfg_id"), F.col("b.score").alias("score"))
-    every = W.partitionBy()
-    low, high = F.min("score").over(every), F.max("score").over(every)
-    return best.withColumn("normalised", F.when(high > low, (F.col("score") - low) / (high - low).cast("double")))
-
-
-def consensus(optima: DataFrame, decay: float = 0.5) -> DataFrame:
-    """The first threshold whose normalised score is below decay, else the first: threshold, cfg_id."""
-    first = optima.agg(F.min_by("cfg_id", "threshold").alias("__c"), F.min("threshold").alias("__t"), F.min(F.when(F.col("normalised") < decay, F.struct("threshold", "cfg_id"))).alias("b"))
-    return first.select(F.coalesce("b.threshold", "__t").alias("threshold"), F.coalesce("b.cfg_id", "__c").alias("cfg_id"))
-
-
-def kth_quantiles(points: DataFrame, k: int, at: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
-    """low, high: linear quantiles of the distance to the k-th nearest other point."""
-    far = knn_join(points, None, k).filter(F.col("rank") == k)
-    return quantiles(written(far, "kth-distances"), "d", [], {"low": at[0], "high": at[1]})
-
-
-def parameter_grid(low: float, high: float, points: int, min_threshold: int, max_threshold: int) -> list[tuple[int, float, int]]:
-    """(cfg_id, sigma, threshold): log-spaced sigmas for each threshold from min to max - 1."""
-    if points < 2 or high <= low:
-        sigmas = [low]
-    else:
-        a, b = math.log(low), math.log(high)
-        sigmas = list(dict.fromkeys(math.exp(a + (b - a) * k / (points - 1)) for k in range(points)))
-    return [(t * len(sigmas) + k, s, th) for t, th in enumerate(range(min_threshold, max_threshold)) for k, s in enumerate(sigmas)]
-
-
-def phase_space(points: DataFrame, configs: list[tuple[int, float, int]]) -> DataFrame:
-    """cfg_id, sigma, threshold, loc_id, cluster for every configuration: one join at the largest sigma serves them all."""
-    spark = points.sparkSession
-    cfg = F.broadcast(spark.createDataFrame(configs, "cfg_id int, sigma double, threshold int"))  # a few hundred rows
-    pairs = written(radius_pairs(points, max(s for _, s, _ in configs)), "phase-pairs")
-    each = pairs.join(cfg, F.col("d") <= F.col("sigma")).select("cfg_id", "i", "j")
-    every = points.select("loc_id").crossJoin(cfg)  # each point once per configuration, as the labelling has it
-    got = labels_of(every.select("cfg_id", "threshold", "loc_id"), each.join(cfg.select("cfg_id", "threshold"), "cfg_id"), ["cfg_id", "threshold"], "threshold")
-    return got.join(cfg.select("cfg_id", "sigma"), "cfg_id").select("cfg_id", "sigma", "threshold", "loc_id", "cluster")
-
-
-def find_parameters(points: DataFrame, threshold: int = 10, points_per_dimension: int = 15, min_threshold: int = 5, max_threshold: int = 21, decay: float = 0.5, same: str | None = "threshold") -> tuple[DataFrame, DataFrame]:
-    """The labels (loc_id, cluster) of the agreed configuration, and that configuration (cfg_id, sigma, threshold)."""
-    q = kth_quantiles(points, threshold).first()
-    if q is None or q.low is None or q.low <= 0:
-        return points.select("loc_id", F.lit(-1).alias("cluster")), points.sparkSession.createDataFrame([], "cfg_id int, sigma double, threshold int")
-    phase = written(phase_space(points, parameter_grid(q.low, q.high, points_per_dimension, min_threshold, max_threshold)), "phase")
-    names = phase.select("cfg_id", "sigma", "threshold").distinct()
-    best = consensus(line_of_optima(similarity(phase, same).join(names, "cfg_id")), decay)
-    best = written(best.select("cfg_id").join(names, "cfg_id"), "agreed")
-    return phase.join(F.broadcast(best.select("cfg_id")), "cfg_id").select("loc_id", "cluster"), best  # one row
-
-
 def log_factorial(n) -> Column:
     """ln n! for n >= 0 by Stirling's series, taken seven places up; good to about 1e-12."""
     x = n + F.lit(8.0)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, precision
-from ..operators import cells, cluster, coloc, drift, filters, hdbscan, histogram, merge, spatial, tracks
+from ..operators import cells, cluster, coloc, drift, filters, hdbscan, histogram, merge, search, spatial, tracks
 from ..streaming import counts
 from . import experiment
 from .config import Config
@@ -154,7 +154,7 @@ def knn_inter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LV}, k AS (SELECT a.loc_id, {_D} AS d, row_number() OVER (PARTITION BY a.loc_id ORDER BY {_D}) AS r FROM lv a JOIN lv b ON a.loc_id <> b.loc_id) SELECT round(quantile_cont(d, 0.1), 4) AS low, round(quantile_cont(d, 0.9), 4) AS high FROM k WHERE r = 10")
 def kth_neighbor_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.kth_quantiles(vectors(spark, sf), 10).select(r4("low", "low"), r4("high", "high"))
+    return search.kth_quantiles(vectors(spark, sf), 10).select(r4("low", "low"), r4("high", "high"))
 
 
 @query(f"WITH {LV}, n AS (SELECT a.loc_id AS i, arg_min(b.loc_id, struct_pack(d := {_D}, j := b.loc_id)) AS j FROM lv a JOIN lv b ON a.channel = 1 AND b.channel = 0 GROUP BY a.loc_id) SELECT loc_id, count(j) AS n_points FROM (SELECT loc_id FROM lv WHERE channel = 0) LEFT JOIN n ON j = loc_id GROUP BY loc_id")
@@ -230,7 +230,7 @@ def dbscan_loop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _phase(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.phase_space(vectors(spark, sf), [(0, 25.0, 5), (1, 30.0, 5), (2, 34.0, 5)])
+    return search.phase_space(vectors(spark, sf), [(0, 25.0, 5), (1, 30.0, 5), (2, 34.0, 5)])
 
 
 _PHASE = f"{LV}, {_dbscan_sql(25, 5, '0')}, {_dbscan_sql(30, 5, '1')}, {_dbscan_sql(34, 5, '2')}, ph AS (SELECT 0 AS cfg_id, loc_id, cluster FROM lab0 UNION ALL SELECT 1, loc_id, cluster FROM lab1 UNION ALL SELECT 2, loc_id, cluster FROM lab2)"
@@ -242,12 +242,12 @@ al AS (SELECT cfg_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT cfg_id F
 
 @query(f"WITH RECURSIVE {_PHASE}, {_OVER} SELECT * FROM ov")
 def label_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.overlap(_phase(spark, sf))
+    return search.overlap(_phase(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_PHASE}, {_SCORE} SELECT * FROM al")
 def similarity_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.similarity(_phase(spark, sf))
+    return search.similarity(_phase(spark, sf))
 
 
 #: Two thresholds with two sigmas each.
@@ -258,8 +258,8 @@ _BEST_4 = "be AS (SELECT threshold, cfg_id, score FROM al JOIN (SELECT DISTINCT
 
 
 def _optima(spark: SparkSession, sf: str) -> DataFrame:
-    phase = cluster.phase_space(vectors(spark, sf), _GRID_4)
-    return cluster.line_of_optima(cluster.similarity(phase).join(phase.select("cfg_id", "threshold").distinct(), "cfg_id"))
+    phase = search.phase_space(vectors(spark, sf), _GRID_4)
+    return search.line_of_optima(search.similarity(phase).join(phase.select("cfg_id", "threshold").distinct(), "cfg_id"))
 
 
 @query(f"WITH RECURSIVE {_PHASE_4}, {_SCORE_4}, {_BEST_4} SELECT threshold, cfg_id, score, round(normalised, 4) AS normalised FROM no")
@@ -269,12 +269,12 @@ def line_of_optima(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_PHASE_4}, {_SCORE_4}, {_BEST_4} SELECT threshold, cfg_id FROM no ORDER BY coalesce(normalised < 0.5::DOUBLE, false) DESC, threshold LIMIT 1")
 def agreed_configuration(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.consensus(_optima(spark, sf))
+    return search.consensus(_optima(spark, sf))
 
 
 @query()
 def parameter_search(spark: SparkSession, sf: str) -> DataFrame:
-    labels, best = cluster.find_parameters(vectors(spark, sf))
+    labels, best = search.find_parameters(vectors(spark, sf))
     return labels.crossJoin(F.broadcast(best)).select("loc_id", "cluster", r4("sigma", "sigma"), "threshold")  # one row
 
 
