@@ -274,10 +274,65 @@ def agreed_configuration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def parameter_search(spark: SparkSession, sf: str) -> DataFrame:
-    labels, best = search.find_parameters(vectors(spark, sf))
+    return _searched(vectors(spark, sf), search.Search())
+
+
+def _search_sql(ends: str, configs: str, scores: str, choice: str) -> str:
+    """SQL of a search: CTE en(low, high), CTE cfg(cfg_id, sigma, threshold, copies), the condition under which labellings are compared, and CTE best(cfg_id) from al(cfg_id, score)."""
+    return f"""WITH RECURSIVE {LV}, kd AS (SELECT a.loc_id, {_D} AS d, row_number() OVER (PARTITION BY a.loc_id ORDER BY {_D}) AS r FROM lv a JOIN lv b ON a.loc_id <> b.loc_id), en AS ({ends}), cfg AS ({configs}),
+nb AS (SELECT cfg_id, threshold, a.loc_id AS i, b.loc_id AS j FROM lv a JOIN lv b ON {_D} <= (SELECT max(sigma) FROM cfg) JOIN cfg ON {_D} <= sigma), co AS (SELECT cfg_id, i FROM nb GROUP BY cfg_id, threshold, i HAVING count(*) >= threshold),
+ce AS (SELECT n.cfg_id, n.i, n.j FROM nb n JOIN co a ON a.cfg_id = n.cfg_id AND a.i = n.i JOIN co b ON b.cfg_id = n.cfg_id AND b.i = n.j),
+cl(cfg_id, id, root) AS (SELECT cfg_id, i, i FROM co UNION SELECT c.cfg_id, c.j, cl.root FROM cl JOIN ce c ON c.cfg_id = cl.cfg_id AND c.i = cl.id),
+cr AS (SELECT cfg_id, id, dense_rank() OVER (PARTITION BY cfg_id ORDER BY min(root)) - 1 AS k FROM cl GROUP BY cfg_id, id),
+ph AS (SELECT n.cfg_id, n.threshold, n.i AS loc_id, CAST(coalesce(min(CASE WHEN o.id = n.i THEN o.k END), min(o.k)) AS INTEGER) AS cluster FROM nb n JOIN cr o ON o.cfg_id = n.cfg_id AND o.id = n.j GROUP BY n.cfg_id, n.threshold, n.i),
+ov AS (SELECT a.cfg_id AS cfg_i, b.cfg_id AS cfg_j, a.cluster AS c_i, b.cluster AS c_j, count(*) AS n FROM ph a JOIN ph b ON a.loc_id = b.loc_id AND a.cfg_id <> b.cfg_id AND {scores} GROUP BY ALL),
+sz AS (SELECT cfg_id, cluster, count(*) AS s FROM ph GROUP BY ALL), fe AS (SELECT cfg_id, count(*) AS k, max(s) AS m FROM sz GROUP BY cfg_id), one AS (SELECT cfg_id FROM fe WHERE k = 1 AND m * 2 > (SELECT count(*) FROM lv)),
+sc AS (SELECT cfg_i AS cfg_id, count(*) AS score FROM ov JOIN sz a ON a.cfg_id = cfg_i AND a.cluster = c_i JOIN sz b ON b.cfg_id = cfg_j AND b.cluster = c_j WHERE n * 2 > a.s AND n * 2 > b.s AND cfg_i NOT IN (SELECT cfg_id FROM one) AND cfg_j NOT IN (SELECT cfg_id FROM one) GROUP BY cfg_i),
+al AS (SELECT cfg.cfg_id, threshold, copies * coalesce(score, 0) + (copies - 1) * CASE WHEN cfg.cfg_id IN (SELECT cfg_id FROM one) THEN 0 ELSE coalesce(k, 0) END AS score FROM cfg LEFT JOIN sc USING (cfg_id) LEFT JOIN fe USING (cfg_id)), {choice}
+SELECT lv.loc_id, coalesce(p.cluster, -1) AS cluster, round(cfg.sigma, 4) AS sigma, cfg.threshold FROM lv CROSS JOIN best JOIN cfg USING (cfg_id) LEFT JOIN ph p ON p.cfg_id = best.cfg_id AND p.loc_id = lv.loc_id"""
+
+
+#: Three sigmas between bounds of two neighbours and two thresholds, all six labellings compared.
+_ADAPTIVE = search.Search(points=3, min_threshold=5, max_threshold=7, same=None, adaptive=True)
+_ADAPTIVE_SQL = _search_sql(
+    "SELECT quantile_cont(CASE WHEN r = 5 THEN d END, 0.1) AS low, quantile_cont(CASE WHEN r = 7 THEN d END, 0.9) AS high FROM kd WHERE r IN (5, 7)",
+    "SELECT CAST(t.i * 3 + k.i AS INTEGER) AS cfg_id, exp(ln(low) + (ln(high) - ln(low)) * k.i / 2) AS sigma, CAST(5 + t.i AS INTEGER) AS threshold, 1 AS copies FROM en, range(3) k(i), range(2) t(i)",
+    "true",
+    f"{_BEST_4.replace('al JOIN (SELECT DISTINCT cfg_id, threshold FROM ph) USING (cfg_id)', 'al')}, best AS (SELECT cfg_id FROM no ORDER BY coalesce(normalised < 0.5::DOUBLE, false) DESC, threshold LIMIT 1)",
+)
+_ONE_SIGMA = search.Search(mode="oneD_thresholds", min_threshold=5, max_threshold=9)
+_ONE_SIGMA_SQL = _search_sql(
+    "SELECT min(d) AS low FROM kd WHERE r = 9 AND d >= (SELECT median(d) FROM kd WHERE r = 9)",
+    "SELECT CAST(i AS INTEGER) AS cfg_id, low AS sigma, CAST(5 + i AS INTEGER) AS threshold, 4 AS copies FROM en, range(4) t(i)",
+    "a.threshold = b.threshold",
+    "best AS (SELECT cfg_id FROM al ORDER BY score DESC, cfg_id LIMIT 1)",
+)
+
+
+def _searched(points: DataFrame, how: search.Search) -> DataFrame:
+    labels, best = search.find_parameters(points, how)
     return labels.crossJoin(F.broadcast(best)).select("loc_id", "cluster", r4("sigma", "sigma"), "threshold")  # one row
 
 
+@query(_ADAPTIVE_SQL)
+def parameter_search_adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    return _searched(vectors(spark, sf), _ADAPTIVE)
+
+
+@query(_ONE_SIGMA_SQL)
+def parameter_search_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return _searched(vectors(spark, sf), _ONE_SIGMA)
+
+
+@query()
+def parameter_search_solid(spark: SparkSession, sf: str) -> DataFrame:
+    """In three dimensions, each channel with parameters of its own; one row per channel and cluster."""
+    v = vectors(spark, sf, deep=True)
+    labels, best = search.find_parameters(v, search.Search(axes=("x", "y", "z")), ["channel"])
+    n = labels.groupBy("channel", "cluster").agg(F.count(F.lit(1)).alias("n_points"))
+    return n.join(F.broadcast(best), "channel").select("channel", "cluster", "n_points", r4("sigma", "sigma"), "threshold")  # a row per channel
+
+
 @query(f"""WITH RECURSIVE {_PHASE}, n AS (SELECT a.cluster AS u, b.cluster AS v, count(*)::DOUBLE AS n FROM lab0 a JOIN lab1 b USING (loc_id) GROUP BY ALL), u AS (SELECT u, sum(n) AS m FROM n GROUP BY u), v AS (SELECT v, sum(n) AS m FROM n GROUP BY v),
 k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS t, (SELECT sum(m * (m - 1) / 2) FROM u) AS su, (SELECT sum(m * (m - 1) / 2) FROM v) AS sv, (SELECT sum(n) FROM n) AS n),
 ru AS (SELECT m AS a, count(*) AS ka FROM u GROUP BY m), rv AS (SELECT m AS b, count(*) AS kb FROM v GROUP BY m), x AS (SELECT ka, kb, a, b, k.n, unnest(range(CAST(greatest(1, a + b - k.n) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1))::DOUBLE AS i FROM ru, rv, k),
