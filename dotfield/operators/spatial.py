@@ -77,13 +77,16 @@ def mean_in_radius(points: DataFrame, others: DataFrame | None, r: float, groups
 def knn_join(left: DataFrame, right: DataFrame | None, k: int, groups: list[str] = (), axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """The k nearest of right (or of left's other points) for each left point: groups, i, j, d, rank; ties by j.
 
+    Of points at one place only the k + 1 of the lowest loc_ids are looked at, as more can be among nobody's nearest; these are chosen before the shuffle.
     Cells start small and double. A point is done when its k-th distance is within the border of the cells around its own, or when
     these hold all points; only points that are not done go on to the next size, so dense places stay cheap. axes: two columns or three.
     """
     groups, own, axes = list(groups), right is None, list(axes)
     known = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in axes])
     side_of = lambda df, s: df.filter(known).select(*groups, F.col("loc_id").alias(s), *[F.col(c).alias(f"__{c}{s}") for c in axes])
-    a, b = written(side_of(left, "i"), "knn-left"), written(side_of(left if own else right, "j"), "knn-right")
+    place = F.row_number().over(W.partitionBy(*groups, *[f"__{c}j" for c in axes]).orderBy("j"))
+    b = side_of(left if own else right, "j").withColumn("__n", place).filter(F.col("__n") <= k + 1).drop("__n")
+    a, b = written(side_of(left, "i"), "knn-left"), written(b, "knn-right")
     box = lambda d, s: d.agg(*[f(f"__{c}{s}") for c in axes for f in (F.min, F.max)], F.count(F.lit(1)).alias("n")).first()
     p, q = box(a, "i"), box(b, "j")
     empty = a.join(b, groups or F.lit(True)).limit(0) if not p.n or not q.n else None
