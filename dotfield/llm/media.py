@@ -10,22 +10,24 @@ these and all values one bit away, and an equi-join on (pair, value) finds all m
 salted. Matches of two images vote for the turn, scale and shift that take one to the other, in overlapping bins; enough
 matches at different places in one bin are a copy.
 
-Images of equal pixels are one class: its representative is searched, its members are counted by a join. An image that is a copy of
-several queries is one row, with the query that it agrees with most and their number; so the result grows with the images,
-not with the square of a group of alike ones. Descriptors in which nearly all tests agree (flat patches) are left out by a fixed
+Images of equal pixels are one class, on either side: its representative is searched, its members are counted by a join.
+links() gives all pairs of classes that are copies; find_copies() a row for each class of images with all its links, the one that
+agrees most first, and copies_of_each() a row for each image. Descriptors in which nearly all tests agree (flat patches) are left out by a fixed
 rule that looks at nothing but the descriptor.
 
 Images here are grey pixels, one byte each, of any width and height. from_vectors() draws one for each vector: its numbers are
 heights on a coarse grid, and sums of pairs of them on a finer one, in ranks, blown up by bilinear interpolation.
 
 Cases. A null image, one whose bytes are not width x height, one with a side under 24 pixels, or a null vector, has no keypoints and matches nothing.
-Repeated rows are members of one class. Null ids take no part. An image without corners matches nothing. Corners that tie in strength
+Repeated rows are members of one class, rows of one id with different pixels are images of their own. Null ids take no part. An image without corners matches nothing. Corners that tie in strength
 are taken in reading order, queries that tie in matches by the smaller id. A very large image is described as a whole, in its task's memory. An empty table gives an empty
 table. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -231,11 +233,26 @@ def keypoints(images: DataFrame) -> DataFrame:
     return arrow_map(images.filter("id is not null and pixels is not null").select("id", "pixels", "width", "height"), "id long, x float, y float, level int, angle float, d0 long, d1 long, parts array<int>", make)
 
 
+def digested(images: DataFrame) -> DataFrame:
+    """The images that have an id, with h: the digest of their size and pixels, null without pixels."""
+    size = F.format_string("%s x %s:", "width", "height").cast("binary")
+    return images.filter("id is not null").select("id", "pixels", "width", "height", F.unhex(F.sha2(F.concat(size, "pixels"), 256)).alias("h"))
+
+
 def classes(images: DataFrame) -> DataFrame:
-    """id, class: the smallest id of an image of the same pixels; the digest stands for the pixels."""
-    named = images.filter("id is not null and pixels is not null").select("id", F.sha2("pixels", 256).alias("__h"), "width", "height")
-    first = named.groupBy("__h", "width", "height").agg(F.min("id").alias("class"))
-    return named.join(first, ["__h", "width", "height"]).select("id", "class")
+    """h, class (the smallest id of an image of these pixels), members, rows (of that id and these pixels) and key, a number of
+    their own for each distinct pixels: ids may be repeated with other pixels."""
+    by_id = images.filter("h is not null").groupBy("h", "id").agg(F.count(F.lit(1)).alias("n"))
+    of = by_id.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"), F.sum("n").alias("members"))
+    return of.select("h", F.col("first.id").alias("class"), "members", F.col("first.n").alias("rows"), F.monotonically_increasing_id().alias("key"))
+
+
+def firsts(images: DataFrame, named: DataFrame) -> DataFrame:
+    """An image for each of the written classes, with its key as id; only the pixels of rows that repeat an image's id are moved."""
+    of = small_or_shuffled(named.select("h", F.col("class").alias("id"), "key", "rows"), named.count())
+    some = images.join(of, ["h", "id"])
+    once = [some.filter("rows = 1"), some.filter("rows > 1").dropDuplicates(["key"])]
+    return once[0].unionByName(once[1]).select(F.col("key").alias("id"), "pixels", "width", "height")
 
 
 def _close(n: int) -> Column:
@@ -269,41 +286,102 @@ def near_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
     return near.select("query", "id", "qx", "qy", "qlevel", "qangle", "x", "y", "level", "angle")
 
 
+def agreeing(group: np.ndarray, m: dict[str, np.ndarray], groups: int, shift: float, turn: float, place: int) -> np.ndarray:
+    """For each group of matches the most that agree: see matches()."""
+    rad, level = np.radians(m["t"]), np.array(LEVELS)
+    scale = level[m["level"]] / level[m["qlevel"]]
+    ox = m["qx"] - scale * (m["x"] * np.cos(rad) - m["y"] * np.sin(rad))
+    oy = m["qy"] - scale * (m["x"] * np.sin(rad) + m["y"] * np.cos(rad))
+    at = lambda v, w, half=0.0: np.floor(v / w + half).astype(np.int64)
+    most = np.zeros(groups, np.int64)
+    for halves in itertools.product((0.0, 0.5), repeat=3):
+        a = at(np.mod(m["t"], 360.0), turn, halves[0]) % int(360 / turn)
+        rows = np.stack([group, m["qlevel"] - m["level"], a, at(ox, shift, halves[1]), at(oy, shift, halves[2])], axis=1)
+        bins, bin_of = np.unique(rows, axis=0, return_inverse=True)
+        sides = []
+        for x, y in (("x", "y"), ("qx", "qy")):
+            places = np.unique(np.stack([bin_of.reshape(-1), at(m[x], place), at(m[y], place)], axis=1), axis=0)
+            sides.append(np.bincount(places[:, 0], minlength=len(bins)))
+        np.maximum.at(most, bins[:, 0], np.minimum(*sides))
+    return most
+
+
 def matches(queries: DataFrame, index: DataFrame, least: int = 4, shift: float = 8.0, turn: float = 30.0, place: int = 4) -> DataFrame:
     """query, id, inliers from keypoint tables: pairs of images with least matches that agree on turn, scale and shift.
 
     A match gives the turn, the difference in level, and where the index image's origin lands; bins of width `shift` and `turn`
-    are laid twice, half a width apart, so that agreeing matches meet in some bin. Matches in one square of side `place` count
-    once, on either side. Pairs with fewer than least matches in all have no such bin and go before the bins are laid.
+    are laid with each of turn and the two shifts as it is or half a width apart, in all eight ways, so that matches within half
+    a width of each other in all three meet in some bin. Matches in one square of side `place` count once, on either side.
+    Pairs with fewer than least matches in all have no such bin and go before.
     """
     near = near_pairs(queries, index)
     # Sums before the shuffle: most pairs of images have a match or two by chance.
-    near = near.groupBy("query", "id").agg(F.collect_list(F.struct("qx", "qy", "qlevel", "x", "y", "level", (F.col("qangle") - F.col("angle")).alias("t"))).alias("of")).filter(F.size("of") >= least)
-    near = near.select("query", "id", F.explode("of").alias("of")).select("query", "id", "of.*")
-    rad, scale = F.radians("t"), F.element_at(F.array(*[F.lit(v) for v in LEVELS]), F.col("level") + 1) / F.element_at(F.array(*[F.lit(v) for v in LEVELS]), F.col("qlevel") + 1)
-    near = near.withColumns({"ox": F.col("qx") - scale * (F.col("x") * F.cos(rad) - F.col("y") * F.sin(rad)), "oy": F.col("qy") - scale * (F.col("x") * F.sin(rad) + F.col("y") * F.cos(rad)), "t": F.pmod(F.col("t").cast("double"), F.lit(360.0))})
-    near = near.withColumn("half", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
-    cell = lambda c, w: F.floor(F.col(c) / F.lit(w) + F.col("half"))
-    at = lambda *c: F.countDistinct(*[F.floor(F.col(x) / F.lit(place)) for x in c])
-    near = near.groupBy("query", "id", "half", (F.col("qlevel") - F.col("level")).alias("s"), F.pmod(cell("t", turn), F.lit(int(360 / turn))).alias("a"), cell("ox", shift).alias("b"), cell("oy", shift).alias("c")).agg(at("x", "y").alias("there"), at("qx", "qy").alias("here"))
-    near = near.withColumn("inliers", F.least("here", "there"))
-    return near.groupBy("query", "id").agg(F.max("inliers").alias("inliers")).filter(F.col("inliers") >= least)
+    match = F.struct("qx", "qy", "qlevel", "x", "y", "level", (F.col("qangle") - F.col("angle")).alias("t"))
+    near = near.groupBy("query", "id").agg(F.collect_list(match).alias("of")).filter(F.size("of") >= least)
+
+    def make():
+        def f(b: pa.RecordBatch):
+            of = b.column(2)
+            flat = of.flatten()
+            group = np.repeat(np.arange(b.num_rows), of.value_lengths().to_numpy(zero_copy_only=False))
+            whole = {"qlevel", "level"}
+            m = {c.name: flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64 if c.name in whole else np.float64) for k, c in enumerate(flat.type)}
+            most = agreeing(group, m, b.num_rows, shift, turn, place)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(most)], ["query", "id", "inliers"])
+
+        return f
+
+    return arrow_map(near, "query long, id long, inliers long", make).filter(F.col("inliers") >= least)
+
+
+def _linked(images: DataFrame, queries: DataFrame, how: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The digested images, their classes, and key (of an image's class), query, query_members, inliers: all links of classes."""
+    images, queries = written(digested(images), "images"), written(digested(queries), "query-images")
+    named, asking = written(classes(images), "image-classes"), written(classes(queries), "query-classes")
+    index = written(keypoints(firsts(images, named)), "keypoints")
+    asked = written(keypoints(firsts(queries, asking)), "query-keypoints")
+    dropped(queries)
+    found = matches(asked, index, **how).withColumnsRenamed({"query": "__q", "id": "key"})
+    found = found.join(asking.select(F.col("key").alias("__q"), F.col("class").alias("query"), F.col("members").alias("query_members")), "__q")
+    return images, named, written(found.select("key", "query", "query_members", "inliers"), "image-links")
+
+
+def links(images: DataFrame, queries: DataFrame, **how) -> DataFrame:
+    """query, query_members, image, members, inliers: every pair of a class of queries and a class of images that are copies.
+
+    query and image are the smallest ids of their classes of equal pixels, the members their rows.
+    """
+    _, named, found = _linked(images, queries, how)
+    return found.join(named, "key").select("query", "query_members", F.col("class").alias("image"), "members", "inliers")
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    """key, query, inliers, queries, links: the best link of an image's class, the queries of all its links, and all of them."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("inliers")).alias("n"), "query", "query_members")))
+    of = found.groupBy("key").agg(F.sum("query_members").alias("queries"), ordered.alias("of"))
+    link = lambda x: F.struct(x["query"].alias("query"), x["query_members"].alias("members"), (-x["n"]).alias("inliers"))
+    of = of.select("key", "queries", F.transform("of", link).alias("links"))
+    return of.select("key", F.col("links")[0]["query"].alias("query"), F.col("links")[0]["inliers"].alias("inliers"), "queries", "links")
 
 
 def find_copies(images: DataFrame, queries: DataFrame, **how) -> DataFrame:
-    """image (a class), members, query, inliers, queries: the classes of images of which some query is a cropped or edited copy.
+    """image (a class), members, query, inliers, queries, links: the classes of images of which some query is a cropped or edited copy.
+
+    query: the one with the most inliers, then of smallest id; queries: the number of queries that agree with the image; links:
+    all of them, as an array of (query, members, inliers) with queries of equal pixels as one.
+    """
+    _, named, found = _linked(images, queries, how)
+    return _summed(found).join(named, "key").select(F.col("class").alias("image"), "members", "query", "inliers", "queries", "links")
+
+
+def copies_of_each(images: DataFrame, queries: DataFrame, **how) -> DataFrame:
+    """One row per image with an id: image, class, members, query, inliers, queries, links as in find_copies().
 
-    query: the one with the most inliers, then of smallest id; queries: the number of queries that agree with the image.
+    Without a link query and inliers are null and queries is 0. The links of a class are on the row of its smallest id alone.
+    An image without pixels is a class of its own.
     """
-    images = written(images, "images")
-    named = written(classes(images), "image-classes")
-    firsts = written(named.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("id") == F.col("class")).alias("first")).filter("first").select("id", "rows"), "image-firsts")
-    some = lambda which: images.join(small_or_shuffled(found := firsts.filter(which).select("id"), found.count()), "id", "left_semi")
-    # Only images of repeated ids need to meet; the pixels of all others are not moved.
-    firsts = some("rows = 1").unionByName(some("rows > 1").dropDuplicates(["id"]))
-    index = written(keypoints(firsts), "keypoints")
-    dropped(images)
-    asked = written(keypoints(queries), "query-keypoints")
-    found = matches(asked, index, **how).groupBy("id").agg(F.max(F.struct("inliers", (-F.col("query")).alias("q"))).alias("best"), F.count(F.lit(1)).alias("queries"))
-    members = named.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
-    return found.join(members, F.col("id") == F.col("class")).select(F.col("id").alias("image"), "members", (-F.col("best.q")).alias("query"), F.col("best.inliers").alias("inliers"), "queries")
+    images, named, found = _linked(images, queries, how)
+    of = named.select("h", "key", "class", "members").join(_summed(found), "key", "left").drop("key")
+    rows = images.select("id", "h").join(of, "h", "left")
+    first = F.col("id") == F.col("class")
+    return rows.select(F.col("id").alias("image"), F.coalesce("class", "id").alias("class"), F.coalesce("members", F.lit(1)).alias("members"), "query", "inliers", F.coalesce("queries", F.lit(0)).alias("queries"), F.when(first, F.col("links")).alias("links"))

@@ -40,9 +40,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every image drawn from embeddings is searched for edited copies of the images whose id is divisible by 100."""
+    """Every image drawn from embeddings is searched for edited copies of the images whose id is divisible by 100; one row per image."""
     images = media.from_vectors(read(spark, sf_dir, "embeddings"))
-    return media.find_copies(images, media.edited(images.filter("id % 100 = 0")))
+    return media.copies_of_each(images, media.edited(images.filter("id % 100 = 0")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
