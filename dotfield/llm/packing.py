@@ -17,7 +17,6 @@ many pieces. An empty table gives an empty table. Further columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
-from .tokens import MOST, Encoder, encoder, load
+from .common import give_back, map_batches
+from .tokens import MOST, Encoder, encoder, forget, load
 
 SENTENCE, INSIDE = 2.0, 16.0
 STEP, LONG = 16, 96
@@ -36,37 +35,40 @@ BLOCK = 1 << 17
 
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions to cut at, from 0 to total, and their penalties; stretches over LONG ids get cuts every STEP."""
-    at = np.unique(np.concatenate([np.zeros(1, np.int64), doc_ends, sentence_ends, np.full(1, total, np.int64)]))
+    cut = np.zeros(total + 1, bool)
+    cut[0] = cut[total] = cut[doc_ends] = cut[sentence_ends] = True
+    at = np.flatnonzero(cut)
     gap = np.flatnonzero(np.diff(at) > LONG)
     if len(gap):
-        at = np.unique(np.concatenate([at, *[np.arange(at[g] + STEP, at[g + 1], STEP) for g in gap]]))
-    cost = np.full(len(at), INSIDE)
-    cost[np.isin(at, sentence_ends)] = SENTENCE
-    cost[np.isin(at, doc_ends)] = 0.0
-    cost[0] = cost[-1] = 0.0
-    return at, cost
+        for g in gap.tolist():
+            cut[at[g] + STEP : at[g + 1] : STEP] = True
+        at = np.flatnonzero(cut)
+    cost = np.full(total + 1, INSIDE)
+    cost[sentence_ends] = SENTENCE
+    cost[doc_ends] = cost[0] = cost[total] = 0.0
+    return at, cost[at]
 
 
 def cuts(at: np.ndarray, cost: np.ndarray, window: int, last: bool) -> list[int]:
     """Positions of the best cuts, from 0; last: the final position must be one, else the best near the end is the last."""
-    p, c = at.tolist(), cost.tolist()
-    best, back = [0.0] * len(p), [0] * len(p)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    p, c = at.tolist(), (cost + window).tolist()
+    key, back = [0.0], [0]  # of each position d[j] + p[j], and the cut before it
+    queue, head = [0], 0
     for j in range(1, len(p)):
-        pj = p[j]
-        while p[queue[0][1]] < pj - window:
-            queue.popleft()
-        low, i = queue[0]
-        d = low + window - pj + c[j]
-        best[j], back[j] = d, i
-        key = d + pj
-        while queue and queue[-1][0] >= key:
+        low = p[j] - window
+        while p[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        back.append(i)
+        k = key[i] + c[j]
+        key.append(k)
+        while key[queue[-1]] >= k:  # never the head, as k is more than its key
             queue.pop()
-        queue.append((key, j))
+        queue.append(j)
     j = len(p) - 1
     if not last:
         first = int(np.searchsorted(at, at[-1] - window // 2))
-        j = min(range(max(1, first), len(p)), key=best.__getitem__)
+        j = min(range(max(1, first), len(p)), key=lambda x: key[x] - p[x])
     out = [p[j]]
     while j:
         j = back[j]
@@ -139,10 +141,11 @@ def sentence_ids(e: Encoder, size: int) -> np.ndarray:
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, remembered: int = MOST) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, remembered: int = MOST, alone: bool = True) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    remembered: pieces of text whose ids a Python worker keeps; fewer take less memory and more time.
+    remembered: pieces of text whose ids a Python worker keeps; fewer take less memory and more time. alone: it keeps them, and
+    the tokenizer, for its next task too; else it gives their memory back, for the stages of other jobs that come to the worker.
     """
     spec = load(tokenizer)
 
@@ -167,5 +170,9 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         rows = list(packer.end())
         if rows:
             yield table(rows)
+        if not alone:
+            del e, packer
+            forget()
+            give_back()
 
     return map_batches(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)

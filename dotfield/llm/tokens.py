@@ -53,6 +53,8 @@ class Encoder:
         self.byte_level = steps == ["ByteLevel"]
         self.cached = head["model"]["type"] == "BPE" and (self.byte_level or steps == ["Split", "ByteLevel"] and bool(head.get("normalizer")))
         self.special = [t["content"] for t in head.get("added_tokens", [])]
+        #: Characters one of which is in any special token: most texts have none of them.
+        self.marks = sorted({t[0] for t in self.special if t})
         self.dtype = np.uint16 if self.full.get_vocab_size() <= 65_536 else np.uint32
         self.model = Tokenizer.from_str(spec)
         self.model.normalizer, self.model.post_processor = None, None
@@ -63,7 +65,6 @@ class Encoder:
         self.stop = self.model.encode(self.newline, add_special_tokens=False).ids[0]
         self.pieces: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.line = self._whole(["\n"])[0] if self.byte_level else b""
         self.tails[""] = b""
@@ -71,41 +72,41 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn_cores(self, cores: list[str]) -> None:
+    def _learn_cores(self, into: dict[str, bytes], lead: str, cores: list[str]) -> None:
+        """Ids of letter runs after lead, into the pieces after that lead."""
         width = self.dtype().itemsize
         for k in range(0, len(cores), 4000):
             some = cores[k : k + 4000]
-            shown = "\n".join([*some, ""])
-            shown = (shown if self.byte_level else shown.lower()).encode().decode("latin-1").translate(self.shown)
-            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype)
+            shown = lead + f"\n{lead}".join(some) + "\n"
+            if not shown.isascii() or not self.byte_level:
+                shown = (shown if self.byte_level else shown.lower()).encode().decode("latin-1")
+            ids = np.array(self.model.encode_batch_fast([shown.translate(self.shown)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(ids == self.stop) * width
             raw = ids.tobytes()
-            self.cores.update(zip(some, [raw[a:e] for a, e in zip([0, *(ends[:-1] + width).tolist()], ends.tolist(), strict=True)], strict=True))
+            into.update(zip(some, [raw[a:e] for a, e in zip([0, *(ends[:-1] + width).tolist()], ends.tolist(), strict=True)], strict=True))
 
-    def _simple(self, lead: str, parts: list[tuple[str, str, str]]) -> list[bytes]:
-        """Ids of pieces of letters and signs alone, after lead."""
-        heads = [lead + c if c else "" for c, _, _ in parts]
+    def _simple(self, into: dict[str, bytes], lead: str, parts: list[tuple[str, str, str]]) -> list[bytes]:
+        """Ids of pieces of letters and signs alone, after lead; into: the pieces after that lead, to which letter runs are added."""
         tails = [t if c else lead + t for c, t, _ in parts]
-        fresh = set(heads).difference(self.cores)
+        fresh = {c for c, _, _ in parts}.difference(into)
         fresh.discard("")
-        if len(self.cores) + len(fresh) > self.most:
-            _halved(self.cores)
-            fresh = set(heads).difference(self.cores) - {""}
-        self._learn_cores(list(fresh))
+        self._learn_cores(into, lead, list(fresh))
         if len(self.tails) > self.most:
             self.tails = {"": b""}
         strange = list(set(tails).difference(self.tails))
         self.tails.update(zip(strange, self._whole(strange), strict=True))
-        core, tail = self.cores, self.tails
-        return [(core[h] if h else b"") + tail[t] for h, t in zip(heads, tails, strict=True)]
+        tail = self.tails
+        return [(into[c] if c else b"") + tail[t] for (c, _, _), t in zip(parts, tails, strict=True)]
 
     def _learn(self, new: list[str], first: bool) -> None:
         into, lead = (self.firsts, "") if first else (self.pieces, " " if self.byte_level else "")
+        self._learn_cores(into, lead, [w for w in new if w.isalpha() and w.isascii()])
+        new = [w for w in new if w not in into]
         parts = _PARTS.findall("\0".join(new))[: len(new)]
         if len(parts) != len(new) or any("\0" in w for w in new):
             parts = [("", "", "odd")] * len(new)
         plain = [k for k, p in enumerate(parts) if not p[2]]
-        into.update(zip([new[k] for k in plain], self._simple(lead, [parts[k] for k in plain]), strict=True))
+        into.update(zip([new[k] for k in plain], self._simple(into, lead, [parts[k] for k in plain]), strict=True))
         odd, lined = [], []
         for k, p in enumerate(parts):
             if p[2]:
@@ -114,8 +115,9 @@ class Encoder:
                     lined.append((new[k], lines))
                 else:
                     odd.append(new[k])
-        begun = self._simple(lead, [x[0] for _, x in lined])
-        rest = iter(self._simple("", [y for _, x in lined for y in x[1:]]))
+        begun = self._simple(into, lead, [x[0] for _, x in lined])
+        # Firsts are forgotten all at once, before any is learned.
+        rest = iter(self._simple(self.firsts, "", [y for _, x in lined for y in x[1:]]))
         for (w, x), b in zip(lined, begun, strict=True):
             into[w] = self.line.join([b, *(next(rest) for _ in x[1:])])
         into.update(zip(odd, self._whole([lead + w for w in odd]), strict=True))
@@ -135,7 +137,7 @@ class Encoder:
         cut, whole, new, new_first = {}, [], {}, {}
         get = self.pieces.get
         for k, t in enumerate(texts):
-            if any(s in t for s in self.special):
+            if any([c in t for c in self.marks]) and any(s in t for s in self.special):
                 whole.append(k)
                 continue
             first, *rest = t.split(" ")
@@ -185,3 +187,8 @@ def encoder(spec: str, most: int = MOST) -> Encoder:
         _encoders.clear()
         _encoders[key] = Encoder(spec, most)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop the worker's encoder."""
+    _encoders.clear()

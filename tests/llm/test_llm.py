@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import time
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -521,6 +523,30 @@ def test_mined_rules_hold_on_listed_urls(spark):
     assert len(said) > 0.5 * len(held) and sum(r.mined == r.verdict for r in said) >= 0.9 * len(said)
 
 
+def test_packing_gives_the_workers_memory_back(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(packing, "map_batches", lambda df, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a text. " * 900, None])], ["doc_id", "text"])
+    rows = []
+    for alone in (True, False):
+        rows.append([b.to_pylist() for b in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), alone=alone)([batch])])
+        assert len(tokens._encoders) == alone
+    assert rows[0] == rows[1]
+
+
+def test_letter_runs_are_remembered_once():
+    """A run of letters is a piece like any other: it is not kept a second time beside the pieces."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(tokens.load(public_tokenizers.path(name)))
+        texts = ["Some words, some WORDS; and Élan (vital)\nnext line. Some", "words only here", "x <|endoftext|> y", ""]
+        want = [x.ids for x in e.full.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(texts)] == want == [x.tolist() for x in e.encode(texts)]
+        kept = [d for d in vars(e).values() if isinstance(d, dict) and "words" in {str(k).strip() for k in d}]
+        assert len(kept) <= 2 and all(len(d) < 20 for d in kept)
+        assert sum(str(k).strip() == "words" for d in kept for k in d) == len(kept)
+
+
 def test_media(spark):
     rng = np.random.default_rng(13)
     v = rng.normal(0, 1, (60, 64))
