@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The workers' memory is shared with what the stages before have left.
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), remembered=250_000)
+    # The workers' memory is shared with what the stages before have left, and is needed by those of the next run.
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), remembered=250_000, alone=False)
 
 
 STAGES = [
