@@ -1,9 +1,10 @@
 """Token ids of whole texts by a given public tokenizer, with a cache of words.
 
-A byte-level or word tokenizer cuts a text before a space that a non-blank follows, so the ids of a text are those of its
-space-separated pieces. Pieces are looked up in a bounded cache; a new piece of plain letters and signs is cut by the
-tokenizer's own model, any other by the whole tokenizer. A text for which the cut would not hold (blank runs, special
-tokens) is given whole to the tokenizer. So ids are always those of encode(text, add_special_tokens=False).
+A byte-level or word tokenizer cuts a text before a space or a line's end that a non-blank follows, so the ids of a text are
+those of its pieces between them; a word tokenizer gives blanks no ids. Pieces are looked up in a bounded cache; a new piece
+of plain letters and signs is cut by the tokenizer's own model, any other by the whole tokenizer. A text for which the cut
+would not hold (blank runs before a byte-level tokenizer, special tokens) is given whole to the tokenizer. So ids are always
+those of encode(text, add_special_tokens=False).
 """
 
 from __future__ import annotations
@@ -12,23 +13,28 @@ import itertools
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: Letters of Latin-1, which no normalisation changes but for case, and ASCII signs without the apostrophe.
-_LETTERS, _SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]*", r"[!-&(-/:-@\[-`{-~]*"
-#: Letters, signs, and what else is in a piece; pieces are parted by NUL.
-_PARTS = re.compile(rf"({_LETTERS})({_SIGNS})([^\0]*)(?:\0|$)")
-#: A piece that is empty or begins with a blank: the text is not cut at its spaces.
-_UNCUT = re.compile(r"(?:^|\0)(?:\s|\0|$)")
+#: ASCII signs without the apostrophe, and letters of Latin-1 and ASCII, which no normalisation changes but for case.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: A piece that is empty or begins with a blank, but for one line end: the text is not cut at its spaces.
+_UNCUT = re.compile(r"(?:^|\0)(?:\n(?:\s|\0|$)|[^\S\n]|\0|$)")
 #: Pieces, and letter runs, that are remembered; about 0.4 kB each.
 MOST = 1_200_000
 
 
-def _halved(cache: dict) -> None:
-    """Forget the half of a cache that was learned first."""
-    for key in list(itertools.islice(cache, len(cache) // 2)):
-        del cache[key]
+def _halved(cache: dict, recent: set[str]) -> None:
+    """Forget the half of a cache that was learned first, but for what was asked for of late, if that is not most of it."""
+    for kept in (recent, ()):
+        old = list(itertools.islice(cache, len(cache) // 2))
+        for key in old:
+            if key not in kept:
+                del cache[key]
+        if len(cache) <= len(old) * 3 // 2:
+            break
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,8 +69,18 @@ class Encoder:
         self.newline = self.letters[10]
         self.shown = {**self.letters, 10: f" {self.newline} "}
         self.stop = self.model.encode(self.newline, add_special_tokens=False).ids[0]
+        vocab = self.full.get_vocab()
+        #: How an id shows that a word begins (byte-level, after a blank) or ends with it; None: words are parted by line ends.
+        suffix = head["model"].get("end_of_word_suffix")
+        self.opens = self.closes = None
+        if self.byte_level:
+            self.opens = self._marked(vocab, lambda t: t.startswith(self.letters[32]))
+        elif suffix and all(c + suffix in vocab for c in self.letters.values()):
+            self.closes = self._marked(vocab, lambda t: t.endswith(suffix))
         self.pieces: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        #: Pieces of the texts since the cache was three quarters full.
+        self.recent: set[str] = set()
         self.tails: dict[str, bytes] = {}
         self.line = self._whole(["\n"])[0] if self.byte_level else b""
         self.tails[""] = b""
@@ -72,54 +88,77 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _marked(self, vocab: dict[str, int], f: Callable[[str], bool]) -> np.ndarray:
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[k for t, k in vocab.items() if f(t)]] = True
+        return out
+
     def _learn_cores(self, into: dict[str, bytes], lead: str, cores: list[str]) -> None:
         """Ids of letter runs after lead, into the pieces after that lead."""
         width = self.dtype().itemsize
-        for k in range(0, len(cores), 4000):
-            some = cores[k : k + 4000]
-            shown = lead + f"\n{lead}".join(some) + "\n"
+        opens, closes = self.opens if lead else None, self.closes
+        parted = opens is None and closes is None
+        for k in range(0, len(cores), 256):
+            some = cores[k : k + 256]
+            shown = lead + f"\n{lead}".join(some) + "\n" if parted else "\n".join(some)
             if not shown.isascii() or not self.byte_level:
                 shown = (shown if self.byte_level else shown.lower()).encode().decode("latin-1")
-            ids = np.array(self.model.encode_batch_fast([shown.translate(self.shown)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.stop) * width
+            shown = shown.translate(self.shown if parted else self.letters)
+            if not parted:
+                shown = self.letters[32] * bool(lead) + shown.replace(self.newline, f" {self.letters[32] * bool(lead)}")
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype)
+            if parted:
+                ends = np.flatnonzero(ids == self.stop)
+                begins = np.concatenate([[0], ends[:-1] + 1])
+            elif opens is not None:
+                begins = np.flatnonzero(opens[ids])
+                ends = np.append(begins[1:], len(ids))
+            else:
+                ends = np.flatnonzero(closes[ids]) + 1
+                begins = np.concatenate([[0], ends[:-1]])
             raw = ids.tobytes()
-            into.update(zip(some, [raw[a:e] for a, e in zip([0, *(ends[:-1] + width).tolist()], ends.tolist(), strict=True)], strict=True))
+            into.update(zip(some, [raw[a:e] for a, e in zip((begins * width).tolist(), (ends * width).tolist(), strict=True)], strict=True))
 
-    def _simple(self, into: dict[str, bytes], lead: str, parts: list[tuple[str, str, str]]) -> list[bytes]:
-        """Ids of pieces of letters and signs alone, after lead; into: the pieces after that lead, to which letter runs are added."""
-        tails = [t if c else lead + t for c, t, _ in parts]
-        fresh = {c for c, _, _ in parts}.difference(into)
-        fresh.discard("")
-        self._learn_cores(into, lead, list(fresh))
+    def _learn_tails(self, tails: list[str]) -> None:
         if len(self.tails) > self.most:
             self.tails = {"": b""}
         strange = list(set(tails).difference(self.tails))
         self.tails.update(zip(strange, self._whole(strange), strict=True))
+
+    def _learn_plain(self, into: dict[str, bytes], lead: str, words: list[str]) -> list[str]:
+        """Learn the pieces of letters and then signs after lead, and their letter runs; gives back the other pieces."""
+        cores, ended, before, tails, rest = [], [], [], [], []
+        for w in words:
+            c = w.rstrip(_SIGNS)
+            if c.isalpha() and (c.isascii() or _LATIN(c)):
+                if len(c) == len(w):
+                    cores.append(w)
+                else:
+                    ended.append(w)
+                    before.append(c)
+                    tails.append(w[len(c) :])
+            elif c:
+                rest.append(w)
+            else:
+                ended.append(w)
+                before.append("")
+                tails.append(lead + w)
+        fresh = {*cores, *before}.difference(into)
+        fresh.discard("")
+        self._learn_cores(into, lead, list(fresh))
+        self._learn_tails(tails)
         tail = self.tails
-        return [(into[c] if c else b"") + tail[t] for (c, _, _), t in zip(parts, tails, strict=True)]
+        into.update(zip(ended, [(into[c] if c else b"") + tail[t] for c, t in zip(before, tails, strict=True)], strict=True))
+        return rest
 
     def _learn(self, new: list[str], first: bool) -> None:
         into, lead = (self.firsts, "") if first else (self.pieces, " " if self.byte_level else "")
-        self._learn_cores(into, lead, [w for w in new if w.isalpha() and w.isascii()])
-        new = [w for w in new if w not in into]
-        parts = _PARTS.findall("\0".join(new))[: len(new)]
-        if len(parts) != len(new) or any("\0" in w for w in new):
-            parts = [("", "", "odd")] * len(new)
-        plain = [k for k, p in enumerate(parts) if not p[2]]
-        into.update(zip([new[k] for k in plain], self._simple(into, lead, [parts[k] for k in plain]), strict=True))
-        odd, lined = [], []
-        for k, p in enumerate(parts):
-            if p[2]:
-                lines = _PARTS.findall(new[k].replace("\n", "\0"))[: new[k].count("\n") + 1] if p[2][0] == "\n" and "\0" not in new[k] else []
-                if lines and not any(x[2] or not (x[0] or x[1]) for x in lines):
-                    lined.append((new[k], lines))
-                else:
-                    odd.append(new[k])
-        begun = self._simple(into, lead, [x[0] for _, x in lined])
-        # Firsts are forgotten all at once, before any is learned.
-        rest = iter(self._simple(self.firsts, "", [y for _, x in lined for y in x[1:]]))
-        for (w, x), b in zip(lined, begun, strict=True):
-            into[w] = self.line.join([b, *(next(rest) for _ in x[1:])])
+        lined = [w for w in new if w[:1] == "\n"]
+        if lined:
+            new = [w for w in new if w[:1] != "\n"]
+            self._learn(list({w[1:] for w in lined}.difference(self.firsts)), True)
+            into.update(zip(lined, [self.line + self.firsts[w[1:]] for w in lined], strict=True))
+        odd = self._learn_plain(into, lead, new)
         into.update(zip(odd, self._whole([lead + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -133,39 +172,57 @@ class Encoder:
             self._some(texts[base : base + step], out, base)
         return out
 
+    def _shown(self, text: str) -> str:
+        """The text with a blank before each piece, and without what its ids do not tell: for words line ends, and case in Latin-1."""
+        if self.byte_level:
+            return text.replace("\n", " \n")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ")
+        return text.lower().replace("\n", " ")
+
     def _some(self, texts: list[str], out: list, base: int) -> None:
         cut, whole, new, new_first = {}, [], {}, {}
         get = self.pieces.get
+        filling = len(self.pieces) > self.most * 3 // 4
         for k, t in enumerate(texts):
-            if any([c in t for c in self.marks]) and any(s in t for s in self.special):
+            shown = self._shown(t)
+            if any([c in t for c in self.marks]) and any(s in t or s in shown for s in self.special):
                 whole.append(k)
                 continue
-            first, *rest = t.split(" ")
-            found = list(map(get, rest))
+            words = shown.split(" ")
+            found = list(map(get, words))
+            if filling:
+                self.recent.update(words)
+            if self.byte_level:
+                found[0] = b""  # known later, as it is without a blank
             gaps = [i for i, v in enumerate(found) if v is None]
             if gaps:
-                unknown = [rest[i] for i in gaps]
-                if _UNCUT.search("\0".join(unknown)):
+                unknown = [words[i] for i in gaps]
+                if self.byte_level and _UNCUT.search("\0".join(unknown)):
                     whole.append(k)
                     continue
                 new.update(dict.fromkeys(unknown))
-            if first not in self.firsts:
-                new_first[first] = None
-            cut[k] = (first, rest, found, gaps)
+            if self.byte_level and words[0] not in self.firsts:
+                new_first[words[0]] = None
+            cut[k] = (words, found, gaps)
         known, known_first = self.pieces, self.firsts
         if len(known) + len(new) > self.most:
-            _halved(known)
+            _halved(known, self.recent)
+            self.recent.clear()
         if len(known_first) > self.most:
             known_first.clear()
-            new_first = {x[0]: None for x in cut.values()}
+            new_first = {x[0][0]: None for x in cut.values()}
         if new:
             self._learn(list(new), False)
         if new_first:
             self._learn(list(new_first), True)
-        for k, (first, rest, found, gaps) in cut.items():
+        for k, (words, found, gaps) in cut.items():
             for i in gaps:
-                found[i] = known[rest[i]]
-            found.insert(0, known_first[first])
+                found[i] = known[words[i]]
+            if self.byte_level:
+                found[0] = known_first[words[0]]
             out[base + k] = np.frombuffer(b"".join(found), self.dtype)
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[base + k] = np.frombuffer(ids, self.dtype)

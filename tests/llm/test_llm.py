@@ -547,6 +547,28 @@ def test_letter_runs_are_remembered_once():
         assert sum(str(k).strip() == "words" for d in kept for k in d) == len(kept)
 
 
+def test_words_are_learned_once_for_all_lines_and_cases():
+    """What follows a line's end is a piece of its own; a word tokenizer's pieces are kept without lines and case."""
+    texts = ["One word.\nOther word;\nword Élan", "WORD\nword. ÉLAN word.\nMore", "a\n\nb \nc\n", " word\r\nword \x00\nword", "Σ ΟΔΟΣ\nİ word 'S\n's", "<|ENDOFTEXT|>\n<|endoftext|> word"]
+    for name, most in (("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)):
+        e = tokens.Encoder(tokens.load(public_tokenizers.path(name)))
+        want = [x.ids for x in e.full.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(texts)] == want == [x.tolist() for x in e.encode(texts)]
+        e = tokens.Encoder(tokens.load(public_tokenizers.path(name)))
+        e.encode(["x Word\nword", "x word\nword"])
+        assert not [k for d in (e.pieces, e.firsts) for k in d if "\n" in k[1:]]
+        assert sum(k.lower() == "word" for k in e.pieces) == most
+
+
+def test_pieces_in_use_outlive_a_full_cache():
+    e = tokens.Encoder(tokens.load(public_tokenizers.path("byte_bpe_50k.json")), 4000)
+    texts = ["often " + " ".join("often " + "".join("abcdefghij"[int(c)] for c in str(k * 2500 + j)) for j in range(900)) for k in range(12)]
+    for t in texts:
+        got = e.encode([t])[0].tolist()
+        assert got == e.full.encode(t, add_special_tokens=False).ids
+        assert "often" in e.pieces and len(e.pieces) <= 5000
+
+
 def test_media(spark):
     rng = np.random.default_rng(13)
     v = rng.normal(0, 1, (60, 64))
