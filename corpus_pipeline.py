@@ -19,21 +19,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dotfield.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from dotfield.llm.common import read, written
+from dotfield.llm.common import BATCH as OPERATORS_BATCH
+from dotfield.llm.common import BATCH_KEY, SPARKS_BATCH, read, written
 from dotfield.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of an Arrow batch here: an executor's memory is shared with what earlier stages have left in it.
+BATCH = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH bytes, if the session has Spark's own or the operators' choice."""
+    if spark.conf.get(BATCH_KEY) in (*SPARKS_BATCH, OPERATORS_BATCH):
+        spark.conf.set(BATCH_KEY, BATCH)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.kept(docs.select(COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
@@ -43,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The workers' memory is shared with what the stages before have left, and is needed by those of the next run.
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), remembered=250_000, alone=False)
+    small_batches(spark)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), remembered=100_000, alone=False)
 
 
 STAGES = [

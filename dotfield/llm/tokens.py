@@ -50,20 +50,20 @@ class Encoder:
     def __init__(self, spec: str, most: int = MOST):
         self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.full = Tokenizer.from_str(spec)
-        head = json.loads(spec)
-        pre = head.get("pre_tokenizer") or {}
-        steps = [p.get("type") for p in pre.get("pretokenizers", [pre])]
+        model, pre = self.full.model, self.full.pre_tokenizer
+        steps = json.loads(pre.__getstate__()) if pre else {}
+        steps = [p.get("type") for p in steps.get("pretokenizers", [steps])]
         self.byte_level = steps == ["ByteLevel"]
-        self.cached = head["model"]["type"] == "BPE" and (self.byte_level or steps == ["Split", "ByteLevel"] and bool(head.get("normalizer")))
-        self.special = [t["content"] for t in head.get("added_tokens", [])]
+        self.cached = isinstance(model, models.BPE) and (self.byte_level or steps == ["Split", "ByteLevel"] and bool(self.full.normalizer))
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         #: Characters one of which is in any special token: most texts have none of them.
         self.marks = sorted({t[0] for t in self.special if t})
         self.dtype = np.uint16 if self.full.get_vocab_size() <= 65_536 else np.uint32
-        self.model = Tokenizer.from_str(spec)
-        self.model.normalizer, self.model.post_processor = None, None
+        #: The same model, which both share, for words that need nothing else.
+        self.model = Tokenizer(model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
         self.newline = self.letters[10]
@@ -71,7 +71,7 @@ class Encoder:
         self.stop = self.model.encode(self.newline, add_special_tokens=False).ids[0]
         vocab = self.full.get_vocab()
         #: How an id shows that a word begins (byte-level, after a blank) or ends with it; None: words are parted by line ends.
-        suffix = head["model"].get("end_of_word_suffix")
+        suffix = getattr(model, "end_of_word_suffix", None)
         self.opens = self.closes = None
         if self.byte_level:
             self.opens = self._marked(vocab, lambda t: t.startswith(self.letters[32]))

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from dotfield.llm import exact_dedup, media, mixing, ngram_join, packing, quality, sharding, token_files, tokens, toxicity, url_filter
 from dotfield.llm.queries import ORACLES, QUERIES
 from tests.oracle import same
@@ -535,6 +536,28 @@ def test_packing_gives_the_workers_memory_back(spark, monkeypatch):
     assert rows[0] == rows[1]
 
 
+def test_encoder_has_one_model():
+    """Whole texts and single words are given to tokenizers of one model, which is in memory once: what one does to it the other sees."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(tokens.load(public_tokenizers.path(name)))
+        assert e.cached and e.special
+        e.full.model.dropout = 0.5
+        assert e.model.model.dropout == 0.5
+
+
+def test_pipeline_takes_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a text.")], "doc_id long, text string")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for size, want in (("64m", "2m"), ("4m", "2m"), ("3m", "3m")):
+            spark.conf.set(key, size)
+            corpus_pipeline.pack_sequences(spark, docs, SF)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_letter_runs_are_remembered_once():
     """A run of letters is a piece like any other: it is not kept a second time beside the pieces."""
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
