@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_batches, new_path, written
-from .tokens import encoder, load
+from .tokens import MOST, encoder, load
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQI")
@@ -49,11 +49,17 @@ def _pack(rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(data: np.ndarray, width: int) -> np.ndarray:
-    size = 16 if width <= 16 else 32
+    """The small numbers of each row of bytes; a number of 17 bits or less is in the three bytes from its first bit on."""
+    if width <= 17:
+        at = np.arange(data.shape[1] * 8 // width) * width
+        wide = np.zeros((len(data), data.shape[1] + 2), np.uint32)
+        wide[:, :-2] = data
+        three = (wide[:, :-2] << np.uint32(16)) | (wide[:, 1:-1] << np.uint32(8)) | wide[:, 2:]
+        return (np.take(three, at >> 3, axis=1) >> (24 - width - (at & 7)).astype(np.uint32)) & np.uint32((1 << width) - 1)
     bits = np.unpackbits(data, axis=1).reshape(len(data), -1, width)
-    full = np.zeros((*bits.shape[:2], size), np.uint8)
-    full[:, :, size - width :] = bits
-    return np.packbits(full.reshape(len(data), -1), axis=1).view(f">u{size // 8}").astype(np.uint32)
+    full = np.zeros((*bits.shape[:2], 32), np.uint8)
+    full[:, :, 32 - width :] = bits
+    return np.packbits(full.reshape(len(data), -1), axis=1).view(">u4").astype(np.uint32)
 
 
 def encode_file(task: int, number: int, docs: list[int | None], arrays: list[np.ndarray]) -> bytes:
@@ -114,7 +120,7 @@ def decode_file(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np
     return task, number, [None if d == NULL else d for d in docs.tolist()], lengths, out.reshape(-1)[:n]
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, remembered: int = 700_000) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, remembered: int = MOST) -> None:
     """Encode every text, append end_id, and write the files in ascending order of doc_id (and of a hash of the text).
 
     remembered: pieces of text whose ids a Python worker keeps, beside the texts that are sorted.

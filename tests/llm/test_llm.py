@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import time
+import tracemalloc
 import types
 import zlib
 
@@ -168,6 +169,20 @@ def test_token_files(spark, awkward, tmp_path):
     assert told((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_blocks_of_all_widths():
+    """Numbers of every width come back, and those of a vocabulary's width need less than their bits in memory, one byte each."""
+    rng = np.random.default_rng(5)
+    for width in range(1, 33):
+        rows = rng.integers(0, 1 << width, (7, token_files.BLOCK), dtype=np.uint64).astype(np.uint32)
+        assert np.array_equal(token_files._unpack(token_files._pack(rows, width), width), rows)
+    data = token_files._pack(rng.integers(0, 1 << 16, (4000, token_files.BLOCK), dtype=np.uint64).astype(np.uint32), 16)
+    tracemalloc.start()
+    token_files._unpack(data, 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4000 * token_files.BLOCK * 32
+
+
 def test_mixing(spark, awkward):
     rng = np.random.default_rng(4)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(1, 200, 400)]
