@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, map_batches
 from .tokens import MOST, Encoder, encoder, forget, load
+from .tokens import STEP as TEXTS
 
 SENTENCE, INSIDE = 2.0, 16.0
 STEP, LONG = 16, 96
@@ -160,8 +161,8 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
                 rows = []
                 for doc, ids in zip(some.column(0).to_pylist(), e.encode(some.column(1).to_pylist()), strict=True):
                     rows += packer.add(doc, np.concatenate([ids, end]))

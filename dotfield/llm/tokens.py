@@ -1,7 +1,8 @@
 """Token ids of whole texts by a given public tokenizer, with a cache of words.
 
 A byte-level or word tokenizer cuts a text before a space or a line's end that a non-blank follows, so the ids of a text are
-those of its pieces between them; a word tokenizer gives blanks no ids. Pieces are looked up in a bounded cache; a new piece
+those of its pieces between them; a word tokenizer gives blanks no ids. The distinct pieces of some texts, which Arrow finds,
+are looked up in a bounded cache, and Arrow strings their ids together; a new piece
 of plain letters and signs is cut by the tokenizer's own model, any other by the whole tokenizer. A text for which the cut
 would not hold (blank runs before a byte-level tokenizer, special tokens) is given whole to the tokenizer. So ids are always
 those of encode(text, add_special_tokens=False).
@@ -9,6 +10,7 @@ those of encode(text, add_special_tokens=False).
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
@@ -16,12 +18,16 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ASCII signs without the apostrophe, and letters of Latin-1 and ASCII, which no normalisation changes but for case.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: A piece that is empty or begins with a blank, but for one line end: the text is not cut at its spaces.
 _UNCUT = re.compile(r"(?:^|\0)(?:\n(?:\s|\0|$)|[^\S\n]|\0|$)")
+#: Texts whose pieces are looked up together.
+STEP = 1024
 #: Pieces, and letter runs, that are remembered; about 0.4 kB each.
 MOST = 1_200_000
 
@@ -167,9 +173,15 @@ class Encoder:
         if not self.cached:
             return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
         out: list[np.ndarray | None] = [None] * len(texts)
-        step = 256
-        for base in range(0, len(texts), step):
-            self._some(texts[base : base + step], out, base)
+        # There are no cycles among words and ids, and to look for some in lists this long takes a tenth of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for base in range(0, len(texts), STEP):
+                self._some(texts[base : base + STEP], out, base)
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     def _shown(self, text: str) -> str:
@@ -183,49 +195,71 @@ class Encoder:
         return text.lower().replace("\n", " ")
 
     def _some(self, texts: list[str], out: list, base: int) -> None:
-        cut, whole, new, new_first = {}, [], {}, {}
-        get = self.pieces.get
-        filling = len(self.pieces) > self.most * 3 // 4
+        """Ids of some texts into out from base on; each distinct piece of theirs is looked up once."""
+        shown, cut, whole = [], [], []
         for k, t in enumerate(texts):
-            shown = self._shown(t)
-            if any([c in t for c in self.marks]) and any(s in t or s in shown for s in self.special):
+            s = self._shown(t)
+            if any([c in t for c in self.marks]) and any(x in t or x in s for x in self.special):
                 whole.append(k)
-                continue
-            words = shown.split(" ")
-            found = list(map(get, words))
-            if filling:
-                self.recent.update(words)
-            if self.byte_level:
-                found[0] = b""  # known later, as it is without a blank
-            gaps = [i for i, v in enumerate(found) if v is None]
-            if gaps:
-                unknown = [words[i] for i in gaps]
-                if self.byte_level and _UNCUT.search("\0".join(unknown)):
-                    whole.append(k)
-                    continue
-                new.update(dict.fromkeys(unknown))
-            if self.byte_level and words[0] not in self.firsts:
-                new_first[words[0]] = None
-            cut[k] = (words, found, gaps)
+            else:
+                cut.append(k)
+                shown.append(s)
+        split = pc.split_pattern(pa.array(shown, pa.large_string()), " ")
+        coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found: list[bytes | None] = list(map(self.pieces.get, words))
+        if len(self.pieces) > self.most * 3 // 4:
+            self.recent.update(words)
+        gaps = [i for i, v in enumerate(found) if v is None]
+        heads = broken = np.zeros(0, np.int64)
+        if self.byte_level:
+            # A text's first piece is without a blank; it has a place of its own behind the others.
+            at, heads = at.copy(), at[ends[:-1]].copy()
+            at[ends[:-1]] = np.arange(len(words), len(words) + len(cut))
+            gaps, broken = self._gaps(words, gaps, at, ends)
+            whole += [cut[j] for j in broken.tolist()]
+        new = [words[i] for i in gaps]
+        gone = set(broken.tolist())
+        first = [None if j in gone else words[i] for j, i in enumerate(heads.tolist())]
         known, known_first = self.pieces, self.firsts
         if len(known) + len(new) > self.most:
             _halved(known, self.recent)
             self.recent.clear()
         if len(known_first) > self.most:
             known_first.clear()
-            new_first = {x[0][0]: None for x in cut.values()}
+        new_first = {w for w in first if w is not None}.difference(known_first)
         if new:
-            self._learn(list(new), False)
+            self._learn(new, False)
         if new_first:
             self._learn(list(new_first), True)
-        for k, (words, found, gaps) in cut.items():
-            for i in gaps:
-                found[i] = known[words[i]]
-            if self.byte_level:
-                found[0] = known_first[words[0]]
-            out[base + k] = np.frombuffer(b"".join(found), self.dtype)
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
-            out[base + k] = np.frombuffer(ids, self.dtype)
+        for i, w in zip(gaps, new, strict=True):
+            found[i] = known[w]
+        found += [b"" if w is None else known_first[w] for w in first]
+        ids = pa.array(found, pa.large_binary()).take(pa.array(at))
+        _, starts, raw = ids.buffers()
+        starts = np.frombuffer(starts, np.int64, len(ids) + 1) // self.dtype().itemsize
+        flat = np.frombuffer(raw or b"", self.dtype, int(starts[-1]))
+        starts = starts[ends].tolist()
+        for j, k in enumerate(cut):
+            out[base + k] = flat[starts[j] : starts[j + 1]]
+        for k, of in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+            out[base + k] = np.frombuffer(of, self.dtype)
+
+    def _gaps(self, words: list[str], gaps: list[int], at: np.ndarray, ends: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Which unknown words are to be learned, and which texts (words by place in at, up to ends) are not cut at their spaces."""
+        here, broken = at, np.zeros(0, np.int64)
+        marked = np.zeros(len(words) + len(ends) - 1, bool)
+        marked[at] = True
+        gaps = [i for i in gaps if marked[i]]
+        if gaps and _UNCUT.search("\0".join([words[i] for i in gaps])):
+            uncut = np.zeros(len(marked), bool)
+            uncut[[i for i in gaps if _UNCUT.search(words[i])]] = True
+            bad = np.logical_or.reduceat(uncut[at], ends[:-1])
+            here, broken = at[np.repeat(~bad, np.diff(ends))], np.flatnonzero(bad)
+            marked[:] = False
+            marked[here] = True
+            gaps = [i for i in gaps if marked[i]]
+        return gaps, broken
 
 
 def load(path: str) -> str:

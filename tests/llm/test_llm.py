@@ -846,3 +846,36 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "sequence_id"} <= set(rows[0].asDict())
+
+
+def test_packing_looks_a_piece_up_once():
+    """Of some texts' equal pieces one is looked up, and ids are those of the tokenizer; texts that are given whole do not touch the others."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    e = tokens.Encoder(tokens.load(public_tokenizers.path("byte_bpe_50k.json")))
+    e.pieces = Counted()
+    texts = ["A word, a word.\nA word", "", " word  after blanks", None, "x <|endoftext|> word", "only-first"] * 100
+    want = [x.ids for x in e.full.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode(texts)] == want == [x.tolist() for x in e.encode(texts)]
+    assert Counted.asked < 100
+    assert "blanks" not in e.pieces and "only-first" not in e.pieces and "after" not in e.pieces
+
+
+def test_no_search_for_cycles_among_words(monkeypatch):
+    import gc
+
+    e = tokens.Encoder(tokens.load(public_tokenizers.path("word_bpe_49k.json")))
+    seen, learn = [], e._learn
+    monkeypatch.setattr(e, "_learn", lambda *a: (seen.append(gc.isenabled()), learn(*a)))
+    e.encode(["some words"])
+    assert seen == [False] and gc.isenabled()
+    monkeypatch.setattr(e, "_learn", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.encode(["other words here"])
+    assert gc.isenabled()
