@@ -31,10 +31,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_batches, new_path, written
-from .tokens import MOST, encoder, load
+from .tokens import MOST, STEP, encoder, load
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQI")
+BLOCK_HEAD = struct.Struct("<IBH")
 BLOCK, PERCENT = 256, 90
 NULL = -(2**63)
 #: Ids after which a file ends with the document at hand.
@@ -81,9 +82,13 @@ def encode_file(task: int, number: int, docs: list[int | None], arrays: list[np.
     for w in np.unique(widths).tolist():
         here = np.flatnonzero(widths == w)
         packed = _pack(rest[here] & np.uint32((1 << w) - 1), w) if w else np.zeros((len(here), 0), np.uint8)
-        for k, body in zip(here.tolist(), packed, strict=True):
-            where = np.flatnonzero(over[k])
-            bodies[k] = struct.pack("<IBH", int(low[k]), w, len(where)) + body.tobytes() + where.astype("<u2").tobytes() + rest[k][where].astype("<u4").tobytes()
+        row, where = np.nonzero(over[here])
+        upto = np.searchsorted(row, np.arange(len(here) + 1)).tolist()
+        body, size = packed.tobytes(), packed.shape[1]
+        places, values = where.astype("<u2").tobytes(), rest[here[row], where].astype("<u4").tobytes()
+        for j, (k, least) in enumerate(zip(here.tolist(), low[here].tolist(), strict=True)):
+            x, y = upto[j], upto[j + 1]
+            bodies[k] = BLOCK_HEAD.pack(least, w, y - x) + body[j * size : (j + 1) * size] + places[2 * x : 2 * y] + values[4 * x : 4 * y]
     starts = np.cumsum([0, *map(len, bodies)]).astype("<u4")
     ids_of = np.array([NULL if d is None else d for d in docs], "<i8")
     return b"".join([HEAD.pack(MAGIC, task, number, len(docs), n, BLOCK), ids_of.tobytes(), np.array([len(a) for a in arrays], "<u4").tobytes(), starts.tobytes(), *bodies])
@@ -136,8 +141,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([encode_file(task, number, docs, arrays)], pa.binary())], ["file"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, STEP):
+                some = b.slice(at, STEP)
                 for doc, ids in zip(some.column(0).to_pylist(), e.encode(some.column(1).to_pylist()), strict=True):
                     docs.append(doc)
                     arrays.append(np.concatenate([ids, end]))

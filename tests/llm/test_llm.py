@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import struct
 import time
 import tracemalloc
 import types
@@ -879,3 +880,32 @@ def test_no_search_for_cycles_among_words(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         e.encode(["other words here"])
     assert gc.isenabled()
+
+
+def test_token_files_encode_many_texts_at_once(spark, monkeypatch):
+    """As many texts as the encoder looks up together are given to it at once, and the file is what a plain writer of single blocks makes of their ids."""
+    from unittest import mock
+
+    runs, given, real = [], [], tokens.Encoder(tokens.load(public_tokenizers.path("word_bpe_49k.json")))
+    fake = types.SimpleNamespace(dtype=real.dtype, encode=lambda texts: (given.append(len(texts)), real.encode(texts))[1])
+    monkeypatch.setattr(token_files, "map_batches", lambda df, run, schema: (runs.append(run), mock.MagicMock())[1])
+    monkeypatch.setattr(token_files, "encoder", lambda *a: fake)
+    monkeypatch.setattr(token_files, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    token_files.write_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "unused", public_tokenizers.path("word_bpe_49k.json"))
+    texts = [None, *(f"word {k} of this text" * (k % 7) for k in range(999))]
+    (batch,) = runs[0]([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])])
+    assert given == [1000]
+    data = batch.column(0)[0].as_py()
+    ids = np.concatenate([[*x.ids, 1] for x in real.full.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)])
+    assert (token_files.decode_file(data)[4] == ids).all()
+    at = token_files.HEAD.size + 12 * 1000 + 4 * (-(-len(ids) // token_files.BLOCK) + 1)
+    full = np.concatenate([ids, np.full(-len(ids) % token_files.BLOCK, ids[-1])]).reshape(-1, token_files.BLOCK)
+    for block in full.tolist():
+        rest = [x - min(block) for x in block]
+        width = sorted(rest)[token_files.BLOCK * token_files.PERCENT // 100].bit_length()
+        bits = "".join(format(x & ((1 << width) - 1), f"0{width}b") for x in rest) if width else ""
+        over = [k for k, x in enumerate(rest) if x >= 1 << width]
+        want = struct.pack("<IBH", min(block), width, len(over)) + int(bits or "0", 2).to_bytes(len(bits) // 8, "big") + np.array(over, "<u2").tobytes() + np.array([rest[k] for k in over], "<u4").tobytes()
+        assert data[at : at + len(want)] == want
+        at += len(want)
+    assert at == len(data)
