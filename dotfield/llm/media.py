@@ -10,6 +10,10 @@ these and all values one bit away, and an equi-join on (pair, value) finds all m
 salted. Matches of two images vote for the turn, scale and shift that take one to the other, in overlapping bins; enough
 matches at different places in one bin are a copy.
 
+Most matches are chance ones of a query's commonest descriptors, so pairs of images are found by the others: of 4 matches at different
+places one at least is not at the query's 3 commonest places, and two are not at its 2 commonest. Only pairs of images that
+pass both are compared whole. Any choice of places gives the same links; which are commonest is told by a sample of the index.
+
 Images of equal pixels are one class, on either side: its representative is searched, its members are counted by a join.
 links() gives all pairs of classes that are copies; find_copies() a row for each class of images with all its links, the one that
 agrees most first, and copies_of_each() a row for each image. Descriptors in which nearly all tests agree (flat patches) are left out by a fixed
@@ -27,10 +31,11 @@ table. Further columns are not read.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, dropped, small_or_shuffled, written
@@ -48,6 +53,10 @@ DIFFERENCE = 9
 PAIRS, PAIR_BITS = PARTS // 2, 2 * WIDTH
 #: One in SAMPLED images tells which values are hot; a hot value is dealt out to shares of about HOT descriptors.
 SAMPLED, HOT = 16, 4096
+#: About so many keypoints of the index, of whole images, tell which places of a query are its commonest.
+SURVEYED = 250_000
+#: Two images are compared descriptor by descriptor if these are so many comparisons at most, else by the join.
+WHOLE = 1 << 18
 RADIUS = 9
 _TESTS = np.clip(np.random.default_rng(77).normal(0, RADIUS / 2.2, (2, BITS, 2)), -RADIUS, RADIUS)
 
@@ -265,7 +274,11 @@ def _close(n: int) -> Column:
 
 
 def near_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query, id, and place, level and angle of both (of the query with a q before): the pairs of keypoints whose descriptors differ in at most DIFFERENCE bits, once each."""
+    """query, id, and place, level and angle of both (of the query with a q before): the pairs of keypoints whose descriptors differ in at most DIFFERENCE bits, once each.
+
+    If queries have a column meets, a keypoint only meets those of the index whose level is the place of a 1 in that number.
+    """
+    limits = [c for c in ("meets",) if c in queries.columns]
     slot = lambda n, v: F.shiftleft(n.cast("long"), PAIR_BITS).bitwiseOR(v.cast("long"))
     filed = index.select("*", F.posexplode("parts").alias("__n", "__v")).withColumn("slot", slot(F.col("__n"), F.col("__v"))).drop("parts", "__n", "__v")
     some = filed.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
@@ -274,12 +287,14 @@ def near_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
     # Any two dealings of the keys agree, so it is of no matter that the sample only estimates the shares.
     shares = F.coalesce("shares", F.lit(1))
     filed = filed.join(hot, "slot", "left").withColumn("share", F.pmod(F.xxhash64("id", "x", "y", "level", "angle"), shares).cast("int")).drop("shares")
-    q = queries.select(F.col("id").alias("query"), *[F.col(c).alias("q" + c) for c in ("x", "y", "level", "angle", "d0", "d1")], F.posexplode("parts").alias("pair", "__v"))
+    q = queries.select(F.col("id").alias("query"), *limits, *[F.col(c).alias("q" + c) for c in ("x", "y", "level", "angle", "d0", "d1")], F.posexplode("parts").alias("pair", "__v"))
     flips = F.array(F.lit(0), *[F.lit(1 << k) for k in range(PAIR_BITS)])
     q = q.withColumn("__f", F.explode(flips)).withColumn("slot", slot(F.col("pair"), F.col("__v").bitwiseXOR(F.col("__f")))).drop("__v", "__f")
     q = q.join(hot, "slot", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
     apart = F.bit_count(F.col("qd0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("qd1").bitwiseXOR(F.col("d1")))
     meets = apart <= DIFFERENCE
+    if limits:
+        meets = F.expr("shiftright(meets, level) & 1 = 1") & meets
     for n in range(PAIRS - 1):  # only the first of several close pairs counts
         meets = meets & ~((F.col("pair") > n) & _close(n))
     near = filed.join(q, ["slot", "share"]).filter(meets)
@@ -306,18 +321,88 @@ def agreeing(group: np.ndarray, m: dict[str, np.ndarray], groups: int, shift: fl
     return most
 
 
+def _square(x: str, y: str, side: int) -> Column:
+    """The square of side `side` around a place, as one number."""
+    at = lambda c: F.floor(F.col(c).cast("double") / side)
+    return (at(x) * F.lit(1 << 31) + at(y)).alias("square")
+
+
+def commonest(queries: DataFrame, index: DataFrame, few: int, place: int) -> DataFrame:
+    """query, apart, square, rank: the squares, `few` at most, in which a query has the most matches with images of the sample, for each
+    difference in level (of the query less of the image); the first has rank 1."""
+    share = F.lit(SURVEYED / max(index.count(), 1) * (1 << 20))
+    some = index.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share)
+    met = near_pairs(queries, some).groupBy("query", (F.col("qlevel") - F.col("level")).alias("apart"), _square("qx", "qy", place)).count()
+    order = Window.partitionBy("query", "apart").orderBy(F.desc("count"), "square")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= few).drop("count")
+
+
+def likely(queries: DataFrame, index: DataFrame, least: int, place: int) -> DataFrame:
+    """query, id, written: all pairs of images that can have `least` matches of one difference in level in different squares of the query.
+
+    Such a pair has one outside the least - 1 commonest squares, and two outside the least - 2 commonest.
+    """
+    common = written(commonest(queries, index, least - 1, place), "common-squares")
+    n = common.count()
+    keyed = queries.withColumn("square", _square("x", "y", place)).withColumnRenamed("id", "query")
+    of = small_or_shuffled(common.groupBy("query", "square").agg(F.collect_set("apart").alias("aparts")), n)
+    meets = [F.when(F.array_contains("aparts", F.col("level") - k), 0).otherwise(1 << k) for k in range(len(LEVELS))]
+    rare = keyed.join(of, ["query", "square"], "left").withColumn("meets", sum(meets)).filter("meets > 0").withColumnRenamed("query", "id")
+    seen = near_pairs(rare, index).groupBy("query", "id", (F.col("qlevel") - F.col("level")).alias("apart"))
+    square = _square("qx", "qy", place)
+    seen = seen.agg(F.min(square).alias("low"), F.max(square).alias("high"))
+    if least < 2:  # one match will do
+        return written(seen.select("query", "id").distinct(), "likely-pairs")
+    seen = written(seen, "seen-pairs")
+    next_of = keyed.join(small_or_shuffled(common.filter(F.col("rank") == least - 1), n), ["query", "square"])
+    next_of = next_of.groupBy("query", "apart").agg(F.collect_list(F.struct((F.col("level") - F.col("apart")).alias("level"), "d0", "d1")).alias("next"))
+    once = seen.filter("low = high").join(small_or_shuffled(next_of, n), ["query", "apart"]).select("query", F.col("id").alias("with"), "next")
+    bits = lambda k: F.bit_count(k["d0"].bitwiseXOR(F.col("d0"))) + F.bit_count(k["d1"].bitwiseXOR(F.col("d1")))
+    twice = F.exists("next", lambda k: (k["level"] == F.col("level")) & (bits(k) <= DIFFERENCE))
+    once = index.select("id", "level", "d0", "d1").join(once, (F.col("id") == F.col("with")) & twice)
+    pairs = written(seen.filter("low < high").select("query", "id").union(once.select("query", "id")).distinct(), "likely-pairs")
+    dropped(common, seen)
+    return pairs
+
+
+def _met(near: DataFrame, match: Callable) -> DataFrame:
+    """query, id, of: the pairs of keypoints of near_pairs() by pairs of images, each as match(q, k)."""
+    return near.groupBy("query", "id").agg(F.collect_list(match(lambda c: F.col("q" + c), F.col)).alias("of"))
+
+
+def _compared(pairs: DataFrame, queries: DataFrame, index: DataFrame, match: Callable) -> DataFrame:
+    """query, id, of: all matches of the written pairs of images, each as match(q, k) of its two keypoints' columns."""
+    points = F.collect_list(F.struct("x", "y", "level", "angle", "d0", "d1"))
+    asked = queries.groupBy(F.col("id").alias("query")).agg(F.count(F.lit(1)).alias("n"))
+    found = index.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
+    sized = written(pairs.join(small_or_shuffled(asked, asked.count()), "query").join(found, "id").select("query", "id", (F.col("n") * F.col("m") > WHOLE).alias("large")), "sized-pairs")
+    dropped(pairs)
+    small, large = sized.filter("not large").drop("large"), sized.filter("large").drop("large")
+    those = lambda t, of, c: t.join(of.select(F.col(c).alias("id")).distinct(), "id", "left_semi")
+    asked = those(queries, small, "query").groupBy(F.col("id").alias("query")).agg(points.alias("asked"))
+    found = those(index, small, "id").groupBy("id").agg(points.alias("found"))
+    both = small.join(small_or_shuffled(asked, asked.count(), 10_000), "query").join(found, "id")  # some kilobytes a query
+    apart = lambda q, k: F.bit_count(q["d0"].bitwiseXOR(k["d0"])) + F.bit_count(q["d1"].bitwiseXOR(k["d1"]))
+    each = lambda q: F.transform(F.filter("found", lambda k: apart(q, k) <= DIFFERENCE), lambda k: match(q.getField, k.getField))
+    of = both.select("query", "id", F.flatten(F.transform("asked", each)).alias("of"))
+    if large.isEmpty():
+        return of
+    near = near_pairs(those(queries, large, "query"), those(index, large, "id")).join(large, ["query", "id"], "left_semi")
+    return of.union(_met(near, match))
+
+
 def matches(queries: DataFrame, index: DataFrame, least: int = 4, shift: float = 8.0, turn: float = 30.0, place: int = 4) -> DataFrame:
     """query, id, inliers from keypoint tables: pairs of images with least matches that agree on turn, scale and shift.
 
     A match gives the turn, the difference in level, and where the index image's origin lands; bins of width `shift` and `turn`
     are laid with each of turn and the two shifts as it is or half a width apart, in all eight ways, so that matches within half
     a width of each other in all three meet in some bin. Matches in one square of side `place` count once, on either side.
-    Pairs with fewer than least matches in all have no such bin and go before.
     """
-    near = near_pairs(queries, index)
-    # Sums before the shuffle: most pairs of images have a match or two by chance.
-    match = F.struct("qx", "qy", "qlevel", "x", "y", "level", (F.col("qangle") - F.col("angle")).alias("t"))
-    near = near.groupBy("query", "id").agg(F.collect_list(match).alias("of")).filter(F.size("of") >= least)
+    match = lambda q, k: F.struct(*[q(c).alias("q" + c) for c in ("x", "y", "level")], *[k(c).alias(c) for c in ("x", "y", "level")], (q("angle") - k("angle")).alias("t"))
+    if index.count() <= SURVEYED:  # the sample would be all of it
+        near = _met(near_pairs(queries, index), match).filter(F.size("of") >= least)
+    else:
+        near = _compared(likely(queries, index, least, place), queries, index, match)
 
     def make():
         def f(b: pa.RecordBatch):

@@ -718,6 +718,51 @@ def test_near_keypoints_are_all_found_once(spark, monkeypatch):
     assert got == sorted(map(tuple, np.argwhere(apart <= media.DIFFERENCE).tolist()))
 
 
+@pytest.mark.parametrize(("least", "whole"), [(1, 1 << 18), (2, 40), (4, 1 << 18), (4, 40)])
+def test_media_common_places_are_met_last(spark, monkeypatch, least, whole):
+    """All links, with all their matches, from far fewer rows than there are chance matches at places that all images share."""
+    rng = np.random.default_rng(23)
+    shared = rng.integers(0, 2, (3, media.BITS))
+    rows: dict[str, list] = {"index": [], "asked": []}
+
+    def add(to, k, x, y, level, bits):
+        pairs = (bits.reshape(media.PAIRS, media.PAIR_BITS) << np.arange(media.PAIR_BITS)).sum(axis=1)
+        halves = np.packbits(np.pad(bits.astype(np.uint8), (0, 8))).view(np.int64)
+        rows[to].append((k, float(x), float(y), level, 0.0, *halves.tolist(), pairs.tolist()))
+
+    own = rng.integers(0, 2, (80, 6, media.BITS))
+    places = [(8 * n + 1, 8 * (n * 3 % 7) + 1) for n in range(9)]
+    for k in range(80):
+        for n, d in enumerate([*shared, *own[k]]):
+            add("index", k, *places[n], 2, d)
+    # Shared and own places of each query; 5 has two matches in one square, 6 the same on levels that differ by one and by two.
+    takes = {0: (3, 6), 1: (3, 1), 2: (3, 0), 3: (2, 1), 4: (2, 2), 5: (0, 3), 6: (3, 2), 7: (0, 1), 8: (1, 1), 9: (0, 4)}
+    for k, (common, some) in takes.items():
+        for n in [*range(common), *range(3, 3 + some)]:
+            bits = (shared[n] if n < 3 else own[k, n - 3]).copy()
+            bits[rng.choice(media.BITS, int(rng.integers(0, 10)), replace=False)] ^= 1
+            add("asked", k, *places[n], 2 + (k == 6) + (k == 6 and n == 3), bits)
+            if k == 5 and n == 3:
+                add("asked", k, places[n][0] + 1, places[n][1], 2, own[k, 0])
+    tables = {n: spark.createDataFrame(x, "id long, x float, y float, level int, angle float, d0 long, d1 long, parts array<int>") for n, x in rows.items()}
+    made, joined = [], media.near_pairs
+    counted = lambda q, i: (made.append(joined(q, i).count()), joined(q, i))[1]
+    monkeypatch.setattr(media, "near_pairs", counted)
+    monkeypatch.setattr(media, "SURVEYED", 90, raising=False)
+    monkeypatch.setattr(media, "WHOLE", whole, raising=False)  # 40: images of different sizes are compared by the join
+    got = {(r.query, r.id): r.inliers for r in media.matches(tables["asked"], tables["index"], least).collect()}
+    of: dict[tuple, list] = {}
+    for r in joined(tables["asked"], tables["index"]).collect():
+        of.setdefault((r.query, r.id), []).append((r.qx, r.qy, r.qlevel, r.x, r.y, r.level, r.qangle - r.angle))
+    names = ("qx", "qy", "qlevel", "x", "y", "level", "t")
+    wanted = {k: media.agreeing(np.zeros(len(m), int), {c: np.array(v, int if "level" in c else float) for c, v in zip(names, zip(*m), strict=True)}, 1, 8.0, 30.0, 4)[0] for k, m in of.items()}
+    assert got == {k: n for k, n in wanted.items() if n >= least}
+    if least == 4:
+        assert {(0, 0), (1, 1), (4, 4), (9, 9)} <= set(got) and not {(2, 2), (3, 3), (5, 5)} & set(got)
+        assert sum(made[:2]) < sum(map(len, of.values())) / 2
+        assert len(made) == (2 if whole > 40 else 3)
+
+
 def test_rows_go_by_id_and_text(spark, monkeypatch):
     """One toxic or copied text takes no other row of its id, or of no id, with it; and of copies without ids one stays."""
     schema, some = "doc_id long, text string", " ".join(f"w{k}" for k in range(40))
