@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import shuffled, written
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -35,33 +35,49 @@ def _around(steps: int) -> Column:
     return F.explode(F.sequence(F.lit(-steps).cast("long"), F.lit(steps).cast("long")))
 
 
-def radius_join(left: DataFrame, right: DataFrame, r: float, groups: list[str] = (), extra: list[str] = (), band: tuple[str, int] | None = None) -> DataFrame:
+def _span(c: Column, reach: float, side: float) -> Column:
+    """A row for each cell that may hold a value within reach of c; a bit wider than that, for rounding."""
+    wide = F.lit(reach * (1 + 1e-9)) + F.least(F.abs(c) * 1e-14, F.lit(float(reach)))
+    return F.explode(F.sequence(_cell(c - wide, side), _cell(c + wide, side)))
+
+
+def radius_join(left: DataFrame, right: DataFrame, r: float, groups: list[str] = (), extra: list[str] = (), band: tuple[str, int] | None = None, once: bool = False) -> DataFrame:
     """Pairs (groups, i, j, d) of left and right loc_ids with distance d <= r (both ends included).
 
     extra: further columns of both sides, given as i_<name> and j_<name>. band: (column, most) also asks for
-    |left - right| <= most, and cuts cells along it.
+    |left - right| <= most, and cuts cells along it. once: left and right are one table, whose pairs i < j are given once.
     """
     groups, extra = list(groups), list(dict.fromkeys([*extra, *([band[0]] if band else [])]))
-    cell = [_cell(F.col("x"), r).alias("__cx"), _cell(F.col("y"), r).alias("__cy")]
-    wide = band[1] + 1 if band else 1
-    cell.append((_cell(F.col(band[0]), wide) if band else F.lit(0).cast("long")).alias("__cz"))
+    # Pairs that are given once meet in the later of their cells alone; that leaves room for larger cells and fewer copies of a point.
+    side_of = r * 2 if once else r
+    wide = 2 * band[1] + 1 if band else 1
+    cell = [_cell(F.col("x"), side_of).alias("__cx"), _cell(F.col("y"), side_of).alias("__cy"), (_cell(F.col(band[0]), wide) if band else F.lit(0).cast("long")).alias("__cz")]
+    keys = ["__cx", "__cy", "__cz"]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.filter("x is not null and y is not null").select(*groups, F.col("loc_id").alias(tag), F.col("x").alias(f"__x{tag}"), F.col("y").alias(f"__y{tag}"), *[F.col(c).alias(f"{tag}_{c}") for c in extra], *cell)
 
     a = side(left, "i")
-    b = side(right, "j").withColumn("__u", _around(1)).withColumn("__v", _around(1))
-    b = b.withColumn("__w", _around(1) if band else F.lit(0).cast("long"))
-    b = b.withColumns({"__cx": F.col("__cx") + F.col("__u"), "__cy": F.col("__cy") + F.col("__v"), "__cz": F.col("__cz") + F.col("__w")})
-    pairs = a.join(b, [*groups, "__cx", "__cy", "__cz"]).withColumn("d", distance("__xi", "__yi", "__xj", "__yj")).filter(F.col("d") <= r)
+    b = side(right, "j").withColumnsRenamed({k: f"__home{k}" for k in keys})
+    for k, c, reach, size in [("__cx", "__xj", r, side_of), ("__cy", "__yj", r, side_of), *([("__cz", f"j_{band[0]}", band[1], wide)] if band else [])]:
+        b = b.withColumn(k, _span(F.col(c), reach, size))
+    b = b if band else b.withColumn("__cz", F.lit(0).cast("long"))
+    place, home = F.struct(*keys), F.struct(*[F.col(f"__home{k}").alias(k) for k in keys])
+    b = b.filter(place >= home).withColumn("__own", place == home) if once else b
+    b = b.drop(*[f"__home{k}" for k in keys])
+    pairs = shuffled(a, b, [*groups, *keys]).withColumn("d", distance("__xi", "__yi", "__xj", "__yj")).filter(F.col("d") <= r)
     if band:
         pairs = pairs.filter(F.abs(F.col(f"i_{band[0]}") - F.col(f"j_{band[0]}")) <= band[1])
+    if once:
+        pairs = pairs.filter("i < j or i > j and not __own")
+        turned = lambda p, q: F.when(F.col("i") < F.col("j"), F.col(p)).otherwise(F.col(q))
+        return pairs.select(*groups, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d", *[turned(f"i_{c}", f"j_{c}").alias(f"i_{c}") for c in extra], *[turned(f"j_{c}", f"i_{c}").alias(f"j_{c}") for c in extra])
     return pairs.select(*groups, "i", "j", "d", *[f"i_{c}" for c in extra], *[f"j_{c}" for c in extra])
 
 
 def radius_pairs(points: DataFrame, r: float, groups: list[str] = (), **how) -> DataFrame:
     """Each pair i < j of one group once."""
-    return radius_join(points, points, r, groups, **how).filter("i < j")
+    return radius_join(points, points, r, groups, once=True, **how)
 
 
 def mean_in_radius(points: DataFrame, others: DataFrame | None, r: float, groups: list[str] = (), empty: float | None = None) -> DataFrame:

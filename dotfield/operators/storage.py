@@ -27,3 +27,12 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     else:
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) of two sides that are never broadcast.
+
+    Spark guesses a side's size by that of its files: rows that are exploded and columns that hardly take room in Parquet do not count
+    there, so a table of gigabytes would go through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
