@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from dotfield.operators import spatial, tracks
+from dotfield.operators import graph, spatial, storage, tracks
 
 
 def broadcasts(df) -> int:
@@ -36,3 +36,21 @@ def test_linked_pairs_equal_brute_force(spark, r, gap):
     assert {(e.i, e.j): (e.i_frame, e.j_frame) for e in got} == {(a[0], b[0]): (a[3], b[3]) for a in rows for b in rows if a[0] < b[0] and near(a, b)}
     got = [(e.i, e.j) for e in spatial.radius_join(df.filter("channel = 0"), df.filter("channel = 1"), r, band=("frame", gap)).collect()]
     assert len(got) == len(set(got)) and {k for k in got if max(k) < len(rows)} == {(a[0], b[0]) for a in rows for b in rows if a[4] == 0 and b[4] == 1 and abs(a[3] - b[3]) <= gap and near(a, b)}
+
+
+def test_components_of_many_edges_are_not_broadcast(spark, monkeypatch):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 51)], "i long, j long")
+    monkeypatch.setattr(graph, "BROADCAST", 10)
+    seen = []
+    monkeypatch.setattr(graph, "written", lambda df, name: seen.append(broadcasts(df)) or storage.written(df, name))
+    got = {r.node: r.root for r in graph.components(chain).collect()}
+    assert set(got) == {*range(31), 50, 51} and all(got[k] == (50 if k > 49 else 0) for k in got)
+    assert len(seen) > 2 and not any(seen)
+
+
+def test_tracks_meet_their_points_by_shuffle(spark, monkeypatch):
+    _, df = located(spark, 200, 3)
+    met = []
+    monkeypatch.setattr(tracks, "shuffled", lambda a, b, *how: met.append(b.columns) or storage.shuffled(a, b, *how))
+    got = tracks.tracks(df, 2, 2, ["channel"])
+    assert met == [["channel", "loc_id", "root"]] and sum(r.n_locs for r in got.collect()) == 200
