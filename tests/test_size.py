@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from dotfield.operators import graph, spatial, storage, tracks
+from dotfield.plans import catalogue
 
 
 def broadcasts(df) -> int:
@@ -54,3 +55,11 @@ def test_tracks_meet_their_points_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(tracks, "shuffled", lambda a, b, *how: met.append(b.columns) or storage.shuffled(a, b, *how))
     got = tracks.tracks(df, 2, 2, ["channel"])
     assert met == [["channel", "loc_id", "root"]] and sum(r.n_locs for r in got.collect()) == 200
+
+
+@pytest.mark.parametrize("name", ["link_tracks", "track_durations"])
+def test_edges_of_a_query_are_not_broadcast(spark, monkeypatch, name):
+    seen = {}
+    monkeypatch.setattr(graph, "written", lambda df, what: seen.setdefault(what, broadcasts(df)) and None or storage.written(df, what))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen["edges"] == 0
