@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from dotfield.operators import graph, spatial, storage, tracks
+from dotfield.operators import cluster, graph, spatial, storage, tracks
 from dotfield.plans import catalogue
 
 
@@ -63,3 +63,13 @@ def test_edges_of_a_query_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "written", lambda df, what: seen.setdefault(what, broadcasts(df)) and None or storage.written(df, what))
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert seen["edges"] == 0
+
+
+def test_cells_and_neighbours_are_not_broadcast(spark, monkeypatch):
+    _, df = located(spark, 300, 4)
+    seen = {}
+    for where in (cluster, spatial):
+        monkeypatch.setattr(where, "written", lambda df, what: seen.setdefault(what, broadcasts(df)) and None or storage.written(df, what))
+    assert cluster.dbscan(df, 1.5, 4, ["channel"]).count() == 302
+    spatial.knn_join(df, None, 3, ["channel"])
+    assert seen["part-pairs"] == seen["knn-done"] == 0
