@@ -20,13 +20,29 @@ def components(edges: DataFrame, groups: list[str] = (), rounds: int = 60) -> Da
     g = list(groups)
     both = edges.select(*g, "i", "j").unionByName(edges.select(*g, F.col("j").alias("i"), F.col("i").alias("j")))
     both = written(both.distinct(), "edges")
-    met = shuffled if both.count() > BROADCAST else DataFrame.join
+    met, leaves = DataFrame.join, None
+    if both.count() > BROADCAST:
+        # A node whose one neighbour is smaller has its neighbour's root: it is left out of the rounds.
+        met = shuffled
+        one = both.groupBy(*g, F.col("i").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("j").alias("hub"))
+        leaves = written(one.filter("n = 1 and hub < node").select(*g, "node", "hub"), "leaves")
+        for end in "ij":
+            both = shuffled(both, leaves.select(*g, F.col("node").alias(end)), [*g, end], "left_anti")
+        both = written(both, "edges")
+
+    def whole(roots: DataFrame) -> DataFrame:
+        if leaves is None:
+            return roots
+        told = shuffled(leaves, roots.select(*g, F.col("node").alias("hub"), "root"), [*g, "hub"], "left").select(*g, "node", "hub", F.coalesce("root", "hub").alias("root"))
+        alone = shuffled(leaves.select(*g, F.col("hub").alias("node")).distinct(), roots, [*g, "node"], "left_anti").withColumn("root", F.col("node"))
+        return written(roots.unionByName(told.drop("hub")).unionByName(alone), "roots")
+
     # The first round needs no join: a node's root is the smallest of itself and its neighbours.
     roots = both.groupBy(*g, F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("root"))
     roots = written(roots.withColumn("moved", F.col("root") != F.col("node")), "roots")
     for _ in range(rounds):
         if roots.filter("moved").isEmpty():
-            return roots.drop("moved")
+            return whole(roots.drop("moved"))
         now = roots.select(*g, "node", "root")
         told = met(both, now.withColumnRenamed("node", "j"), [*g, "j"]).groupBy(*g, F.col("i").alias("node")).agg(F.min("root").alias("near"))
         told = met(now, told, [*g, "node"]).select(*g, "node", "root", F.least("root", "near").alias("near"))

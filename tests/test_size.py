@@ -73,3 +73,32 @@ def test_cells_and_neighbours_are_not_broadcast(spark, monkeypatch):
     assert cluster.dbscan(df, 1.5, 4, ["channel"]).count() == 302
     spatial.knn_join(df, None, 3, ["channel"])
     assert seen["part-pairs"] == seen["knn-done"] == 0
+
+
+@pytest.mark.parametrize("axes, n, span", [(("x", "y"), 700, 90), (("x", "y", "z"), 700, 36)])
+def test_cells_in_many_blocks_equal_brute_force(spark, monkeypatch, axes, n, span):
+    p = np.random.default_rng(6).integers(-span, span, (n, len(axes))) / 2.0
+    p[: n // 2] = p[: n // 2].round() / (4, 8)[len(axes) - 2]  # dense beside sparse
+    eps, least = 2.0, 3
+    names = ", ".join(f"{c} double" for c in axes)
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], f"loc_id long, {names}")
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= least
+    root = np.where(core, np.arange(n), n)
+    while True:
+        new = np.where(core, np.where(near & core[None], root[None], n).min(1), n)
+        if (new == root).all():
+            break
+        root = new
+    number = {r: k for k, r in enumerate(sorted({*root[core]}))}
+    want = {k: number[root[k]] if core[k] else min((number[root[j]] for j in np.flatnonzero(near[k] & core)), default=-1) for k in range(n)}
+    shuffles = []
+    monkeypatch.setattr(cluster, "written", lambda df, what: storage.written(df, what) if what != "cell-pairs" else shuffles.append(storage.written(df, what)) or shuffles[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # blocks go on in the next batch
+    try:
+        assert {r.loc_id: r.cluster for r in cluster.dbscan(df, eps, least, axes=axes).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # A cell has an edge to the first one of its component in each block, not to each cell around.
+    edges = shuffles[0].filter("not open")
+    assert 0 < edges.count() <= 3 * edges.select("j").distinct().count() and len(number) > 4
