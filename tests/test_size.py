@@ -102,3 +102,16 @@ def test_cells_in_many_blocks_equal_brute_force(spark, monkeypatch, axes, n, spa
     # A cell has an edge to the first one of its component in each block, not to each cell around.
     edges = shuffles[0].filter("not open")
     assert 0 < edges.count() <= 3 * edges.select("j").distinct().count() and len(number) > 4
+
+
+def test_nearest_neighbours_on_a_strip_begin_with_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    p = np.column_stack([rng.uniform(0, 5, 600), rng.uniform(0, 60_000, 600)]).round(3)
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "loc_id long, x double, y double")
+    sides = []
+    monkeypatch.setattr(spatial, "_cell", lambda c, side, f=spatial._cell: sides.append(side) or f(c, side))
+    got = {(r.i, r.rank): r.j for r in spatial.knn_join(df, None, 2).collect()}
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) + np.diag(np.full(600, np.inf))
+    assert got == {(i, r + 1): int(np.argsort(d[i], kind="stable")[r]) for i in range(600) for r in range(2)}
+    assert min(sides) * 600 < 4 * 60_000 and len(set(sides)) < 15
+    assert spatial.first_side([0.0, 100.0], 1, 50) == 1.0 and spatial.first_side([10.0, 10.0], 1, 25) == 1.0
